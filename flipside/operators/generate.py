@@ -79,7 +79,7 @@ def synonym_augment(samples: DataFrame, synonyms: DataFrame, ratio: float, seed:
     # bounded list (k pairs) attached as an uncorrelated scalar subquery
     pairs = synonyms.agg(F.array_sort(F.collect_list(F.struct("ordinal", "src", "dst")))).scalar()
     keyed = F.transform(
-        pairs,
+        F.col("_syn"),
         lambda p: F.struct(hash_hex(seed, F.col("id"), p["src"]).alias("k"), p["src"].alias("src"), p["dst"].alias("dst")),
     )
     chosen = F.slice(F.array_sort(keyed), 1, keys_per_row)
@@ -88,7 +88,8 @@ def synonym_augment(samples: DataFrame, synonyms: DataFrame, ratio: float, seed:
         return F.when(F.lower(acc).contains(p["src"]), _swap(acc, p)).otherwise(acc)
 
     return (
-        picked_rows.withColumn("text", F.aggregate(chosen, F.col("text"), step))
+        picked_rows.withColumn("_syn", pairs)
+        .withColumn("text", F.aggregate(chosen, F.col("text"), step))
         .select("id", "text", "label", F.lit("synonym").alias("source"))
     )
 

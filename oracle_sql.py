@@ -411,3 +411,64 @@ SELECT id, cand_text AS text, target_label AS label, 'single' AS source FROM fp
 WHERE ordinal = _hit AND id IN (SELECT id FROM fp WHERE (_hit IS NULL OR ordinal <= _hit)
   AND label_score >= {p.th_label} AND semantic_score >= {p.th_semantic} AND final_score >= {p.th_final})""")
     return o
+
+
+def synonyms_cte(p: Params, src: str = "train", k: int = 7, min_df: int = 2, min_len: int = 4) -> str:
+    a = 0.5
+    lo = f"ln((df1 + {a}) / (n1 - df1 + {a})) - ln((df0 + {a}) / (n0 - df0 + {a}))"
+    return f""",
+sy_tokdocs AS (SELECT label, unnest(list_distinct({tok('text')})) AS token FROM {src}),
+sy_stats AS (SELECT token, count(*) FILTER (WHERE label = 1) AS df1, count(*) FILTER (WHERE label = 0) AS df0
+             FROM sy_tokdocs GROUP BY token),
+sy_n AS (SELECT count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0 FROM {src}),
+sy_neutral AS (SELECT token, df0 + df1 AS df FROM sy_stats, sy_n
+               WHERE length(token) >= {min_len} AND df0 + df1 >= {min_df} AND abs({lo}) < 0.1),
+sy_top AS (SELECT * FROM (SELECT token, row_number() OVER (ORDER BY df DESC, token) AS rank FROM sy_neutral)
+           WHERE rank <= {2 * k}),
+synonyms AS (
+  SELECT CAST((a.rank + 1) / 2 AS INTEGER) AS ordinal, a.token AS src, b.token AS dst
+  FROM sy_top a JOIN sy_top b ON a.rank % 2 = 1 AND b.rank = a.rank + 1
+)"""
+
+
+def _extra_oracles(o: dict) -> None:
+    p = P
+    swap = f"replace(replace(acc, pp.src, pp.dst), {cap('pp.src')}, {cap('pp.dst')})"
+    keyed = (f"list_slice(list_sort(list_transform((SELECT list({{'ordinal': ordinal, 'src': src, 'dst': dst}}) FROM synonyms), "
+             f"lambda x: {{'k': {md5_key(p.seed, 's.id', 'x.src')}, 'src': x.src, 'dst': x.dst}})), 1, 3)")
+    o["e2_synonym_augment"] = with_(
+        _base(p) + synonyms_cte(p)
+        + take_cte("train", md5_key(p.seed, "'synonym'", "id"), f"least(_total, floor(_total * {float(p.ratio)}))", [], "syn_rows"),
+        f"SELECT s.id, list_reduce({keyed}, lambda acc, pp: CASE WHEN contains(lower(acc), pp.src) THEN {swap} ELSE acc END, s.text) AS text, "
+        f"s.label, 'synonym' AS source FROM syn_rows s")
+    o["e4_single_shot"] = with_(
+        _base(p) + lexicon_cte(p) + candidates_cte(p, "train", 1, 1, "cands", SINGLE_PRESERVE) + nb_cte()
+        + verify_cte(p, "cands"),
+        "SELECT id, cand_text AS text, target_label AS label, 'single' AS source FROM ver WHERE status = 'pass'")
+    o["f2_cue_score"] = with_(
+        _ver1(p) + """,
+cw AS (SELECT list(dst) FILTER (WHERE target_label = 0) AS w0, list(dst) FILTER (WHERE target_label = 1) AS w1 FROM lexicon),
+cc AS (SELECT v.id, v.ordinal, v.target_label, """ + tok("v.cand_text") + """ AS toks, cw.w0, cw.w1 FROM ver v, cw),
+cn AS (SELECT id, ordinal,
+         len(list_filter(toks, lambda t: list_contains(CASE WHEN target_label = 1 THEN w1 ELSE w0 END, t))) AS nt,
+         len(list_filter(toks, lambda t: list_contains(CASE WHEN target_label = 1 THEN w0 ELSE w1 END, t))) AS ns
+       FROM cc)""",
+        "SELECT id, ordinal, round(CASE WHEN nt + ns > 0 THEN nt / (nt + ns) ELSE 0.5 END, 4) AS cue_score FROM cn")
+    o["f10_diversity"] = with_(
+        _round1(p) + f""",
+pairs AS (
+  SELECT a.id, a.round, 1.0 * levenshtein({ascii_q('a.cand_text')}, {ascii_q('b.cand_text')})
+         / greatest(length(a.cand_text), length(b.cand_text)) AS d
+  FROM cands a JOIN cands b ON a.id = b.id AND a.round = b.round AND a.ordinal < b.ordinal
+),
+groups AS (SELECT id, round, count(*) AS n_candidates FROM cands GROUP BY id, round)""",
+        "SELECT g.id, g.round, g.n_candidates, round(coalesce((SELECT avg(d) FROM pairs p WHERE p.id = g.id AND p.round = g.round), 0.0), 4) AS diversity FROM groups g")
+
+
+_base_oracles = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    o = _base_oracles()
+    _extra_oracles(o)
+    return o
