@@ -190,7 +190,7 @@ def f4_embedding_cosine(spark, root):
             .groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
             .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))),
                                               lambda s: s["v"]).alias("centroid")))
-    return emb.join(F.broadcast(cent), "label").select(
+    return emb.join(cent, "label").select(
         "vec_id", "label", F.round(SC.embedding_cosine(F.col("embedding"), F.col("centroid")), 4).alias("cosine"))
 
 
@@ -303,3 +303,264 @@ QUERIES = {
     "g5_select_pass_only": g5_select_pass_only,
     "g6_post_filter": g6_post_filter,
 }
+
+
+# ---- assembly ----------------------------------------------------------------------------------------
+
+from ..operators import assemble as H  # noqa: E402
+from ..operators import evaluate as I  # noqa: E402
+from ..operators import responses as D  # noqa: E402
+from ..operators import rollup as J  # noqa: E402
+from . import experiment as X  # noqa: E402
+
+
+def h1_merge_train(spark, root):
+    tr = _train(spark, root)
+    sel = _rounds(spark, root).selected
+    return H.merge_train(tr, sel, P.ratio, P.seed).select("id", "source", "label", "text")
+
+
+def h2_sample_stats(spark, root):
+    r = _rounds(spark, root)
+    return H.sample_stats("multi_stage", r.selected, r.verifications)
+
+
+def h3_run_counters(spark, root):
+    r = _rounds(spark, root)
+    return H.run_counters(_train(spark, root), r.verifications, r.selected)
+
+
+def h4_resume(spark, root):
+    """Second run over the same input after recording the first: 0 pending rows,
+    reported per run next to the first run's pending count."""
+    from ..session import checkpoint_dir
+    import uuid
+    base = checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/flipside-processed-{uuid.uuid4().hex}"
+    tr = _train(spark, root)
+    first = H.pending(spark, tr, path)
+    n_first = first.count()
+    H.record_processed(first, path, "run1")
+    second = H.pending(spark, tr, path)
+    return second.agg(F.count(F.lit(1)).alias("pending_second")).select(
+        F.lit(n_first).alias("pending_first"), "pending_second")
+
+
+def h5_stream_augment(spark, root):
+    """Streams the train samples (written as files) through E5 and reads the
+    sink back; equals the batch result on the same rows."""
+    from ..session import checkpoint_dir
+    from ..streaming.augment_stream import stream_augment
+    import uuid
+    base = f"{checkpoint_dir(spark).rstrip('/')}/flipside-stream-{uuid.uuid4().hex}"
+    tr = _train(spark, root).select("id", "text", "label")
+    tr.write.parquet(f"{base}/in")
+    q = stream_augment(spark, f"{base}/in", f"{base}/out", f"{base}/chk", _lexicon(spark, root), _model(spark, root), P)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch_id").select(
+        "id", "round", "ordinal", "candidate_id", "text", "label", "source", "final_score")
+
+
+# ---- evaluation --------------------------------------------------------------------------------------
+
+def _predictions(spark, root):
+    prepared = S.prepared_samples(spark, root, P)
+    evalset = prepared.filter(F.col("split").isin("validation", "test", "ood_test")).select(
+        "id", "text", "label", "split", "domain")
+    return SC.predict(_model(spark, root), evalset)
+
+
+def i2_predict(spark, root):
+    return _predictions(spark, root).select("id", "split", "prediction",
+                                            F.round("probability", 4).alias("probability"))
+
+
+def i3_classification_metrics(spark, root):
+    return I.classification_metrics(_predictions(spark, root), ["split"])
+
+
+def i5_quality_report(spark, root):
+    return I.quality_report(_rounds(spark, root).verifications)
+
+
+def i6_ood_report(spark, root):
+    pr = _predictions(spark, root).filter(F.col("split").isin("test", "ood_test")).withColumn("method", F.lit("none"))
+    return I.ood_report(I.classification_metrics(pr, ["method", "domain"]))
+
+
+def i4_method_report(spark, root):
+    runs, _ = X.run_grid(spark, root, P, seeds=(42,))
+    return runs.select("method", "test_acc", "test_f1", "val_acc", "val_f1", "train_size", "generated", "selected")
+
+
+# ---- roll-ups ----------------------------------------------------------------------------------------
+
+SEEDS = (42, 43, 44)
+
+
+def j1_variant_selection(spark, root):
+    from ..params import variant_params
+    from .rounds import variant_selection
+    variants = {v: variant_params(P, v) for v in ("full", "no_selector", "fixed_threshold")}
+    marked = variant_selection(_verified1(spark, root), variants)
+    return marked.groupBy("variant").agg(F.sum(F.col("selected").cast("int")).alias("selected"),
+                                         F.count(F.lit(1)).alias("verified"))
+
+
+def j2_ablation_report(spark, root):
+    return X.ablation_grid(spark, root, P, seeds=(42,))
+
+
+def j3_method_grid(spark, root):
+    runs, _ = X.run_grid(spark, root, P, seeds=(42,))
+    return runs
+
+
+def j4_repeat_grid(spark, root):
+    runs, _ = X.run_grid(spark, root, P, seeds=SEEDS)
+    return runs
+
+
+def j5_mean_std(spark, root):
+    runs, _ = X.run_grid(spark, root, P, seeds=SEEDS)
+    return J.mean_std(runs, ["method"], ["test_acc", "val_acc", "ood_acc"])
+
+
+def j6_summarize_main(spark, root):
+    runs, _ = X.run_grid(spark, root, P, seeds=SEEDS)
+    return J.summarize_main(runs)
+
+
+def j6_summarize_quality(spark, root):
+    _, quality = X.run_grid(spark, root, P, seeds=SEEDS)
+    return J.summarize_quality(quality)
+
+
+def _ladder(spark, root):
+    runs, _ = X.ladder_grid(spark, root, P, seeds=(42,))
+    return runs
+
+
+def j7_summarize_low_resource(spark, root):
+    return J.summarize_low_resource(_ladder(spark, root))
+
+
+def j8_summarize_ablation(spark, root):
+    return J.summarize_ablation(X.ablation_grid(spark, root, P, seeds=(42,)))
+
+
+def j9_summarize_ood(spark, root):
+    runs, _ = X.run_grid(spark, root, P, seeds=SEEDS)
+    return J.summarize_ood(runs)
+
+
+def j10_ratio_pivot(spark, root):
+    return J.ratio_pivot(_ladder(spark, root))
+
+
+def j11_best_per_group(spark, root):
+    return J.best_per_group(J.summarize_low_resource(_ladder(spark, root)))
+
+
+def j12_delta_vs(spark, root):
+    return J.delta_vs(J.summarize_low_resource(_ladder(spark, root)), "none")
+
+
+# ---- model calls and responses ------------------------------------------------------------------------
+
+def _responses(spark, root):
+    prompts = C.render_prompts(_train(spark, root), C.rule_plan(_train(spark, root)), "generator",
+                               num_candidates=2)
+    return D.batch_complete(prompts, D.rule_model_factory, max_retries=1, backoff=0.0)
+
+
+def c5_batch_complete(spark, root):
+    return _responses(spark, root).select("request_id", "id", "stage", "round", "content", "error", "attempts")
+
+
+def c6_repair_requests(spark, root):
+    return D.repair_requests(D.extract_json(_responses(spark, root)))
+
+
+def d1_extract_json(spark, root):
+    return D.extract_json(_responses(spark, root)).select("request_id", "parse_status", "json")
+
+
+def d2_salvage_candidates(spark, root):
+    return D.salvage_candidates(_responses(spark, root))
+
+
+def d3_normalize_candidates(spark, root):
+    return D.normalize_candidates(D.extract_json(_responses(spark, root)))
+
+
+def d4_first_text(spark, root):
+    return D.first_text(D.extract_json(_responses(spark, root)))
+
+
+def d5_parse_report(spark, root):
+    return D.parse_report(D.extract_json(_responses(spark, root)))
+
+
+def s2_stage_roundtrip(spark, root):
+    """Writes E5 verifications as a stage table and reads them back."""
+    from ..session import checkpoint_dir
+    from ..sources.stages import read_stage, write_stage
+    import uuid
+    base = f"{checkpoint_dir(spark).rstrip('/')}/flipside-stages-{uuid.uuid4().hex}"
+    ver = _rounds(spark, root).verifications.select(*VER_COLS)
+    write_stage(ver, base, "verifications", "r1")
+    schema = ("id bigint, round int, ordinal int, candidate_id string, target_label int, label_score double, "
+              "semantic_score double, minimality_score double, consistency_score double, final_score double, "
+              "status string, critique string, run_id string")
+    return read_stage(spark, base, "verifications", schema).drop("run_id")
+
+
+def s5_collect_runs(spark, root):
+    """Writes the method grid as per-seed CSV trees and collects them back."""
+    from ..session import checkpoint_dir
+    from ..sources.stages import collect_runs, write_results
+    import uuid
+    base = f"{checkpoint_dir(spark).rstrip('/')}/flipside-runs-{uuid.uuid4().hex}"
+    runs, _ = X.run_grid(spark, root, P, seeds=(42,))
+    cols = ["method", "test_acc", "test_f1", "val_acc", "val_f1", "train_size", "generated", "selected"]
+    write_results(runs.select(*cols), f"{base}/main/100pct/seed_42")
+    schema = ("method string, test_acc double, test_f1 double, val_acc double, val_f1 double, "
+              "train_size long, generated long, selected long")
+    return collect_runs(spark, base, schema)
+
+
+QUERIES.update({
+    "h1_merge_train": h1_merge_train,
+    "h2_sample_stats": h2_sample_stats,
+    "h3_run_counters": h3_run_counters,
+    "h4_resume": h4_resume,
+    "h5_stream_augment": h5_stream_augment,
+    "i2_predict": i2_predict,
+    "i3_classification_metrics": i3_classification_metrics,
+    "i4_method_report": i4_method_report,
+    "i5_quality_report": i5_quality_report,
+    "i6_ood_report": i6_ood_report,
+    "j1_variant_selection": j1_variant_selection,
+    "j2_ablation_report": j2_ablation_report,
+    "j3_method_grid": j3_method_grid,
+    "j4_repeat_grid": j4_repeat_grid,
+    "j5_mean_std": j5_mean_std,
+    "j6_summarize_main": j6_summarize_main,
+    "j6_summarize_quality": j6_summarize_quality,
+    "j7_summarize_low_resource": j7_summarize_low_resource,
+    "j8_summarize_ablation": j8_summarize_ablation,
+    "j9_summarize_ood": j9_summarize_ood,
+    "j10_ratio_pivot": j10_ratio_pivot,
+    "j11_best_per_group": j11_best_per_group,
+    "j12_delta_vs": j12_delta_vs,
+    "c5_batch_complete": c5_batch_complete,
+    "c6_repair_requests": c6_repair_requests,
+    "d1_extract_json": d1_extract_json,
+    "d2_salvage_candidates": d2_salvage_candidates,
+    "d3_normalize_candidates": d3_normalize_candidates,
+    "d4_first_text": d4_first_text,
+    "d5_parse_report": d5_parse_report,
+    "s2_stage_roundtrip": s2_stage_roundtrip,
+    "s5_collect_runs": s5_collect_runs,
+})

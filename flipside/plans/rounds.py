@@ -95,3 +95,38 @@ def augment_rounds(samples: DataFrame, lexicon: DataFrame, model: PipelineModel,
     plans = rule_plan(samples) if p.use_planner else None
     return RoundsResult(plans=plans, verifications=verifications.drop("stop_round", "selected"),
                         selected=selected, feedback=feedback)
+
+
+def variant_selection(ver: DataFrame, variants: dict[str, Params]) -> DataFrame:
+    """J1 (selector-side variants): one verification set, every variant's
+    selection in the same pass. The (bounded) variant list is exploded as a
+    literal array on each row -- no join -- and windows run per
+    (variant, id, round), still inside the id hash partitioning."""
+    structs = []
+    for name, p in variants.items():
+        structs.append(F.struct(
+            F.lit(name).alias("variant"), F.lit(float(p.th_label)).alias("th_label"),
+            F.lit(float(p.th_semantic)).alias("th_semantic"), F.lit(float(p.th_final)).alias("th_final"),
+            F.lit(p.filtering_mode == "dynamic_percentile").alias("dynamic"),
+            F.lit(max(0.0, min(1.0, 1.0 - float(p.percentile_keep)))).alias("q"),
+            F.lit(int(p.keep_top_k)).alias("k"), F.lit(bool(p.use_selector)).alias("use_selector")))
+    v = ver.withColumn("_v", F.explode(F.array(*structs))).select("*", "_v.*").drop("_v")
+    w = Window.partitionBy("variant", "id", "round")
+    t = ((F.col("label_score") >= F.col("th_label")) & (F.col("semantic_score") >= F.col("th_semantic"))
+         & (F.col("final_score") >= F.col("th_final")))
+    # percentage must be a literal: one window column per distinct q (bounded by the variant list)
+    qs = sorted({max(0.0, min(1.0, 1.0 - float(p.percentile_keep))) for p in variants.values()})
+    cut = None
+    for qv in qs:
+        col = F.percentile(F.when(F.col("_t"), F.col("final_score")), F.lit(qv)).over(w)
+        cut = F.when(F.col("q") == qv, col) if cut is None else cut.when(F.col("q") == qv, col)
+    v = (v.withColumn("_t", t)
+         .withColumn("_n", F.count(F.when(F.col("_t"), 1)).over(w))
+         .withColumn("_cut", cut)
+         .withColumn("_q", F.col("_t") & (~F.col("dynamic") | (F.col("_n") <= F.col("k"))
+                                          | (F.col("final_score") >= F.col("_cut")))))
+    rank_w = w.orderBy(F.col("_q").desc(), F.col("final_score").desc(), F.col("ordinal"))
+    sel = F.when(F.col("use_selector"), F.col("_q") & (F.row_number().over(rank_w) <= F.col("k"))).otherwise(
+        F.col("status") == "pass")
+    return v.withColumn("selected", sel).drop("_t", "_n", "_cut", "_q", "th_label", "th_semantic", "th_final",
+                                              "dynamic", "q", "k", "use_selector")

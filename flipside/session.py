@@ -44,6 +44,10 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if fallback is None and sc.master.startswith("local"):
+        # single-machine session (tests, local runs): a local folder is shared by construction
+        import tempfile
+        fallback = tempfile.mkdtemp(prefix="flipside-chk-")
     if fallback is None:
         raise RuntimeError("spark.checkpoint.dir is not set; the cluster must name a shared folder")
     os.makedirs(fallback, exist_ok=True)

@@ -472,3 +472,85 @@ def oracles() -> dict[str, str]:  # noqa: F811
     o = _base_oracles()
     _extra_oracles(o)
     return o
+
+
+def _more_oracles(o: dict) -> None:
+    p = P
+    sel = "SELECT id, round, ordinal, candidate_id, cand_text AS text, target_label AS label FROM marked WHERE selected AND round = stop_round"
+    o["h1_merge_train"] = with_(
+        _rounds(p) + f""",
+aug AS ({sel}),
+norig AS (SELECT count(*) AS n FROM train)"""
+        + take_cte("aug", md5_key(p.seed, "'merge'", "id", "candidate_id"),
+                   f"least(_total, floor((SELECT n FROM norig) * {float(p.ratio)}))", [], "picked", "id, candidate_id"),
+        "SELECT id, 'original' AS source, label, text FROM train UNION ALL "
+        "SELECT id, 'multi_stage' AS source, label, text FROM picked")
+    o["h2_sample_stats"] = with_(
+        _rounds(p),
+        "SELECT 'multi_stage' AS method, "
+        "CASE WHEN (SELECT count(*) FROM marked WHERE stop_round IS NULL OR round <= stop_round) > 0 "
+        "THEN (SELECT count(*) FROM marked WHERE stop_round IS NULL OR round <= stop_round) "
+        "ELSE (SELECT count(*) FROM marked WHERE selected AND round = stop_round) END AS generated, "
+        "(SELECT count(*) FROM marked WHERE selected AND round = stop_round) AS selected")
+    o["h3_run_counters"] = with_(
+        _rounds(p) + """,
+v AS (SELECT count(*) AS n FROM marked WHERE stop_round IS NULL OR round <= stop_round),
+s AS (SELECT count(*) AS n FROM marked WHERE selected AND round = stop_round),
+i AS (SELECT count(*) AS n FROM train),
+np AS (SELECT count(*) AS n FROM train t WHERE NOT EXISTS (SELECT 1 FROM marked m WHERE m.id = t.id AND m.selected AND m.round = m.stop_round))""",
+        "SELECT i.n AS input_samples, v.n AS generated_candidates, v.n AS verified_candidates, s.n AS selected_samples, "
+        "greatest(0, i.n - s.n) AS dropped_samples, np.n AS samples_without_selection FROM i, v, s, np")
+    preds = (_base(p) + nb_cte() + """,
+ev AS (SELECT id, text, label, split, domain FROM prepared WHERE split IN ('validation', 'test', 'ood_test'))"""
+             + nb_score_cte("ev", ["id"], "text", "evnb") + """,
+pred AS (
+  SELECT e.id, e.split, e.domain, e.label, CASE WHEN nb.raw1 > nb.raw0 THEN 1 ELSE 0 END AS prediction,
+         """ + p_class("nb.raw1", "nb.raw0") + """ AS probability
+  FROM ev e JOIN evnb nb ON nb.id = e.id
+)""")
+    o["i2_predict"] = with_(preds, "SELECT id, split, prediction, round(probability, 4) AS probability FROM pred")
+
+    def metrics(by: str, src: str = "pred") -> str:
+        f = lambda c: (f"CASE WHEN 2 * tp{c} + fp{c} + fn{c} > 0 THEN 2.0 * tp{c} / (2 * tp{c} + fp{c} + fn{c}) ELSE 0.0 END")
+        return f"""
+SELECT {by}, n AS n_rows, round(correct / n, 4) AS acc,
+       round(CASE WHEN present0 + present1 > 0 THEN ({f(0)} * present0 + {f(1)} * present1) / (present0 + present1) ELSE 0.0 END, 4) AS f1
+FROM (
+  SELECT {by}, count(*) AS n, sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS correct,
+    sum(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS tp0, sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS tp1,
+    sum(CASE WHEN label <> 0 AND prediction = 0 THEN 1 ELSE 0 END) AS fp0, sum(CASE WHEN label <> 1 AND prediction = 1 THEN 1 ELSE 0 END) AS fp1,
+    sum(CASE WHEN label = 0 AND prediction <> 0 THEN 1 ELSE 0 END) AS fn0, sum(CASE WHEN label = 1 AND prediction <> 1 THEN 1 ELSE 0 END) AS fn1,
+    max(CASE WHEN label = 0 OR prediction = 0 THEN 1 ELSE 0 END) AS present0, max(CASE WHEN label = 1 OR prediction = 1 THEN 1 ELSE 0 END) AS present1
+  FROM {src} GROUP BY {by})"""
+    o["i3_classification_metrics"] = with_(preds, metrics("split"))
+    o["i6_ood_report"] = with_(preds + """,
+m AS (""" + metrics("method, domain", "(SELECT *, 'none' AS method FROM pred WHERE split IN ('test', 'ood_test'))") + ")",
+        "SELECT method, max(CASE WHEN domain = 'id' THEN acc END) AS id_acc, max(CASE WHEN domain = 'id' THEN f1 END) AS id_f1, "
+        "max(CASE WHEN domain = 'ood' THEN acc END) AS ood_acc, max(CASE WHEN domain = 'ood' THEN f1 END) AS ood_f1, "
+        "round(max(CASE WHEN domain = 'id' THEN acc END) - max(CASE WHEN domain = 'ood' THEN acc END), 4) AS gap FROM m GROUP BY method")
+    o["i5_quality_report"] = with_(
+        _rounds(p),
+        "SELECT round(avg(label_score), 4) AS label_success, round(avg(semantic_score), 4) AS semantic_sim, "
+        "round(avg(minimality_score), 4) AS edit_similarity, round(avg(final_score), 4) AS final_score "
+        "FROM marked WHERE stop_round IS NULL OR round <= stop_round")
+    from flipside.params import variant_params
+    parts = []
+    for v in ("full", "no_selector", "fixed_threshold"):
+        pv = variant_params(p, v)
+        body = _ver1(p) + mark_cte(pv, "ver", "mk")
+        parts.append((v, body))
+    # each variant is an independent marking of the same verification set
+    sqls = []
+    for v, body in parts:
+        sqls.append(f"SELECT '{v}' AS variant, sum(CAST(selected AS INTEGER)) AS selected, count(*) AS verified "
+                    f"FROM (WITH {body.strip().lstrip(',')} SELECT * FROM mk)")
+    o["j1_variant_selection"] = " UNION ALL ".join(sqls)
+
+
+_prev_oracles = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    o = _prev_oracles()
+    _more_oracles(o)
+    return o
