@@ -357,7 +357,11 @@ def h5_stream_augment(spark, root):
     tr.write.parquet(f"{base}/in")
     q = stream_augment(spark, f"{base}/in", f"{base}/out", f"{base}/chk", _lexicon(spark, root), _model(spark, root), P)
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("batch_id").select(
+    out_schema = ("id bigint, text string, label int, source string, candidate_id string, final_score double, "
+                  "round int, ordinal int, batch_id long")
+    if not H.path_exists(spark, f"{base}/out"):
+        return spark.createDataFrame([], out_schema).drop("batch_id")
+    return spark.read.schema(out_schema).parquet(f"{base}/out").drop("batch_id").select(
         "id", "round", "ordinal", "candidate_id", "text", "label", "source", "final_score")
 
 
