@@ -16,6 +16,9 @@ CONSTRAINTS = ["minimal edits", "keep entities unless needed", "stay fluent"]
 DEFAULT_PRESERVE = ["topic", "event"]
 SINGLE_PRESERVE = ["topic"]
 
+# A token no [a-z']+ match can produce: counts documents per class.
+DOC_SENTINEL = "\u0000doc"
+
 # Fixed value: punctuation stripped from both ends of a change word.
 STRIP_CHARS = ".,!?;:"
 
@@ -114,7 +117,7 @@ def render_prompts(samples: DataFrame, plans: DataFrame | None, stage: str,
 
 
 # The reference's sentiment pairs for its rule generator
-# (positive -> negative; the reverse map adds six more negative words).
+# (positive -> negative, and its reverse negative -> positive).
 POS_TO_NEG = [
     ("good", "bad"), ("great", "terrible"), ("excellent", "awful"), ("wonderful", "dull"),
     ("touching", "flat"), ("fun", "boring"), ("amazing", "disappointing"), ("love", "hate"),
@@ -144,20 +147,20 @@ def synonym_table(spark: SparkSession) -> DataFrame:
 
 def token_label_stats(samples: DataFrame) -> DataFrame:
     """Per token: number of label-1 and label-0 documents containing it, plus
-    the class document counts. One shuffle on token with map-side partial
-    aggregation (hot tokens such as 'the' collapse before the exchange)."""
-    docs = samples.select("label", F.explode(token_set(F.col("text"))).alias("token"))
+    the class document counts n1 / n0. One pass and one shuffle on token with
+    map-side partial aggregation (hot tokens such as 'the' collapse before the
+    exchange). Every document also emits a sentinel token (never a
+    [a-z']+ match) whose counts are the class sizes; they are read back from
+    the same aggregate as one scalar subquery."""
+    sentinel = F.lit(DOC_SENTINEL)
+    docs = samples.select("label", F.explode(F.array_union(token_set(F.col("text")), F.array(sentinel))).alias("token"))
     stats = docs.groupBy("token").agg(
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).cast("long").alias("df1"),
         F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).cast("long").alias("df0"),
     )
-    counts = samples.agg(
-        F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).cast("long").alias("n1"),
-        F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).cast("long").alias("n0"),
-    )
-    n1 = counts.select("n1").scalar()
-    n0 = counts.select("n0").scalar()
-    return stats.withColumn("n1", n1).withColumn("n0", n0)
+    n = stats.filter(F.col("token") == sentinel).select(F.struct("df1", "df0").alias("n")).scalar()
+    return (stats.filter(F.col("token") != sentinel)
+            .withColumn("n1", n.getField("df1")).withColumn("n0", n.getField("df0")))
 
 
 def cue_words(samples: DataFrame, k: int = 8, min_df: int = 2, alpha: float = 0.5) -> DataFrame:

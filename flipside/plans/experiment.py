@@ -45,51 +45,64 @@ def method_sets(train: DataFrame, p: Params, lexicon: DataFrame, scorer) -> dict
 def run_grid(spark: SparkSession, root: str, p: Params, seeds=(42,), ratios=(1.0,),
              methods=METHODS, task: str = "main") -> tuple[DataFrame, DataFrame]:
     """Returns (runs, quality): one runs row per (ratio, seed, method) with
-    test / validation / OOD accuracy and F1, sizes and counts."""
+    test / validation / OOD accuracy and F1, sizes and counts.
+
+    Each run's inputs (train split, lexicon, method sets, merged set) are
+    persisted only while the run needs them; its predictions (one row per
+    evaluation document) are materialized at once, so nothing accumulates
+    across the grid. All predictions are measured in one grouped job."""
     key = (root, p, tuple(seeds), tuple(ratios), tuple(methods), task)
     if key in _MEMO:
         return _MEMO[key]
     prepared = S.prepared_samples(spark, root, p)
     full_train = prepared.filter((F.col("domain") == "id") & (F.col("split") == "train"))
-    evalset = prepared.filter(F.col("split").isin("validation", "test", "ood_test")).select("id", "text", "label", "split")
-    preds, quals, sizes = [], [], []
+    evalset = (prepared.filter(F.col("split").isin("validation", "test", "ood_test"))
+               .select("id", "text", "label", "split").persist())
+    preds, quals, size_rows = [], [], []
     for ratio in ratios:
+        rname = f"{int(round(ratio * 100))}pct"
         for seed in seeds:
             ps = p.with_(seed=seed)
             if ratio < 1.0:
                 train = S.low_resource_ladder(full_train, seed, ratios=(ratio,), base=p.train_samples).drop("ratio")
             else:
                 train = S.subsample(full_train, p.train_samples, seed)
-            train = train.select("id", "text", "label").cache()
-            lexicon = C.mine_lexicon(train, ps.lexicon_size, ps.lexicon_min_df).cache()
+            train = train.select("id", "text", "label").persist()
+            lexicon = C.mine_lexicon(train, ps.lexicon_size, ps.lexicon_min_df).persist()
             scorer = fit_text_classifier(train)
-            # each method's rows are reused by several actions (sample, fit, counts):
-            # persist once (recomputable from lineage if an executor is lost)
             sets = {m: (a.persist(), v.persist() if v is not None else None)
-                    for m, (a, v) in method_sets(train, ps, lexicon, scorer).items()}
-            tag = [F.lit(task).alias("task"), F.lit(f"{int(round(ratio * 100))}pct").alias("ratio"),
-                   F.lit(seed).alias("seed")]
+                    for m, (a, v) in method_sets(train, ps, lexicon, scorer).items() if m in methods}
+            tag = [F.lit(task).alias("task"), F.lit(rname).alias("ratio"), F.lit(seed).alias("seed")]
             for method in methods:
                 aug, ver = sets[method]
-                merged = merge_train(train, aug, ps.ratio, seed)
+                merged = merge_train(train, aug, ps.ratio, seed).persist()
                 model = fit_text_classifier(merged)
                 pr = predict(model, evalset).select(*tag, F.lit(method).alias("method"), "split", "label",
-                                                    "prediction")
+                                                    "prediction").persist()
+                pr.count()
                 preds.append(pr)
-                n_ver = ver.agg(F.count(F.lit(1))).scalar() if ver is not None else None
-                n_aug = aug.agg(F.count(F.lit(1))).scalar()
+                n_aug = aug.count()
+                n_ver = ver.count() if ver is not None else None
                 if method == "none":
-                    gen, sel = F.lit(0).cast("long"), F.lit(0).cast("long")
+                    gen, sel = 0, 0
                 elif ver is None:
                     gen, sel = n_aug, n_aug
                 else:
-                    gen, sel = F.when(n_ver > 0, n_ver).otherwise(n_aug), n_aug
-                sizes.append(merged.agg(F.count(F.lit(1)).alias("train_size")).select(
-                    *tag, F.lit(method).alias("method"), "train_size", gen.alias("generated"), sel.alias("selected")))
+                    gen, sel = (n_ver if n_ver > 0 else n_aug), n_aug
+                size_rows.append((task, rname, seed, method, merged.count(), gen, sel))
                 if ver is not None:
-                    quals.append(quality_report(ver.select(*tag, F.lit(method).alias("method"), "label_score",
-                                                           "semantic_score", "minimality_score", "final_score"),
-                                                ["task", "ratio", "seed", "method"]))
+                    q = quality_report(ver.select(*tag, F.lit(method).alias("method"), "label_score",
+                                                  "semantic_score", "minimality_score", "final_score"),
+                                       ["task", "ratio", "seed", "method"]).persist()
+                    q.count()
+                    quals.append(q)
+                merged.unpersist()
+            for a, v in sets.values():
+                a.unpersist()
+                if v is not None:
+                    v.unpersist()
+            lexicon.unpersist()
+            train.unpersist()
     union = preds[0]
     for d in preds[1:]:
         union = union.unionByName(d)
@@ -98,16 +111,16 @@ def run_grid(spark: SparkSession, root: str, p: Params, seeds=(42,), ratios=(1.0
     wide = metrics.groupBy(*keys).agg(
         *[F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{n}_{m}")
           for s, n in (("test", "test"), ("validation", "val"), ("ood_test", "ood")) for m in ("acc", "f1")])
-    size_df = sizes[0]
-    for d in sizes[1:]:
-        size_df = size_df.unionByName(d)
+    # per-run counts (a few integers per run, not data)
+    size_df = spark.createDataFrame(size_rows, "task string, ratio string, seed int, method string, "
+                                               "train_size long, generated long, selected long")
     runs = (wide.join(size_df, keys)
             .withColumn("gap", F.round(F.col("test_acc") - F.col("ood_acc"), 4))
             .withColumn("preset", F.lit("multi_stage")).withColumn("variant", F.lit("full")))
     quality = quals[0]
     for d in quals[1:]:
         quality = quality.unionByName(d)
-    result = (runs.cache(), quality.cache())
+    result = (runs.persist(), quality.persist())
     _MEMO[key] = result
     return result
 
@@ -145,10 +158,18 @@ def ablation_grid(spark: SparkSession, root: str, p: Params, seeds=(42,)) -> Dat
                 res = augment_rounds(train, lexicon, scorer, pv)
                 ver = res.verifications.persist()
                 aug = res.selected.select(*AUG_COLS).persist()
-            model = fit_text_classifier(merge_train(train, aug, pv.ratio, seed))
+            merged = merge_train(train, aug, pv.ratio, seed).persist()
+            model = fit_text_classifier(merged)
             tag = [F.lit(variant).alias("variant"), F.lit(seed).alias("seed")]
-            preds.append(predict(model, test).select(*tag, "label", "prediction"))
-            quals.append(ver.select(*tag, "label_score"))
+            pr = predict(model, test).select(*tag, "label", "prediction").persist()
+            pr.count()
+            preds.append(pr)
+            q = ver.groupBy().agg(F.avg("label_score").alias("label_score")).select(*tag, "label_score").persist()
+            q.count()
+            quals.append(q)
+            merged.unpersist()
+            aug.unpersist()
+            ver.unpersist()
     union = preds[0]
     for d in preds[1:]:
         union = union.unionByName(d)
@@ -156,7 +177,7 @@ def ablation_grid(spark: SparkSession, root: str, p: Params, seeds=(42,)) -> Dat
     for d in quals[1:]:
         q = q.unionByName(d)
     metrics = classification_metrics(union, ["variant", "seed"])
-    ls = q.groupBy("variant", "seed").agg(F.round(F.avg("label_score"), 4).alias("label_success"))
+    ls = q.groupBy("variant", "seed").agg(F.round(F.first("label_score"), 4).alias("label_success"))
     out = metrics.join(ls, ["variant", "seed"], "left").select(
         "variant", "seed", "acc", "f1", F.coalesce("label_success", F.lit(0.0)).alias("label_success")).cache()
     _MEMO[key] = out

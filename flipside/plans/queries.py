@@ -20,7 +20,10 @@ P = MULTI_STAGE
 
 
 def _train(spark, root, p: Params = P) -> DataFrame:
-    return S.train_samples(spark, root, p)
+    """The train split, persisted: the lexicon pass, the two classifier passes
+    and the scoring pass all read it (memory and disk; recomputable from
+    lineage if an executor is lost)."""
+    return S.train_samples(spark, root, p).persist()
 
 
 def _lexicon(spark, root, p: Params = P) -> DataFrame:
@@ -568,3 +571,14 @@ QUERIES.update({
     "s2_stage_roundtrip": s2_stage_roundtrip,
     "s5_collect_runs": s5_collect_runs,
 })
+
+
+def e5_model_rounds(spark, root):
+    """E5 driven by a completion function (deterministic stand-in model)."""
+    from .rounds import augment_rounds_with_model
+    res = augment_rounds_with_model(_train(spark, root), D.rule_model_factory, _model(spark, root), P,
+                                    max_retries=1, backoff=0.0)
+    return res.selected.select("id", "round", "ordinal", "candidate_id", "text", "label", "source", "final_score")
+
+
+QUERIES["e5_model_rounds"] = e5_model_rounds

@@ -130,3 +130,61 @@ def variant_selection(ver: DataFrame, variants: dict[str, Params]) -> DataFrame:
         F.col("status") == "pass")
     return v.withColumn("selected", sel).drop("_t", "_n", "_cut", "_q", "th_label", "th_semantic", "th_final",
                                               "dynamic", "q", "k", "use_selector")
+
+
+def augment_rounds_with_model(samples: DataFrame, factory, model: PipelineModel, p: Params,
+                              source: str = "multi_stage", max_retries: int = 3, backoff: float = 1.0,
+                              partitions: int | None = None) -> RoundsResult:
+    """E5 with a completion function (the reference's main path).
+
+    Round r prompts every still-pending sample (with the previous round's
+    feedback), parses the replies (D1, then D3; D2 salvages unreadable
+    generator output), scores and selects; samples with a selection leave the
+    pending set (left anti join). Rounds depend on each other through the
+    feedback text, so this is a driver loop over rounds; each round's results
+    are checkpointed (reliable checkpoint in spark.checkpoint.dir) to cut the
+    lineage."""
+    from ..operators import responses as D
+    from ..operators.planning import render_prompts
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(samples.sparkSession)
+    base = _with_plan(samples.select("id", "text", "label"), p)
+    plans = rule_plan(samples) if p.use_planner else None
+    pending = base
+    feedback = None
+    vers, sels, fbs = [], [], []
+    for r in range(1, p.rounds + 1):
+        req = pending.withColumn("round", F.lit(r))
+        if feedback is not None:
+            req = req.join(feedback.select("id", "feedback"), "id", "left")
+        prompts = render_prompts(req, plans, "generator", num_candidates=p.num_candidates)
+        replies = D.batch_complete(prompts, factory, max_retries=max_retries, backoff=backoff,
+                                   partitions=partitions)
+        parsed = D.extract_json(replies)
+        cands = D.normalize_candidates(parsed)
+        salvaged = D.salvage_candidates(parsed.filter(F.col("json").isNull() & F.col("content").isNotNull()))
+        cands = cands.unionByName(salvaged)
+        cands = (cands.withColumn("ordinal", (F.col("pos") + 1).cast("int"))
+                 .select("id", "round", "ordinal", "candidate_id", F.col("text").alias("cand_text"))
+                 .join(pending.select("id", "text", "label", "elements_to_preserve"), "id")
+                 .withColumn("target_label", (1 - F.col("label")).cast("int")))
+        ver = verify(cands, model, p)
+        marked = mark_selected(ver, p).checkpoint()
+        sel = marked.filter("selected")
+        vers.append(marked.drop("selected"))
+        sels.append(sel.select("id", F.col("cand_text").alias("text"), F.col("target_label").alias("label"),
+                               F.lit(source).alias("source"), "candidate_id", "final_score", "round", "ordinal"))
+        done = sel.select("id").distinct()
+        feedback = (marked.join(done, "id", "left_anti").groupBy("id")
+                    .agg(F.min_by(F.col("critique"), F.when(F.col("status") == "reject", F.col("ordinal"))).alias("_c"))
+                    .select("id", F.coalesce("_c", F.lit(DEFAULT_FEEDBACK)).alias("feedback")))
+        # samples without any parsed candidate also retry with the default line
+        pending = pending.join(done, "id", "left_anti").checkpoint()
+        feedback = pending.select("id").join(feedback, "id", "left").select(
+            "id", F.coalesce("feedback", F.lit(DEFAULT_FEEDBACK)).alias("feedback")).checkpoint()
+        if r < p.rounds:
+            fbs.append(feedback.withColumn("round", F.lit(r + 1)))
+    union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
+    fb = union(fbs).select("id", "round", "feedback") if fbs else None
+    return RoundsResult(plans=plans, verifications=union(vers), selected=union(sels), feedback=fb)

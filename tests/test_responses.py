@@ -74,3 +74,19 @@ def test_batch_complete_failures_become_rows(spark):
     out = {r.request_id: r for r in D.batch_complete(prompts, factory, max_retries=2, backoff=0).collect()}
     assert out["r1"].content == '{"text": "ok"}' and out["r1"].attempts == 1
     assert out["r2"].content is None and "down" in out["r2"].error and out["r2"].attempts == 3
+
+
+def test_model_rounds_invariants(spark):
+    from pyspark.sql import functions as F
+    from flipside.params import MULTI_STAGE
+    from flipside.plans.queries import _model, _train
+    from flipside.plans.rounds import augment_rounds_with_model
+    root = "/root/testdata/sf0.001"
+    res = augment_rounds_with_model(_train(spark, root), D.rule_model_factory, _model(spark, root), MULTI_STAGE,
+                                    max_retries=0, backoff=0)
+    sel, ver = res.selected, res.verifications
+    assert sel.join(ver, ["id", "round", "ordinal"], "left_anti").count() == 0
+    # a sample is selected in one round only, within the round budget
+    assert sel.groupBy("id").agg(F.countDistinct("round").alias("r")).filter("r > 1").count() == 0
+    assert sel.filter(F.col("round") > MULTI_STAGE.rounds).count() == 0
+    assert ver.filter((F.col("final_score") < 0) | (F.col("final_score") > 1)).count() == 0
