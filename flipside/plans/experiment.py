@@ -19,6 +19,7 @@ from ..operators.generate import first_pass, lexicon_candidates, synonym_augment
 from ..operators.score import fit_text_classifier, predict, verify
 from ..operators.select import post_filter
 from ..params import LADDER, METHODS, Params
+from ..session import checkpoint_dir
 from .rounds import augment_rounds
 
 _MEMO: dict = {}
@@ -47,17 +48,19 @@ def run_grid(spark: SparkSession, root: str, p: Params, seeds=(42,), ratios=(1.0
     """Returns (runs, quality): one runs row per (ratio, seed, method) with
     test / validation / OOD accuracy and F1, sizes and counts.
 
-    Each run's inputs (train split, lexicon, method sets, merged set) are
-    persisted only while the run needs them; its predictions (one row per
-    evaluation document) are materialized at once, so nothing accumulates
-    across the grid. All predictions are measured in one grouped job."""
+    A run's intermediate tables (train split, lexicon, method sets, merged
+    set, predictions) are written with a reliable checkpoint into
+    spark.checkpoint.dir: later jobs read them back instead of recomputing
+    them, and their lineage (and plan size) is cut, so planning cost does not
+    grow across the grid. All predictions are measured in one grouped job."""
     key = (root, p, tuple(seeds), tuple(ratios), tuple(methods), task)
     if key in _MEMO:
         return _MEMO[key]
+    checkpoint_dir(spark)
     prepared = S.prepared_samples(spark, root, p)
     full_train = prepared.filter((F.col("domain") == "id") & (F.col("split") == "train"))
     evalset = (prepared.filter(F.col("split").isin("validation", "test", "ood_test"))
-               .select("id", "text", "label", "split").persist())
+               .select("id", "text", "label", "split").checkpoint())
     preds, quals, size_rows = [], [], []
     for ratio in ratios:
         rname = f"{int(round(ratio * 100))}pct"
@@ -67,19 +70,18 @@ def run_grid(spark: SparkSession, root: str, p: Params, seeds=(42,), ratios=(1.0
                 train = S.low_resource_ladder(full_train, seed, ratios=(ratio,), base=p.train_samples).drop("ratio")
             else:
                 train = S.subsample(full_train, p.train_samples, seed)
-            train = train.select("id", "text", "label").persist()
-            lexicon = C.mine_lexicon(train, ps.lexicon_size, ps.lexicon_min_df).persist()
+            train = train.select("id", "text", "label").checkpoint()
+            lexicon = C.mine_lexicon(train, ps.lexicon_size, ps.lexicon_min_df).checkpoint()
             scorer = fit_text_classifier(train)
-            sets = {m: (a.persist(), v.persist() if v is not None else None)
+            sets = {m: (a.checkpoint(), v.checkpoint() if v is not None else None)
                     for m, (a, v) in method_sets(train, ps, lexicon, scorer).items() if m in methods}
             tag = [F.lit(task).alias("task"), F.lit(rname).alias("ratio"), F.lit(seed).alias("seed")]
             for method in methods:
                 aug, ver = sets[method]
-                merged = merge_train(train, aug, ps.ratio, seed).persist()
+                merged = merge_train(train, aug, ps.ratio, seed).checkpoint()
                 model = fit_text_classifier(merged)
                 pr = predict(model, evalset).select(*tag, F.lit(method).alias("method"), "split", "label",
-                                                    "prediction").persist()
-                pr.count()
+                                                    "prediction").checkpoint()
                 preds.append(pr)
                 n_aug = aug.count()
                 n_ver = ver.count() if ver is not None else None
@@ -93,16 +95,8 @@ def run_grid(spark: SparkSession, root: str, p: Params, seeds=(42,), ratios=(1.0
                 if ver is not None:
                     q = quality_report(ver.select(*tag, F.lit(method).alias("method"), "label_score",
                                                   "semantic_score", "minimality_score", "final_score"),
-                                       ["task", "ratio", "seed", "method"]).persist()
-                    q.count()
+                                       ["task", "ratio", "seed", "method"]).checkpoint()
                     quals.append(q)
-                merged.unpersist()
-            for a, v in sets.values():
-                a.unpersist()
-                if v is not None:
-                    v.unpersist()
-            lexicon.unpersist()
-            train.unpersist()
     union = preds[0]
     for d in preds[1:]:
         union = union.unionByName(d)
@@ -120,7 +114,7 @@ def run_grid(spark: SparkSession, root: str, p: Params, seeds=(42,), ratios=(1.0
     quality = quals[0]
     for d in quals[1:]:
         quality = quality.unionByName(d)
-    result = (runs.persist(), quality.persist())
+    result = (runs.checkpoint(), quality.checkpoint())
     _MEMO[key] = result
     return result
 
@@ -138,38 +132,35 @@ def ablation_grid(spark: SparkSession, root: str, p: Params, seeds=(42,)) -> Dat
     key = ("ablation", root, p, tuple(seeds))
     if key in _MEMO:
         return _MEMO[key]
+    checkpoint_dir(spark)
     prepared = S.prepared_samples(spark, root, p)
     full_train = prepared.filter((F.col("domain") == "id") & (F.col("split") == "train"))
     test = prepared.filter(F.col("split") == "test").select("id", "text", "label", "split")
     preds, quals = [], []
     for seed in seeds:
-        train = S.subsample(full_train, p.train_samples, seed).select("id", "text", "label").cache()
-        lexicon = C.mine_lexicon(train, p.lexicon_size, p.lexicon_min_df).cache()
+        train = S.subsample(full_train, p.train_samples, seed).select("id", "text", "label").checkpoint()
+        lexicon = C.mine_lexicon(train, p.lexicon_size, p.lexicon_min_df).checkpoint()
         scorer = fit_text_classifier(train)
         for variant in VARIANTS:
             pv = variant_params(p, variant).with_(seed=seed)
             if variant == "single_agent":
                 base = train.withColumn("elements_to_preserve", F.array(*[F.lit(x) for x in C.SINGLE_PRESERVE]))
-                ver = verify(single_shot(base, lexicon, seed), scorer, pv).persist()
+                ver = verify(single_shot(base, lexicon, seed), scorer, pv).checkpoint()
                 aug = ver.filter(F.col("status") == "pass").select(
                     "id", F.col("cand_text").alias("text"), F.col("target_label").alias("label"),
                     F.lit("single_agent").alias("source"))
             else:
                 res = augment_rounds(train, lexicon, scorer, pv)
-                ver = res.verifications.persist()
-                aug = res.selected.select(*AUG_COLS).persist()
-            merged = merge_train(train, aug, pv.ratio, seed).persist()
+                ver = res.verifications.checkpoint()
+                aug = res.selected.select(*AUG_COLS).checkpoint()
+            merged = merge_train(train, aug, pv.ratio, seed).checkpoint()
             model = fit_text_classifier(merged)
             tag = [F.lit(variant).alias("variant"), F.lit(seed).alias("seed")]
-            pr = predict(model, test).select(*tag, "label", "prediction").persist()
-            pr.count()
+            pr = predict(model, test).select(*tag, "label", "prediction").checkpoint()
             preds.append(pr)
-            q = ver.groupBy().agg(F.avg("label_score").alias("label_score")).select(*tag, "label_score").persist()
-            q.count()
+            q = ver.groupBy().agg(F.avg("label_score").alias("label_score")).select(*tag, "label_score").checkpoint()
             quals.append(q)
-            merged.unpersist()
-            aug.unpersist()
-            ver.unpersist()
+
     union = preds[0]
     for d in preds[1:]:
         union = union.unionByName(d)
@@ -179,6 +170,6 @@ def ablation_grid(spark: SparkSession, root: str, p: Params, seeds=(42,)) -> Dat
     metrics = classification_metrics(union, ["variant", "seed"])
     ls = q.groupBy("variant", "seed").agg(F.round(F.first("label_score"), 4).alias("label_success"))
     out = metrics.join(ls, ["variant", "seed"], "left").select(
-        "variant", "seed", "acc", "f1", F.coalesce("label_success", F.lit(0.0)).alias("label_success")).cache()
+        "variant", "seed", "acc", "f1", F.coalesce("label_success", F.lit(0.0)).alias("label_success")).checkpoint()
     _MEMO[key] = out
     return out

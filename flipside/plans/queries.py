@@ -20,10 +20,9 @@ P = MULTI_STAGE
 
 
 def _train(spark, root, p: Params = P) -> DataFrame:
-    """The train split, persisted: the lexicon pass, the two classifier passes
-    and the scoring pass all read it (memory and disk; recomputable from
-    lineage if an executor is lost)."""
-    return S.train_samples(spark, root, p).persist()
+    """The in-domain train split (recomputed per use: a cached copy per query
+    would register one more plan with the cache manager for every query)."""
+    return S.train_samples(spark, root, p)
 
 
 def _lexicon(spark, root, p: Params = P) -> DataFrame:
