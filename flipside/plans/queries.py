@@ -316,20 +316,30 @@ from ..operators import rollup as J  # noqa: E402
 from . import experiment as X  # noqa: E402
 
 
+def _rounds_written(spark, root):
+    """E5 outputs written once (reliable checkpoint in spark.checkpoint.dir),
+    as the assembly step reads stage tables: the exact sampling and the
+    counters scan them several times without recomputing the pipeline."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    from .rounds import split_marked
+    return split_marked(_rounds(spark, root).marked.checkpoint())
+
+
 def h1_merge_train(spark, root):
     tr = _train(spark, root)
-    sel = _rounds(spark, root).selected
+    sel, _ = _rounds_written(spark, root)
     return H.merge_train(tr, sel, P.ratio, P.seed).select("id", "source", "label", "text")
 
 
 def h2_sample_stats(spark, root):
-    r = _rounds(spark, root)
-    return H.sample_stats("multi_stage", r.selected, r.verifications)
+    sel, ver = _rounds_written(spark, root)
+    return H.sample_stats("multi_stage", sel, ver)
 
 
 def h3_run_counters(spark, root):
-    r = _rounds(spark, root)
-    return H.run_counters(_train(spark, root), r.verifications, r.selected)
+    sel, ver = _rounds_written(spark, root)
+    return H.run_counters(_train(spark, root), ver, sel)
 
 
 def h4_resume(spark, root):

@@ -35,6 +35,15 @@ class RoundsResult:
     verifications: DataFrame
     selected: DataFrame
     feedback: DataFrame
+    marked: DataFrame | None = None   # verifications + selected / stop_round flags
+
+
+def split_marked(marked: DataFrame, source: str = "multi_stage") -> tuple[DataFrame, DataFrame]:
+    """(selected rows, verifications) from the flagged verification table."""
+    selected = marked.filter(F.col("selected") & (F.col("round") == F.col("stop_round"))).select(
+        "id", F.col("cand_text").alias("text"), F.col("target_label").alias("label"),
+        F.lit(source).alias("source"), "candidate_id", "final_score", "round", "ordinal")
+    return selected, marked.drop("stop_round", "selected")
 
 
 def _with_plan(samples: DataFrame, p: Params) -> DataFrame:
@@ -80,9 +89,7 @@ def augment_rounds(samples: DataFrame, lexicon: DataFrame, model: PipelineModel,
     # partitioned on id) and the rewrite is recomputed map-side.
     verifications = with_candidate_text(kept.join(base.select("id", "text"), "id"), lexicon, p.seed,
                                         p.pairs_per_candidate)
-    selected = verifications.filter(F.col("selected") & (F.col("round") == F.col("stop_round"))).select(
-        "id", F.col("cand_text").alias("text"), F.col("target_label").alias("label"),
-        F.lit(source).alias("source"), "candidate_id", "final_score", "round", "ordinal")
+    selected, _ = split_marked(verifications, source)
     feedback = (
         kept.groupBy("id", "round")
         .agg(F.min_by(F.col("critique"), F.when(F.col("status") == "reject", F.col("ordinal"))).alias("_c"),
@@ -94,7 +101,7 @@ def augment_rounds(samples: DataFrame, lexicon: DataFrame, model: PipelineModel,
     )
     plans = rule_plan(samples) if p.use_planner else None
     return RoundsResult(plans=plans, verifications=verifications.drop("stop_round", "selected"),
-                        selected=selected, feedback=feedback)
+                        selected=selected, feedback=feedback, marked=verifications)
 
 
 def variant_selection(ver: DataFrame, variants: dict[str, Params]) -> DataFrame:
