@@ -25,6 +25,15 @@ def _pairs_for(lexicon: DataFrame, target: int) -> Column:
             .agg(F.array_sort(F.collect_list(F.struct("ordinal", "src", "dst")))).scalar())
 
 
+def _pairs_both(lexicon: DataFrame) -> Column:
+    """Both targets' pair lists from ONE scalar subquery (one lexicon pass)."""
+    pair = F.struct("ordinal", "src", "dst")
+    return lexicon.agg(F.struct(
+        F.array_sort(F.collect_list(F.when(F.col("target_label") == 0, pair))).alias("t0"),
+        F.array_sort(F.collect_list(F.when(F.col("target_label") == 1, pair))).alias("t1"),
+    )).scalar()
+
+
 def _swap(acc: Column, p: Column) -> Column:
     """str.replace(src, dst) then str.replace(Src, Dst), as chained in the reference."""
     return F.replace(F.replace(acc, p["src"], p["dst"]), capitalize(p["src"]), capitalize(p["dst"]))
@@ -34,7 +43,8 @@ def with_candidate_text(df: DataFrame, lexicon: DataFrame, seed: int, k: int = 4
     """Adds cand_text: the rewrite of one (id, round, ordinal), a pure function
     of text, target_label, id, round and ordinal. Being deterministic, it can
     be recomputed after a shuffle instead of shipping the text through it."""
-    pairs = F.when(F.col("target_label") == 0, _pairs_for(lexicon, 0)).otherwise(_pairs_for(lexicon, 1))
+    both = _pairs_both(lexicon)
+    pairs = F.when(F.col("target_label") == 0, both.getField("t0")).otherwise(both.getField("t1"))
     keyed = F.transform(
         F.col("_pairs"),
         lambda p: F.struct(hash_hex(seed, F.col("id"), F.col("round"), F.col("ordinal"), p["src"]).alias("k"),

@@ -48,7 +48,12 @@ def fit_text_classifier(train: DataFrame, kind: str = "nb", text_col: str = "tex
     """Fit on (text, label). One distributed pass for the vocabulary, one
     for the class/term sums (tree aggregation; no data on the driver)."""
     data = train.select(F.col(text_col).alias(_NB_IN), F.col("label").cast("double").alias("label"))
-    return text_classifier(kind).fit(data)
+    # two passes read the same input: keep it for the duration of the fit only
+    data = data.persist()
+    try:
+        return text_classifier(kind).fit(data)
+    finally:
+        data.unpersist()
 
 
 def class_probability(model: PipelineModel, df: DataFrame, text_col: str, class_col: Column | str,
