@@ -53,3 +53,10 @@ def test_take_smallest_equals_global_rank(spark):
         w = Window.partitionBy(*by).orderBy(key, "id") if by else Window.orderBy(key, "id")
         exp = {r.id for r in df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).select("id").collect()}
         assert got == exp
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abcé ", max_size=70), st.text(alphabet="abcé ", max_size=70))
+def test_bitparallel_levenshtein_is_exact(a, b):
+    from flipside.functions.editdist import bitparallel_levenshtein
+    assert bitparallel_levenshtein(a, b) == naive(a, b)
