@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from ..functions.editdist import bounded_levenshtein, edit_similarity
+from ..functions.editdist import bitparallel_levenshtein, bounded_levenshtein, edit_similarity, step_budget
 from ..functions.text import TOKEN_PATTERN, set_cosine, token_set, tokens
 from ..params import CRITIQUE_LIMITS, Params
 
@@ -179,7 +179,9 @@ def _mean_pairwise_distance(texts: pd.Series) -> pd.Series:
             for j in range(i + 1, len(items)):
                 a, b = items[i], items[j]
                 longest = max(len(a), len(b))
-                d = bounded_levenshtein(a, b, max(longest, 1))
+                d = bounded_levenshtein(a, b, step_budget(len(a), len(b)))
+                if d is None:
+                    d = bitparallel_levenshtein(a, b)
                 vals.append(0.0 if longest == 0 else d / longest)
         out.append(float(np.mean(vals)))
     return pd.Series(out, dtype="float64")
