@@ -7,8 +7,6 @@ weights are bounded by ``vocab_size`` and shipped with the task closure).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel

@@ -3,9 +3,7 @@ given tables at ``root`` (whole tables, whole texts)."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import planning as C
 from ..operators import sampling as S
@@ -14,7 +12,7 @@ from ..operators import select as G
 from ..operators.generate import first_pass, lexicon_candidates, single_shot, synonym_augment
 from ..params import MULTI_STAGE, Params
 from ..sources.tables import load_samples, read_table
-from .rounds import augment_rounds, mark_selected
+from .rounds import augment_rounds
 
 P = MULTI_STAGE
 

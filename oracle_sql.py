@@ -9,11 +9,11 @@ uses, so both sides agree on thresholds, weights and seeds.
 from __future__ import annotations
 
 from flipside.operators.generate import UNCHANGED_CLAUSE
-from flipside.operators.planning import (CAUSAL, CONSTRAINTS, DEFAULT_PRESERVE, PLANNER_TEMPLATE, PRESERVE,
-                                         SINGLE_PRESERVE, SPURIOUS, STRIP_CHARS)
+from flipside.operators.planning import (CAUSAL, DEFAULT_PRESERVE, PLANNER_TEMPLATE, PRESERVE, SINGLE_PRESERVE,
+                                         STRIP_CHARS)
 from flipside.operators.score import (DEFAULT_FEEDBACK, GENERIC_CRITIQUE, ISSUE_EDIT, ISSUE_LABEL,
                                       ISSUE_SEMANTIC)
-from flipside.params import CRITIQUE_LIMITS, DEFAULT, LADDER, MULTI_STAGE, Params
+from flipside.params import CRITIQUE_LIMITS, LADDER, MULTI_STAGE, Params
 
 
 def q(s: str) -> str:
