@@ -353,7 +353,7 @@ def h4_resume(spark, root):
     H.record_processed(first, path, "run1")
     second = H.pending(spark, tr, path)
     return second.agg(F.count(F.lit(1)).alias("pending_second")).select(
-        F.lit(n_first).alias("pending_first"), "pending_second")
+        F.lit(n_first).cast("long").alias("pending_first"), "pending_second")
 
 
 def h5_stream_augment(spark, root):
