@@ -1,39 +1,56 @@
-"""The corpus pipeline: five filters and encoders over documents, each written as Parquet and read again."""
+"""The corpus pipeline: four filters over documents, then their token ids; each stage is written as Parquet and read again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flipside.llm import decontaminate, exact_dedup, pieces_codec
+from flipside.llm import decontaminate, exact_dedup, minhash, pieces_codec, quality
 from flipside.llm.common import documents, stored
-from flipside.llm.queries import tokenizer_path
+from flipside.llm.queries import quality_model, tokenizer_path
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is among the kept ones."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    ids = kept.select("doc_id").distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of a grade above the lowest is a half or more."""
+    scored = quality.tail_probabilities(docs, quality_model(spark, sf_dir))
+    return scored.where(quality.selected()).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return only(docs, exact_dedup.exact_groups(docs).where("kept"))
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates."""
+    return only(docs, minhash.near_duplicates(docs).where("kept"))
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is benchmark text."""
     hits = decontaminate.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return only(docs, hits.where(~decontaminate.contaminated()))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded text."""
     return pieces_codec.round_trip(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 STAGES = [
+    ("quality", good),
     ("exact_dedup", exact),
+    ("near_dedup", near),
     ("decontamination", decontaminated),
     ("sentencepiece", encoded),
 ]
 
-#: The encoder's ids are beyond SQL; tests hold the run against a brute-force version.
+#: The classifier and the encoder are beyond SQL; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
