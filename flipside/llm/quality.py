@@ -4,7 +4,7 @@ P(grade <= k) = sigmoid(threshold_k - w.x): all grades share the weights w over
 thresholds are ordered. The expected grade and the tail probability P(grade >= k) select documents.
 
 Features of a whole text, hashed to ``2**bits`` slots: its lower-cased words, the shapes of its words (runs of
-upper case, lower case, digits and each mark) and repeats of the word before.
+upper case, lower case, digits and each mark) and, by its share in tenths, repeats of the word before.
 A slot's value is log(1 + count), and a text's vector has length 1.
 
 Fitting uses at most ``max_rows`` rated documents, those whose ids hash lowest; everything else covers all rows.
@@ -43,7 +43,7 @@ class Features:
     def __init__(self, bits: int, memo: int = 300_000):
         self.mask, self.limit = (1 << bits) - 1, memo
         self.memo: dict[str, tuple[int, int]] = {}
-        self.repeat = self.slot("repeat")
+        self.repeat = [self.slot(f"repeat:{tenth}") for tenth in range(11)]
 
     def slot(self, name: str) -> int:
         return xxhash.xxh3_64_intdigest(name) & self.mask
@@ -66,7 +66,7 @@ class Features:
         slots, counts = np.unique(both, return_counts=True)
         values = np.log1p(counts)
         if again:
-            slots, values = np.append(slots, self.repeat), np.append(values, np.log1p(again))
+            slots, values = np.append(slots, self.repeat[10 * again // n]), np.append(values, 2 * np.log1p(again))
         return slots, values / np.sqrt(values @ values)
 
 
@@ -134,7 +134,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(df: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text",
-        grade_col: str = "grade", max_rows: int = 6000, bits: int = 18, rounds: int = 120, ridge: float = 0.02
+        grade_col: str = "grade", max_rows: int = 6000, bits: int = 18, rounds: int = 300, ridge: float = 0.02
         ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds, learned from at most ``max_rows`` rated documents."""
     rated = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull())

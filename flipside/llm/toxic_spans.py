@@ -3,14 +3,16 @@
 Tokens of labelled documents get labels first: in a toxic document those words, or beginnings of words, that
 labelled documents tie to toxicity (a likelihood-ratio test of document counts, and a ratio of rates); all
 others are clean. A field of two states with hashed word, prefix and suffix features learns from them. Forward-backward
-marginals of a whole text give each token's probability; a document's score is that of at least one toxic
-token, and runs of tokens of a half or more are the offending offsets.
+marginals of a whole text give each token's probability; a document's score is a logistic function of the two
+greatest and of their sum, fitted on labelled documents that the field hasn't seen, and runs of tokens of a
+half or more are the offending offsets.
 
 The chain runs through all texts of a batch at once: a text's first token forgets what came before. It is cut
 in blocks whose 2 x 2 products are taken side by side, and a scan over blocks joins them exactly.
 
 Fitting uses at most ``max_rows`` labelled documents, half of each label where there are enough, those whose
-ids hash lowest; everything else covers all rows.
+ids hash lowest, and near copies among them once, since words of a text with copies would look significant;
+everything else covers all rows.
 
 Defined cases: null texts and texts without words score 0 and have no spans; null labels aren't learnt from; of
 several labels of an id the greatest counts; without labels of both kinds all scores are 0; rows that share an
@@ -38,6 +40,26 @@ def parts_of(word: str) -> list[str]:
     return ["w" + word, *(f"p{word[:n]}" if len(word) >= n else "-" for n in (3, 4, 5)), "s" + word[-3:]]
 
 
+def once(documents: list[tuple[list[str], int]], size: int = 5, keys: int = 4) -> list[tuple[list[str], int]]:
+    """Documents without those that share a MinHash of their word shingles with an earlier one."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for words, label in documents:
+        grams = {" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))}
+        own = {(k, min(xxhash.xxh3_64_intdigest(g, seed=k) for g in grams)) for k in range(keys)}
+        if seen.isdisjoint(own):
+            out.append((words, label))
+        seen |= own
+    return out
+
+
+def summary(p: np.ndarray) -> np.ndarray:
+    """What a document's score is made of: logits of its two greatest marginals, logarithm of their sum."""
+    top = np.concatenate([np.zeros(2), np.partition(p, -2)[-2:] if len(p) > 2 else p])
+    top = np.clip(np.sort(top)[-2:], 1e-6, 1 - 1e-6)
+    return np.array([*np.log(top / (1 - top)), np.log(p.sum() + 1e-6), 1.0])
+
+
 def evidence(documents: list[tuple[list[str], int]], test: float, ratio: float) -> set[str]:
     """Parts tied to toxic documents: significantly, and ``ratio`` times as frequent there."""
     counts = {0: Counter(), 1: Counter()}
@@ -123,17 +145,19 @@ class Field:
         self.start, self.move = np.zeros(2), np.zeros((2, 2))
         self.bias = -6.0
         self.known = False
+        self.logistic = np.zeros(4)
         self.memo: dict[str, float] = {}
 
     def learnt(self) -> dict[str, list]:
-        return {"weights": [np.asarray(self.weights, np.float32).tobytes()], "states": [np.concatenate([self.start, self.move.ravel()]).tobytes()],
+        return {"weights": [np.asarray(self.weights, np.float32).tobytes()], "states": [np.concatenate([self.start, self.move.ravel(), self.logistic]).tobytes()],
                 "bias": [self.bias], "known": [self.known]}
 
     @classmethod
     def of(cls, row) -> Field:
         field = cls()
         states = np.frombuffer(row.states)
-        field.weights, field.start, field.move = np.frombuffer(row.weights, np.float32), states[:2], states[2:].reshape(2, 2)
+        field.weights, field.start, field.move = np.frombuffer(row.weights, np.float32), states[:2], states[2:6].reshape(2, 2)
+        field.logistic = states[6:]
         field.bias, field.known = row.bias, row.known
         return field
 
@@ -187,6 +211,21 @@ class Field:
         self.weights, self.bias = free[:n].astype(np.float32), float(free[n])
         self.start, self.move = free[n + 1:n + 3], free[n + 3:].reshape(2, 2)
 
+    def calibrate(self, documents: list[tuple[list[str], int]], ridge: float = 0.05) -> None:
+        """Fits the logistic function of document scores, by Newton's method."""
+        documents = [d for d in documents if d[0]]
+        if not self.known or {label for _, label in documents} != {0, 1}:
+            self.logistic = np.array([0.5, 0.0, 0.0, 0.0])
+            return
+        x = np.array([summary(p) for p in self.marginals([words for words, _ in documents])])
+        y = np.array([label for _, label in documents])
+        w = np.zeros(4)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(4)
+            w = w - np.linalg.solve(curve, x.T @ (p - y) + ridge * w)
+        self.logistic = w
+
     def marginals(self, batch: list[list[str]]) -> list[np.ndarray]:
         """For each list of words the probability that each is toxic."""
         sizes = np.array([len(words) for words in batch])
@@ -208,7 +247,7 @@ class Field:
         """Scores and offending spans (start, end in characters) of texts."""
         scores, spans = [], []
         for text, p in zip(batch, self.marginals([WORD.findall(t) for t in batch])):
-            scores.append(float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-9)).sum())))
+            scores.append(float(1 / (1 + np.exp(-np.clip(summary(p) @ self.logistic, -30, 30)))) if self.known and len(p) else 0.0)
             found: list[dict] = []
             if (bad := set(np.flatnonzero(p >= 0.5).tolist())):
                 for i, m in enumerate(WORD.finditer(text)):
@@ -232,7 +271,9 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id",
     def learn(batches):
         rows = [r for b in batches for r in zip(texts(b, "text"), b["label"].to_pylist())]
         field = Field()
-        field.fit([(WORD.findall(t), k) for t, k in sorted(rows)], rounds, test, ratio)
+        documents = once([(WORD.findall(t), k) for t, k in sorted(rows, key=lambda r: (xxhash.xxh3_64_intdigest(r[0]), r))])
+        field.fit([d for i, d in enumerate(documents) if i % 3], rounds, test, ratio)
+        field.calibrate(documents[::3])
         yield pa.RecordBatch.from_pydict(field.learnt())
 
     found = docs.coalesce(1).mapInArrow(learn, "weights binary, states binary, bias double, known boolean").first()
