@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,7 +40,11 @@ def map_arrow(df: DataFrame, schema: str | StructType, prepare: Callable, *args)
         step = prepare(*args)
         for batch in batches:
             for part in pieces(batch):
-                out = step(part)
+                gc.disable()  # it would walk a step's long lists of words again and again; they hold no cycles
+                try:
+                    out = step(part)
+                finally:
+                    gc.enable()
                 for columns in [out] if isinstance(out, dict) else out:
                     yield pa.RecordBatch.from_arrays(
                         [_column(columns[f.name], f.type) for f in arrow], schema=arrow)
@@ -47,13 +52,21 @@ def map_arrow(df: DataFrame, schema: str | StructType, prepare: Callable, *args)
     return df.mapInArrow(run, spark_schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _column(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
 
 
-def pieces(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about ``most`` bytes, so that a task's working memory doesn't follow the row count."""
     n = batch.num_rows
     if n == 0:
@@ -73,6 +86,15 @@ def raw_texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.large_binary()).to_pylist()]
 
 
+def lowest(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
+    """At most ``n`` rows of ``df``: those whose ids hash lowest. A count sets a threshold that leaves hardly more
+    than ``n`` rows, so tasks don't each pass on their lowest ``n``."""
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 1)
+    reach = (n + 6 * n**0.5 + 20) / max(1, df.count())
+    few = df.where(key < int(reach * 2**63)) if reach < 1 else df
+    return few.orderBy(key, id_col).limit(n)
+
+
 def fold(id_col: str, of: int):
     """crc32 of the id as text, modulo ``of``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % of

@@ -21,7 +21,7 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flipside.llm.common import map_arrow, texts
+from flipside.llm.common import lowest, map_arrow, stored, texts
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -94,16 +94,16 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
         landmarks: int = 96, landmark_chars: int = 20_000, max_rows: int = 4000, ridge: float = 1.0) -> Model:
     """Learns from the text and language of rows where ``train`` holds."""
     spark = df.sparkSession
-    rows = df.where(train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = rows.select(F.xxhash64(F.lit(7), F.col(id_col)).alias("order"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
-    marks = rows.where(F.length("text") <= landmark_chars).withColumn("turn", turn).where(F.col("turn") <= landmarks)
+    rows = df.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = stored(lowest(rows, "id", max_rows, seed=7).where(F.col("text").rlike(r"\p{L}")), "language-sample")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.xxhash64("text")))
+    marks = sample.where(F.length("text") <= landmark_chars).withColumn("turn", turn)
     marks = marks.orderBy("turn", "lang").limit(landmarks).select("text").collect()
     if not marks:
         return Model(Kernel([]), [], np.zeros((1, 0), np.float32))
     kernel = spark.sparkContext.broadcast(Kernel([r.text for r in marks]))
-    sample = rows.orderBy("order", F.xxhash64("text")).limit(max_rows)
-    found = map_arrow(sample.repartition(8), "lang string, k array<double>", _products, kernel).orderBy("lang", "k").collect()
+    found = map_arrow(sample.select("lang", "text").repartition(8), "lang string, k array<double>", _products, kernel).orderBy("lang", "k").collect()
     langs = sorted({r.lang for r in found})
     k = np.array([r.k for r in found])
     target = np.array([[r.lang == x for x in langs] for r in found], float)

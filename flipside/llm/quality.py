@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from flipside.llm.common import map_arrow, texts
+from flipside.llm.common import free_name, lowest, map_arrow, texts
 
 _RUNS = (re.compile("[^\\W\\d_a-zà-öø-ÿ]+"), re.compile("[a-zà-öø-ÿ]+"), re.compile(r"\d+"))
 
@@ -139,7 +139,7 @@ def fit(df: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id",
     """Weights and thresholds, learned from at most ``max_rows`` rated documents."""
     rated = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull())
     rated = rated.groupBy(F.col(id_col).alias("id")).agg(F.min(grade_col).cast("int").alias("grade"))
-    rated = rated.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    rated = lowest(rated, "id", max_rows)
     sample = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rated), "id")
     sample = sample.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(max_rows).select("text", "grade")
     vectors = map_arrow(sample.repartition(8), "grade int, slots array<long>, vals array<double>", _vectors, bits)
@@ -157,29 +157,31 @@ def fit(df: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id",
     return np.frombuffer(found.weights, np.float32), np.frombuffer(found.cuts)
 
 
-def _score(model, bits: int, others: list[str]):
+def _score(model, bits: int, others: list[str], text: str, out: str):
     features, (weights, cuts) = _features(bits), model.value
 
     def step(batch):
-        z = np.array([values @ weights[slots] for slots, values in map(features.vector, texts(batch, "__text"))])
-        tails = _sigmoid(z[:, None] - cuts)
-        return {c: batch[c] for c in others} | {"__tails": list(tails)}
+        z = np.array([values @ weights[slots] for slots, values in map(features.vector, texts(batch, text))])
+        return {c: batch[c] for c in others} | {out: list(_sigmoid(z[:, None] - cuts))}
 
     return step
 
 
-def tail_probabilities(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``df`` (all if not given) and __tails: P(grade >= 1), P(grade >= 2), ..."""
+def tail_probabilities(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", keep: list[str] | None = None,
+                       out_col: str = "tails") -> DataFrame:
+    """The columns ``keep`` of ``df`` (all if not given) and ``out_col``, which none of them may be called:
+    P(grade >= 1), P(grade >= 2), ..."""
     keep = df.columns if keep is None else keep
-    source = df.select(*keep, F.col(text_col).alias("__text"))
-    schema = StructType([*source.schema.fields[:-1]]).add("__tails", ArrayType(DoubleType()))
+    text = free_name(df, "text")
+    source = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias(text))
+    schema = StructType([*source.schema.fields[:-1]]).add(out_col, ArrayType(DoubleType()))
     bits = len(model[0]).bit_length() - 1
-    return map_arrow(source, schema, _score, df.sparkSession.sparkContext.broadcast(model), bits, keep)
+    return map_arrow(source, schema, _score, df.sparkSession.sparkContext.broadcast(model), bits, keep, text, out_col)
 
 
-def expected_grade() -> Column:
-    return F.aggregate("__tails", F.lit(0.0), lambda total, p: total + p)
+def expected_grade(tails: str = "tails") -> Column:
+    return F.aggregate(tails, F.lit(0.0), lambda total, p: total + p)
 
 
-def selected(grade: int = 1, least: float = 0.5) -> Column:
-    return F.element_at("__tails", grade) >= least
+def selected(grade: int = 1, least: float = 0.5, tails: str = "tails") -> Column:
+    return F.element_at(tails, grade) >= least

@@ -34,7 +34,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.tail_probabilities(documents(spark, sf_dir), quality_model(spark, sf_dir), keep=["doc_id"])
     return scored.select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), quality.expected_grade().alias("expected_grade"),
-        F.element_at("__tails", 1).alias("p_good"), F.element_at("__tails", 2).alias("p_best"), quality.selected().alias("kept"))
+        F.element_at("tails", 1).alias("p_good"), F.element_at("tails", 2).alias("p_best"), quality.selected().alias("kept"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

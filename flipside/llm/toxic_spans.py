@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flipside.llm.common import map_arrow, texts
+from flipside.llm.common import lowest, map_arrow, texts
 
 WORD = re.compile(r"\w+")
 
@@ -264,7 +264,7 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id",
     """Learns from at most ``max_rows`` labelled documents among those where ``train`` holds."""
     known = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    toxic, clean = (known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(max_rows // 2) for k in (1, 0))
+    toxic, clean = (lowest(known.where(F.col("label") == k), "id", max_rows // 2) for k in (1, 0))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(toxic.union(clean)), "id")
     docs = docs.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(max_rows).select("text", "label")
 
