@@ -3,22 +3,23 @@
 * C5 runs a caller-supplied completion function per partition
   (``mapInPandas``); the function is built once per partition by a factory,
   retried with exponential back-off, and failures become rows (``error``),
-  never task failures.
-* D1-D5 parse a ``responses`` table natively (regex, ``get_json_object``,
-  ``from_json``); only replies that the native path cannot read go through a
-  small Arrow function that scans for the first decodable JSON object.
+  never task failures. Replies are lazy like any plan: write them once
+  (``sources.stages``) before parsing, or the model is called again per read.
+* D1 is one Arrow function per reply (strict JSON over balanced top-level
+  blocks); D2-D5 are column expressions.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StructType
 
 RESPONSE_SCHEMA = ("request_id string, id bigint, stage string, round int, content string, "
                    "error string, attempts int")
@@ -67,123 +68,168 @@ def batch_complete(prompts: DataFrame, factory: Callable[[], Callable[[str, str]
 
 # ---- D1 -----------------------------------------------------------------------------------------------
 
-_FENCE = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+# Fixed value: a reply may wrap its object in a Markdown code fence, with or without the word json.
+_FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.DOTALL)
+_STRUCTURE = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', re.DOTALL)
 
 
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-@pandas_udf(StringType())
-def _scan_first_object(texts: pd.Series) -> pd.Series:
-    """First decodable JSON object in the text (tries each '{' in turn)."""
-    dec = json.JSONDecoder()
-    out = []
-    for t in texts:
-        found = None
-        if t is not None:
-            pos = t.find("{")
-            while pos != -1:
-                try:
-                    obj, end = dec.raw_decode(t, pos)
-                    if isinstance(obj, dict):
-                        found = t[pos:end]
-                        break
-                except ValueError:
-                    pass
-                pos = t.find("{", pos + 1)
-        out.append(found)
-    return pd.Series(out, dtype=object)
+def top_level_blocks(text: str) -> Iterator[str]:
+    """The balanced {...} blocks of a text that lie in no other block; braces
+    inside strings do not count. An unclosed block ends the search: what is
+    inside it is part of a truncated object."""
+    at = text.find("{")
+    while at >= 0:
+        depth, end = 0, None
+        for token in _STRUCTURE.finditer(text, at):
+            depth += {"{": 1, "}": -1}.get(token[0], 0)
+            if depth == 0:
+                end = token.end()
+                break
+        if end is None:
+            return
+        yield text[at:end]
+        at = text.find("{", end)
+
+
+def _is_object(text: str) -> bool:
+    try:
+        return isinstance(json.loads(text), dict)
+    except ValueError:
+        return False
+
+
+def parse_reply(content: str | None) -> tuple[str | None, str]:
+    """(object text, status) of one reply."""
+    if content is None:
+        return None, "failed_call"
+    text = content.strip()
+    if fenced := _FENCED.search(text):
+        text = fenced[1]
+    if text.startswith("{") and text.endswith("}") and _is_object(text):
+        return text, "ok"
+    found = next((b for b in top_level_blocks(text) if _is_object(b)), None)
+    return found, "error" if found is None else "scanned"
+
+
+@pandas_udf(StructType().add("json", "string").add("parse_status", "string"))
+def _parse(contents: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_reply(c) for c in contents], columns=["json", "parse_status"], dtype=object)
 
 
 def extract_json(responses: DataFrame) -> DataFrame:
     """Adds `json` (the object text) and `parse_status` in
-    {ok, scanned, error, failed_call}. Code fences are unwrapped first; the
-    whole text is tried, then (Arrow UDF, failures only) the first object
-    that decodes."""
-    text = _strip(F.coalesce(F.col("content"), F.lit("")))
-    fenced = F.regexp_extract(text, _FENCE, 1)
-    body = F.when(fenced != "", _strip(fenced)).otherwise(text)
-    whole_ok = body.startswith("{") & body.endswith("}") & F.get_json_object(body, "$").isNotNull()
-    df = responses.withColumn("_body", body).withColumn("_whole", whole_ok)
-    fast = df.filter(F.col("_whole")).withColumn("json", F.col("_body")).withColumn("parse_status", F.lit("ok"))
-    slow = (df.filter(~F.col("_whole"))
-            .withColumn("json", _scan_first_object(F.col("_body")))
-            .withColumn("parse_status",
-                        F.when(F.col("content").isNull(), F.lit("failed_call"))
-                        .when(F.col("json").isNotNull(), F.lit("scanned")).otherwise(F.lit("error"))))
-    return fast.unionByName(slow).drop("_body", "_whole")
+    {ok, scanned, error, failed_call}: a code fence is unwrapped, the whole
+    text is tried as strict JSON, then each balanced top-level block in turn."""
+    return responses.withColumn("_p", _parse("content")).select(
+        *responses.columns, F.col("_p.json").alias("json"), F.col("_p.parse_status").alias("parse_status"))
 
 
 # ---- D2 -----------------------------------------------------------------------------------------------
 
+_KEY = r'"candidate_id"\s*:\s*"([^"]+)"'
+# One JSON string value, up to its closing quote or the end of the input; only whole escapes count.
+# Possessive, so that long texts are matched in a loop and not by recursion.
+_VALUE = r'"text"\s*:\s*"((?:[^"\\]++|\\u[0-9a-fA-F]{4}|\\[^u])*+)'
+
+
+def _decoded(raw: Column) -> Column:
+    """The text of a JSON string's inside, white space collapsed."""
+    plain = F.regexp_replace(raw, r"[\x00-\x1f]+", " ")
+    text = F.get_json_object(F.concat(F.lit('{"t":"'), plain, F.lit('"}')), "$.t")
+    return _strip(F.regexp_replace(text, r"\s+", " "))
+
+
+def _pairs(parts: Column) -> Column:
+    """(candidate_id, text) of the parts that have both."""
+    pair = F.transform(parts, lambda part: F.struct(
+        _strip(F.regexp_extract(part, _KEY, 1)).alias("candidate_id"), _decoded(F.regexp_extract(part, _VALUE, 1)).alias("text")))
+    return F.filter(pair, lambda x: (x["candidate_id"] != "") & (x["text"] != ""))
+
+
 def salvage_candidates(responses: DataFrame) -> DataFrame:
-    """Truncated generator output -> (request_id, id, round, candidate_id, text).
-
-    The text is cut into chunks at every `"candidate_id":`, the id and the
-    value after `"text":` are pulled out of each chunk, trailing JSON
-    punctuation is trimmed, escaped quotes are restored and whitespace is
-    collapsed. Duplicates (same request, id, text) keep the first chunk."""
-    fenced = F.regexp_extract(F.col("content"), r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    body = F.when(fenced != "", fenced).otherwise(_strip(F.col("content")))
-    chunks = responses.select("request_id", "id", "round",
-                              F.posexplode(F.split(body, r'(?="candidate_id"\s*:)')).alias("pos", "chunk"))
-    cid = F.regexp_extract("chunk", r'^"candidate_id"\s*:\s*"([^"]+)"', 1)
-    raw = F.regexp_extract("chunk", r'(?s)"text"\s*:\s*(.*)$', 1)
-    t = F.regexp_replace(_strip(raw), r'^"+', "")
-    t = F.regexp_replace(t, r",+$", "")
-    for pat in (r'"\s*}\s*,?\s*\{\s*$', r"}\s*,?\s*\{\s*$", r",\s*\{\s*$", r'"\s*,?\s*[}\]]*\s*$', r"[}\]]+\s*$"):
-        t = F.regexp_replace(t, pat, "")
-    t = F.regexp_replace(t, r'\\"', '"')
-    t = _strip(F.regexp_replace(t, r"\s+", " "))
-    rows = chunks.withColumn("candidate_id", _strip(cid)).withColumn("text", t).filter(
-        (F.col("candidate_id") != "") & (F.col("text") != ""))
-    w = Window.partitionBy("request_id", "candidate_id", "text").orderBy("pos")
-    return (rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-            .select("request_id", "id", "round", "pos", "candidate_id", "text"))
+    """Truncated generator output -> (request_id, id, round, pos,
+    candidate_id, text). The text is cut at every `"candidate_id":`, and each
+    part gives the id and the string after `"text":`, as far as it goes. When
+    no part has both, lines that have both (in any order) are used. Duplicates
+    (same id and text) keep the first; pos is the order of the rest."""
+    body = F.regexp_replace(F.col("content"), r"```(?:json)?", "")
+    by_id = _pairs(F.split(body, r'(?="candidate_id"\s*:)'))
+    by_line = _pairs(F.split(body, r"\R"))
+    pairs = F.array_distinct(F.when(F.size(by_id) > 0, by_id).otherwise(by_line))
+    return responses.select("request_id", "id", "round", F.posexplode(pairs).alias("pos", "_c")).select(
+        "request_id", "id", "round", "pos", "_c.candidate_id", "_c.text")
 
 
 # ---- D3 / D4 -------------------------------------------------------------------------------------------
 
-def _first_string(obj: Column, keys) -> Column:
-    vals = [F.when(F.length(_strip(F.get_json_object(obj, f"$.{k}"))) > 0, F.get_json_object(obj, f"$.{k}"))
-            for k in keys]
-    return F.coalesce(*vals)
+# The field names under which replies carry a text, in order of preference.
+ITEM_KEYS = ("text", "candidate", "output")
+TEXT_KEYS = ("text", "counterfactual", "candidate", "prediction", "output")
+# JSON values that count as absent.
+_ABSENT = ("null", '""', "0", "0.0", "false", "[]", "{}")
+
+
+def _field(obj: Column, key: str) -> Column:
+    """A field as a variant, null when absent or empty."""
+    value = F.variant_get(obj, f"$.{key}", "variant")
+    return F.when(~F.to_json(value).isin(*_ABSENT), value)
+
+
+def _string(value: Column) -> Column:
+    """A variant's string without outer white space; null for other kinds and blanks."""
+    text = F.when(F.schema_of_variant(value) == "STRING", _strip(F.variant_get(value, "$", "string")))
+    return F.when(text != "", text)
+
+
+def _items(obj: Column) -> Column:
+    """The candidates as variants; null unless they are a list."""
+    return F.try_variant_get(obj, "$.candidates", "array<variant>")
+
+
+def _item_text(item: Column) -> Column:
+    """The text of a candidate: a string, or an object's first present field if that is a string."""
+    first = F.coalesce(*[_field(item, k) for k in ITEM_KEYS])
+    return F.when(F.schema_of_variant(item).startswith("OBJECT"), _string(first)).otherwise(_string(item))
+
+
+def _item_id(item: Column, index: Column) -> Column:
+    own = F.when(F.schema_of_variant(item).startswith("OBJECT"), F.variant_get(_field(item, "candidate_id"), "$", "string"))
+    return F.coalesce(own, F.concat(F.lit("c"), (index + 1).cast("string")))
 
 
 def normalize_candidates(parsed: DataFrame) -> DataFrame:
     """D3: parsed objects -> one row per usable candidate (request_id, id,
-    round, candidate_id, text). Elements may be strings or objects; text comes
-    from text / candidate / output; the id from candidate_id else c<raw index>;
-    blank texts are skipped; when none survive, `prediction` becomes c1."""
-    arr = F.from_json(F.col("json"), "struct<candidates:array<string>>")["candidates"]
-    items = parsed.filter(F.col("json").isNotNull()).select(
-        "request_id", "id", "round", "json", F.posexplode_outer(arr).alias("pos", "item"))
-    is_obj = F.col("item").startswith("{")
-    text = F.when(is_obj, _first_string(F.col("item"), ["text", "candidate", "output"])).otherwise(F.col("item"))
-    cid = F.when(is_obj, F.coalesce(
-        F.when(F.length(F.get_json_object("item", "$.candidate_id")) > 0, F.get_json_object("item", "$.candidate_id")),
-        F.concat(F.lit("c"), (F.col("pos") + 1).cast("string")))).otherwise(
-        F.concat(F.lit("c"), (F.col("pos") + 1).cast("string")))
-    rows = (items.withColumn("text", _strip(text)).withColumn("candidate_id", cid)
-            .filter(F.col("text").isNotNull() & (F.col("text") != "")))
-    has = rows.select("request_id").distinct()
-    pred = _strip(F.get_json_object(F.col("json"), "$.prediction"))
-    fallback = (parsed.filter(F.col("json").isNotNull()).join(has, "request_id", "left_anti")
-                .withColumn("text", pred).filter(F.col("text").isNotNull() & (F.col("text") != ""))
-                .withColumn("candidate_id", F.lit("c1")).withColumn("pos", F.lit(0)))
-    cols = ["request_id", "id", "round", "pos", "candidate_id", "text"]
-    return rows.select(*cols).unionByName(fallback.select(*cols))
+    round, pos, candidate_id, text). Elements may be strings or objects; an
+    object's text is the first of text / candidate / output that is present
+    (not null or empty), and must be a string; the id comes from candidate_id
+    else c<raw index>; blank texts are skipped; when none is usable,
+    `prediction` becomes c1."""
+    obj = F.try_parse_json(F.col("json"))
+    found = F.filter(F.transform(_items(obj), lambda item, i: F.struct(
+        i.alias("pos"), _item_id(item, i).alias("candidate_id"), _item_text(item).alias("text"))),
+        lambda c: c["text"].isNotNull())
+    predicted = F.array(F.struct(F.lit(0).alias("pos"), F.lit("c1").alias("candidate_id"),
+                                 _string(F.variant_get(obj, "$.prediction", "variant")).alias("text")))
+    usable = F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(predicted)
+    rows = parsed.filter(F.col("json").isNotNull()).select("request_id", "id", "round", F.explode(usable).alias("_c"))
+    return rows.filter(F.col("_c.text").isNotNull()).select(
+        "request_id", "id", "round", F.col("_c.pos").cast("int").alias("pos"), "_c.candidate_id", "_c.text")
 
 
 def first_text(parsed: DataFrame) -> DataFrame:
     """First non-blank of text / counterfactual / candidate / prediction /
     output, else the first candidate (string, or object's text / candidate /
     output); '' when nothing usable."""
-    direct = _first_string(F.col("json"), ["text", "counterfactual", "candidate", "prediction", "output"])
-    first = F.get_json_object(F.col("json"), "$.candidates[0]")
-    from_first = F.when(first.startswith("{"), _first_string(first, ["text", "candidate", "output"])).otherwise(first)
-    return parsed.select("request_id", "id", _strip(F.coalesce(direct, from_first, F.lit(""))).alias("first_text"))
+    obj = F.try_parse_json(F.col("json"))
+    direct = F.coalesce(*[_string(F.variant_get(obj, f"$.{k}", "variant")) for k in TEXT_KEYS])
+    first = F.try_element_at(_items(obj), F.lit(1))
+    of_first = F.coalesce(_string(first), *[
+        F.when(F.schema_of_variant(first).startswith("OBJECT"), _string(F.variant_get(first, f"$.{k}", "variant"))) for k in ITEM_KEYS])
+    return parsed.select("request_id", "id", F.coalesce(direct, of_first, F.lit("")).alias("first_text"))
 
 
 def parse_report(parsed: DataFrame) -> DataFrame:
@@ -225,40 +271,3 @@ def merge_repaired(parsed: DataFrame, repaired_parsed: DataFrame) -> DataFrame:
              .withColumn("parse_status", F.lit("repaired")))
     keep = parsed.join(fixed.select("request_id"), "request_id", "left_anti")
     return keep.unionByName(fixed.select(*parsed.columns))
-
-
-# ---- a deterministic stand-in model --------------------------------------------------------------------
-
-def rule_model_factory() -> Callable[[str, str], str]:
-    """A deterministic stand-in for a chat model, used by tests and the
-    registered queries: it rewrites the prompt's text field and, keyed by the
-    md5 of the prompt, answers in one of several shapes (clean, fenced,
-    prose-wrapped, truncated, string list, alternate key, prediction only,
-    unreadable), so every parsing path is exercised on real rows."""
-    import hashlib
-
-    def fn(stage: str, prompt: str) -> str:
-        text = prompt.split("text=", 1)[1].split("\nplan=", 1)[0] if "text=" in prompt else prompt
-        text = " ".join(text.split())
-        h = int(hashlib.md5(prompt.encode("utf-8")).hexdigest()[:8], 16)
-        kind = h % 8
-        c1, c2 = text + " (one)", text + " (two)"
-        objs = [{"candidate_id": "c1", "text": c1}, {"candidate_id": "c2", "text": c2}]
-        if kind == 0:
-            return json.dumps({"candidates": objs})
-        if kind == 1:
-            return "```json\n" + json.dumps({"candidates": objs}) + "\n```"
-        if kind == 2:
-            return "Here it is: " + json.dumps({"candidates": objs}) + " -- done."
-        if kind == 3:
-            full = json.dumps({"candidates": objs}, indent=1)
-            return full[: max(1, len(full) - 7)]
-        if kind == 4:
-            return json.dumps({"candidates": [c1, "", c2]})
-        if kind == 5:
-            return json.dumps({"candidates": [{"output": c1}]})
-        if kind == 6:
-            return json.dumps({"prediction": c1})
-        return "no json here: " + text
-
-    return fn

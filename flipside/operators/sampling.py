@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import hash_bucket, hash_rank_key
-from ..functions.sampling import take_smallest
+from ..functions.sampling import take_smallest, take_smallest_each
 from ..functions.text import clean_text
 from ..params import LADDER, Params
 
@@ -51,10 +51,6 @@ def stratified_fraction(df: DataFrame, frac: float, seed: int, by: str = "label"
     return take_smallest(df, hash_rank_key(seed, "id"), lambda total: F.floor(total * F.lit(frac)), by=[by])
 
 
-def _with_ratios(df: DataFrame, ratios) -> DataFrame:
-    return df.withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
-
-
 def low_resource_ladder(df: DataFrame, seed: int, ratios=LADDER, base: int = 0) -> DataFrame:
     """P5: nested samples of size max(1, floor(base * ratio)) for every ratio.
 
@@ -63,14 +59,14 @@ def low_resource_ladder(df: DataFrame, seed: int, ratios=LADDER, base: int = 0)
     def size(total: Column) -> Column:
         b = F.lit(base) if base > 0 else total
         return F.least(total, F.greatest(F.lit(1), F.floor(b * F.col("ratio"))))
-    return take_smallest(_with_ratios(df, ratios), hash_rank_key(seed, "id"), size, by=["ratio"])
+    return take_smallest_each(df, hash_rank_key(seed, "id"), "ratio", [float(r) for r in ratios], size)
 
 
 def low_resource_stratified(df: DataFrame, seed: int, ratios=LADDER, by: str = "label") -> DataFrame:
     """The ladder ratios applied through P4 (per-stratum floor) on the full set."""
     def size(total: Column) -> Column:
         return F.when(F.col("ratio") < 1.0, F.floor(total * F.col("ratio"))).otherwise(total)
-    return take_smallest(_with_ratios(df, ratios), hash_rank_key(seed, "id"), size, by=["ratio", by])
+    return take_smallest_each(df, hash_rank_key(seed, "id"), "ratio", [float(r) for r in ratios], size, by=[by])
 
 
 def target_label(df: DataFrame) -> DataFrame:

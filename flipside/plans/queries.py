@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.keys import hash_bucket
 from ..operators import planning as C
 from ..operators import sampling as S
 from ..operators import score as SC
@@ -200,12 +201,6 @@ def f5_edit_similarity(spark, root):
         "id", "ordinal", F.round(levenshtein_similarity(F.col("text"), F.col("cand_text")), 4).alias("minimality_score"))
 
 
-def f5_ratcliff(spark, root):
-    from ..functions.editdist import ratcliff_similarity
-    return _round1(spark, root).select(
-        "id", "ordinal", F.round(ratcliff_similarity(F.col("text"), F.col("cand_text")), 4).alias("ratcliff"))
-
-
 def f6_consistency(spark, root):
     return _round1(spark, root).select(
         "id", "ordinal",
@@ -292,7 +287,6 @@ QUERIES = {
     "f3_semantic_score": f3_semantic_score,
     "f4_embedding_cosine": f4_embedding_cosine,
     "f5_edit_similarity": f5_edit_similarity,
-    "f5_ratcliff": f5_ratcliff,
     "f6_consistency": f6_consistency,
     "f8_verify": f8_verify,
     "f10_diversity": f10_diversity,
@@ -482,38 +476,51 @@ def j12_delta_vs(spark, root):
 
 # ---- model calls and responses ------------------------------------------------------------------------
 
-def _responses(spark, root):
-    prompts = C.render_prompts(_train(spark, root), C.rule_plan(_train(spark, root)), "generator",
-                               num_candidates=2)
-    return D.batch_complete(prompts, D.rule_model_factory, max_retries=1, backoff=0.0)
-
-
-def c5_batch_complete(spark, root):
-    return _responses(spark, root).select("request_id", "id", "stage", "round", "content", "error", "attempts")
-
-
-def c6_repair_requests(spark, root):
-    return D.repair_requests(D.extract_json(_responses(spark, root)))
+REPLY_KINDS = 10
+
+
+def responses_from_conversations(spark, root):
+    """A reply per conversation turn around its text, in one of ten shapes by
+    md5 bucket: clean, fenced, in prose, truncated, string list, other key,
+    prediction only, no JSON, failed call, after a broken block."""
+    turns = read_table(spark, root, "conversations").select(
+        F.concat_ws(":", F.lit("generator"), "conv_id", "turn").alias("request_id"), F.col("conv_id").alias("id"),
+        F.coalesce("text", F.lit("")).alias("_t"))
+    kind = hash_bucket(7, "request_id", buckets=REPLY_KINDS)
+    one, two = F.concat("_t", F.lit(" (one)")), F.concat("_t", F.lit(" (two)"))
+    whole = F.to_json(F.struct(F.array(
+        F.struct(F.lit("c1").alias("candidate_id"), one.alias("text")),
+        F.struct(F.lit("c2").alias("candidate_id"), two.alias("text"))).alias("candidates")))
+    shapes = [
+        whole, F.concat(F.lit("```json\n"), whole, F.lit("\n```")), F.concat(F.lit("Here it is: "), whole, F.lit(" -- done.")),
+        F.expr("left(_w, length(_w) - 7)"), F.to_json(F.struct(F.array(one, F.lit(""), two).alias("candidates"))),
+        F.to_json(F.struct(F.array(F.struct(one.alias("output"))).alias("candidates"))),
+        F.to_json(F.struct(one.alias("prediction"))), F.concat(F.lit("no json here: "), F.regexp_replace("_t", "[{}]", "")),
+        F.lit(None).cast("string"), F.concat(F.lit("{oops} "), whole)]
+    content = F.element_at(F.array(*shapes), F.col("_k") + 1)
+    return turns.withColumn("_k", kind).withColumn("_w", whole).select(
+        "request_id", "id", F.lit("generator").alias("stage"), F.lit(1).alias("round"), content.alias("content"),
+        F.when(F.col("_k") == 8, "RuntimeError: down").alias("error"), F.lit(1).alias("attempts"))
 
 
 def d1_extract_json(spark, root):
-    return D.extract_json(_responses(spark, root)).select("request_id", "parse_status", "json")
+    return D.extract_json(responses_from_conversations(spark, root)).select("request_id", "parse_status", "json")
 
 
 def d2_salvage_candidates(spark, root):
-    return D.salvage_candidates(_responses(spark, root))
+    return D.salvage_candidates(responses_from_conversations(spark, root))
 
 
 def d3_normalize_candidates(spark, root):
-    return D.normalize_candidates(D.extract_json(_responses(spark, root)))
+    return D.normalize_candidates(D.extract_json(responses_from_conversations(spark, root)))
 
 
 def d4_first_text(spark, root):
-    return D.first_text(D.extract_json(_responses(spark, root)))
+    return D.first_text(D.extract_json(responses_from_conversations(spark, root)))
 
 
 def d5_parse_report(spark, root):
-    return D.parse_report(D.extract_json(_responses(spark, root)))
+    return D.parse_report(D.extract_json(responses_from_conversations(spark, root)))
 
 
 def s2_stage_roundtrip(spark, root):
@@ -568,8 +575,6 @@ QUERIES.update({
     "j10_ratio_pivot": j10_ratio_pivot,
     "j11_best_per_group": j11_best_per_group,
     "j12_delta_vs": j12_delta_vs,
-    "c5_batch_complete": c5_batch_complete,
-    "c6_repair_requests": c6_repair_requests,
     "d1_extract_json": d1_extract_json,
     "d2_salvage_candidates": d2_salvage_candidates,
     "d3_normalize_candidates": d3_normalize_candidates,
@@ -579,13 +584,3 @@ QUERIES.update({
     "s5_collect_runs": s5_collect_runs,
 })
 
-
-def e5_model_rounds(spark, root):
-    """E5 driven by a completion function (deterministic stand-in model)."""
-    from .rounds import augment_rounds_with_model
-    res = augment_rounds_with_model(_train(spark, root), D.rule_model_factory, _model(spark, root), P,
-                                    max_retries=1, backoff=0.0)
-    return res.selected.select("id", "round", "ordinal", "candidate_id", "text", "label", "source", "final_score")
-
-
-QUERIES["e5_model_rounds"] = e5_model_rounds

@@ -145,19 +145,20 @@ def augment_rounds_with_model(samples: DataFrame, factory, model: PipelineModel,
     """E5 with a completion function (the reference's main path).
 
     Round r prompts every still-pending sample (with the previous round's
-    feedback), parses the replies (D1, then D3; D2 salvages unreadable
-    generator output), scores and selects; samples with a selection leave the
-    pending set (left anti join). Rounds depend on each other through the
-    feedback text, so this is a driver loop over rounds; each round's results
-    are checkpointed (reliable checkpoint in spark.checkpoint.dir) to cut the
-    lineage."""
+    feedback) and writes the replies once, as a stage table: each prompt is one
+    call. Replies are parsed (D1); unreadable ones are salvaged (D2) or, where
+    nothing can be salvaged, asked for again in JSON (C6), those replies being
+    written once too; then scored and selected. Samples with a selection leave
+    the pending set (left anti join). Rounds depend on each other through the
+    feedback text, so this is a driver loop over rounds; the written tables cut
+    the lineage."""
     from ..operators import responses as D
     from ..operators.planning import render_prompts
-    from ..session import checkpoint_dir
+    from ..sources.stages import written
 
-    checkpoint_dir(samples.sparkSession)
     base = _with_plan(samples.select("id", "text", "label"), p)
     plans = rule_plan(samples) if p.use_planner else None
+    call = dict(max_retries=max_retries, backoff=backoff, partitions=partitions)
     pending = base
     feedback = None
     vers, sels, fbs = [], [], []
@@ -166,18 +167,17 @@ def augment_rounds_with_model(samples: DataFrame, factory, model: PipelineModel,
         if feedback is not None:
             req = req.join(feedback.select("id", "feedback"), "id", "left")
         prompts = render_prompts(req, plans, "generator", num_candidates=p.num_candidates)
-        replies = D.batch_complete(prompts, factory, max_retries=max_retries, backoff=backoff,
-                                   partitions=partitions)
-        parsed = D.extract_json(replies)
-        cands = D.normalize_candidates(parsed)
-        salvaged = D.salvage_candidates(parsed.filter(F.col("json").isNull() & F.col("content").isNotNull()))
-        cands = cands.unionByName(salvaged)
+        parsed = written(D.extract_json(D.batch_complete(prompts, factory, **call)), "replies")
+        unread = parsed.filter(F.col("json").isNull() & F.col("content").isNotNull())
+        salvaged = D.salvage_candidates(unread)
+        lost = unread.join(salvaged.select("request_id").distinct(), "request_id", "left_anti")
+        repaired = written(D.extract_json(D.batch_complete(D.repair_requests(lost), factory, **call)), "repaired")
+        cands = D.normalize_candidates(D.merge_repaired(parsed, repaired)).unionByName(salvaged)
         cands = (cands.withColumn("ordinal", (F.col("pos") + 1).cast("int"))
                  .select("id", "round", "ordinal", "candidate_id", F.col("text").alias("cand_text"))
                  .join(pending.select("id", "text", "label", "elements_to_preserve"), "id")
                  .withColumn("target_label", (1 - F.col("label")).cast("int")))
-        ver = verify(cands, model, p)
-        marked = mark_selected(ver, p).checkpoint()
+        marked = written(mark_selected(verify(cands, model, p), p), "marked")
         sel = marked.filter("selected")
         vers.append(marked.drop("selected"))
         sels.append(sel.select("id", F.col("cand_text").alias("text"), F.col("target_label").alias("label"),
@@ -187,9 +187,9 @@ def augment_rounds_with_model(samples: DataFrame, factory, model: PipelineModel,
                     .agg(F.min_by(F.col("critique"), F.when(F.col("status") == "reject", F.col("ordinal"))).alias("_c"))
                     .select("id", F.coalesce("_c", F.lit(DEFAULT_FEEDBACK)).alias("feedback")))
         # samples without any parsed candidate also retry with the default line
-        pending = pending.join(done, "id", "left_anti").checkpoint()
-        feedback = pending.select("id").join(feedback, "id", "left").select(
-            "id", F.coalesce("feedback", F.lit(DEFAULT_FEEDBACK)).alias("feedback")).checkpoint()
+        pending = written(pending.join(done, "id", "left_anti"), "pending")
+        feedback = written(pending.select("id").join(feedback, "id", "left").select(
+            "id", F.coalesce("feedback", F.lit(DEFAULT_FEEDBACK)).alias("feedback")), "feedback")
         if r < p.rounds:
             fbs.append(feedback.withColumn("round", F.lit(r + 1)))
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own below spark.checkpoint.dir, which all executors share."""
+    from ..session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/flipside-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Writes a table once and reads it back: what made it runs once, and its lineage ends."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_stage(df: DataFrame, root: str, stage: str, run_id: str) -> None:
     """Append a stage table (plans, candidates, verifications, selected)
     as JSON lines under root/stage, partitioned by run_id. Each task writes

@@ -312,7 +312,7 @@ def _rounds(p: Params = P) -> str:
             + nb_cte() + verify_cte(p, "cands") + mark_cte(p, "ver"))
 
 
-def oracles() -> dict[str, str]:
+def _core_oracles() -> dict[str, str]:
     p = P
     o: dict[str, str] = {}
     o["s1_load_samples"] = with_(_base(p), "SELECT id, text, label, lang, source FROM raw")
@@ -465,15 +465,6 @@ groups AS (SELECT id, round, count(*) AS n_candidates FROM cands GROUP BY id, ro
         "SELECT g.id, g.round, g.n_candidates, round(coalesce((SELECT avg(d) FROM pairs p WHERE p.id = g.id AND p.round = g.round), 0.0), 4) AS diversity FROM groups g")
 
 
-_base_oracles = oracles
-
-
-def oracles() -> dict[str, str]:  # noqa: F811
-    o = _base_oracles()
-    _extra_oracles(o)
-    return o
-
-
 def _more_oracles(o: dict) -> None:
     p = P
     sel = "SELECT id, round, ordinal, candidate_id, cand_text AS text, target_label AS label FROM marked WHERE selected AND round = stop_round"
@@ -547,15 +538,6 @@ m AS (""" + metrics("method, domain", "(SELECT *, 'none' AS method FROM pred WHE
     o["j1_variant_selection"] = " UNION ALL ".join(sqls)
 
 
-_prev_oracles = oracles
-
-
-def oracles() -> dict[str, str]:  # noqa: F811
-    o = _prev_oracles()
-    _more_oracles(o)
-    return o
-
-
 def _sink_oracles(o: dict) -> None:
     """Sinks and incremental runs: their results must equal the batch tables."""
     p = P
@@ -564,10 +546,31 @@ def _sink_oracles(o: dict) -> None:
     o["h5_stream_augment"] = o["e5_augment_rounds"]
 
 
-_prev_oracles2 = oracles
+
+def _response_oracles(o: dict) -> None:
+    """The reply rows are built from the same parts, so what each parse must find is known."""
+    shapes = """
+t AS (SELECT 'generator:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, conv_id AS id, coalesce(text, '') AS t FROM conversations),
+r AS (SELECT request_id, id, ('0x' || substr(md5('7:' || request_id), 1, 8))::BIGINT % 10 AS k, t, t || ' (one)' AS a, t || ' (two)' AS b FROM t),
+w AS (SELECT *, CAST(to_json({'candidates': [{'candidate_id': 'c1', 'text': a}, {'candidate_id': 'c2', 'text': b}]}) AS VARCHAR) AS whole FROM r),
+p AS (SELECT *, CASE WHEN k IN (0, 1, 4, 5, 6) THEN 'ok' WHEN k IN (2, 9) THEN 'scanned' WHEN k = 8 THEN 'failed_call' ELSE 'error' END AS parse_status,
+  CASE WHEN k IN (0, 1, 2, 9) THEN whole WHEN k = 4 THEN CAST(to_json({'candidates': [a, '', b]}) AS VARCHAR)
+       WHEN k = 5 THEN CAST(to_json({'candidates': [{'output': a}]}) AS VARCHAR) WHEN k = 6 THEN CAST(to_json({'prediction': a}) AS VARCHAR) END AS json FROM w)"""
+    strip = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    flat = lambda x: strip.format(x=f"regexp_replace({x}, '\\s+', ' ', 'g')")
+    o["d1_extract_json"] = with_(shapes, "SELECT request_id, parse_status, json FROM p")
+    o["d2_salvage_candidates"] = with_(shapes, f"""
+SELECT request_id, id, CAST(1 AS INTEGER) AS round, CAST(0 AS INTEGER) AS pos, 'c1' AS candidate_id, {flat('a')} AS text FROM p WHERE k IN (0, 1, 2, 3, 9)
+UNION ALL SELECT request_id, id, 1, 1, 'c2', {flat("CASE WHEN k = 3 THEN left(b, length(b) - 3) ELSE b END")} FROM p WHERE k IN (0, 1, 2, 3, 9)""")
+    o["d3_normalize_candidates"] = with_(shapes, f"""
+SELECT request_id, id, CAST(1 AS INTEGER) AS round, CAST(0 AS INTEGER) AS pos, 'c1' AS candidate_id, {strip.format(x='a')} AS text FROM p WHERE json IS NOT NULL
+UNION ALL SELECT request_id, id, 1, CASE WHEN k = 4 THEN 2 ELSE 1 END, CASE WHEN k = 4 THEN 'c3' ELSE 'c2' END, {strip.format(x='b')} FROM p WHERE k IN (0, 1, 2, 4, 9)""")
+    o["d4_first_text"] = with_(shapes, f"SELECT request_id, id, CASE WHEN json IS NULL THEN '' ELSE {strip.format(x='a')} END AS first_text FROM p")
+    o["d5_parse_report"] = with_(shapes, "SELECT parse_status, count(*) AS n FROM p GROUP BY parse_status")
 
 
-def oracles() -> dict[str, str]:  # noqa: F811
-    o = _prev_oracles2()
-    _sink_oracles(o)
+def oracles() -> dict[str, str]:
+    o = _core_oracles()
+    for add in (_extra_oracles, _more_oracles, _sink_oracles, _response_oracles):
+        add(o)
     return o

@@ -30,3 +30,13 @@ def test_selection_exchange_carries_no_text(spark):
     # the user repartition on id (slim rows) is the only REPARTITION_BY_COL exchange
     lines = [l for l in text.splitlines() if "REPARTITION_BY_COL" in l]
     assert len(lines) == 1
+
+
+def test_ladder_shuffles_no_text(spark):
+    """The ladder's cut is found on slim rows; rows themselves pass a filter."""
+    from flipside.operators import sampling as S
+    df = spark.range(1000).selectExpr("id", "cast(id % 2 as int) AS label", "repeat('x', 50) AS text")
+    for out in (S.low_resource_ladder(df, 1), S.low_resource_stratified(df, 1), S.subsample(df, 100, 1), S.stratified_fraction(df, 0.3, 1)):
+        plan = _plan(out)
+        main = plan[:plan.find("Subquery")] if "Subquery" in plan else plan
+        assert "Exchange" not in main and "SortMergeJoin" not in main, main

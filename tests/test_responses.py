@@ -1,4 +1,7 @@
 import json
+import os
+
+import pytest
 
 from flipside.operators import responses as D
 
@@ -76,15 +79,94 @@ def test_batch_complete_failures_become_rows(spark):
     assert out["r2"].content is None and "down" in out["r2"].error and out["r2"].attempts == 3
 
 
-def test_model_rounds_invariants(spark):
+TRUNCATED = '{"candidates":[{"candidate_id":"c1","text":"a"},{"candidate_id":"c2","text":"b'
+
+
+@pytest.mark.parametrize("content, status, candidates", [
+    (TRUNCATED, "error", [("c1", "a"), ("c2", "b")]),
+    ('{oops {"a":1}}', "error", []),
+    ("{'text':'x'}", "error", []),
+    ('{"prediction":" p "} and {"prediction":"q"}', "scanned", [("c1", "p")]),
+    ('{"candidates":[{"text":5},{"text":{"a":1}},"{braces} text",{"text":"  ","candidate":"z"},'
+     '{"text":"","candidate":"y","candidate_id":7}]}', "ok", [("c3", "{braces} text"), ("7", "y")]),
+    ('{"candidates":"none","prediction":"p"}', "ok", [("c1", "p")]),
+    ('{"candidates":[" ",null,3],"prediction":""}', "ok", []),
+    ('{"text":"e \\"q\\"","candidate_id":"c9"', "error", [("c9", 'e "q"')]),
+    (None, "failed_call", []),
+])
+def test_reply_to_candidates(spark, content, status, candidates):
+    """D1, then D3 on what was read and D2 on what was not."""
+    parsed = D.extract_json(_resp(spark, [("r", content)]))
+    assert parsed.first().parse_status == status
+    read = D.normalize_candidates(parsed).collect()
+    rest = D.salvage_candidates(parsed.filter("json IS NULL AND content IS NOT NULL")).collect()
+    assert [(r.candidate_id, r.text) for r in sorted(read + rest, key=lambda r: r.pos)] == candidates
+
+
+def test_long_reply_is_salvaged(spark):
+    text = 'long \\"text\\" ' * 50_000
+    (row,) = D.salvage_candidates(_resp(spark, [("r", '{"candidates":[{"candidate_id":"c1","text":"' + text)])).collect()
+    assert row.text == ('long "text" ' * 50_000).strip()
+
+
+def test_top_level_blocks():
+    assert list(D.top_level_blocks('a {"x": "}{"} b {c {d}} {e')) == ['{"x": "}{"}', "{c {d}}"]
+    assert list(D.top_level_blocks('{"open string }')) == []
+    assert list(D.top_level_blocks("{" * 3000)) == []
+
+
+def test_rejects_have_a_preview(spark):
+    (row,) = D.parse_rejects(D.extract_json(_resp(spark, [("ok", "{}"), ("bad", "no\njson" + "x" * 500)]))).collect()
+    assert row.request_id == "bad" and row.preview.startswith("no\\njsonx") and len(row.preview) == 401
+
+
+def test_repair_round_trip(spark):
+    parsed = D.extract_json(_resp(spark, [("good", '{"prediction":"p"}'), ("bad", "nothing"), ("lost", "nothing")]))
+    asked = D.repair_requests(parsed)
+    assert sorted(r.request_id for r in asked.collect()) == ["bad:repair", "lost:repair"]
+    answers = D.extract_json(_resp(spark, [("bad:repair", '{"prediction":"q"}'), ("lost:repair", "still nothing")]))
+    merged = {r.request_id: (r.parse_status, r.json) for r in D.merge_repaired(parsed, answers).collect()}
+    assert merged == {"good": ("ok", '{"prediction":"p"}'), "bad": ("repaired", '{"prediction":"q"}'), "lost": ("error", None)}
+
+
+def _counting(folder):
+    """The stand-in model, leaving a file for each call."""
+    import model_stub
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(model_stub)
+
+    def factory():
+        import hashlib
+        import uuid
+
+        answer = model_stub.rule_model_factory()
+
+        def fn(stage, prompt):
+            key = hashlib.md5(prompt.encode()).hexdigest()
+            open(f"{folder}/{key}-{uuid.uuid4().hex}", "w").close()
+            return answer(stage, prompt)
+        return fn
+    return factory
+
+
+def test_model_rounds(spark, tmp_path):
     from pyspark.sql import functions as F
     from flipside.params import MULTI_STAGE
     from flipside.plans.queries import _model, _train
     from flipside.plans.rounds import augment_rounds_with_model
     root = "/root/testdata/sf0.001"
-    res = augment_rounds_with_model(_train(spark, root), D.rule_model_factory, _model(spark, root), MULTI_STAGE,
+    one = augment_rounds_with_model(_train(spark, root), _counting(str(tmp_path)), _model(spark, root),
+                                    MULTI_STAGE.with_(max_retry_rounds=0), max_retries=0, backoff=0)
+    assert one.verifications.count() > 0 and one.selected.count() >= 0
+    calls = [name.split("-")[0] for name in os.listdir(tmp_path)]
+    assert len(calls) == len(set(calls)) > 0  # one call for each prompt, however often the tables are read
+    import model_stub
+    res = augment_rounds_with_model(_train(spark, root), model_stub.rule_model_factory, _model(spark, root), MULTI_STAGE,
                                     max_retries=0, backoff=0)
     sel, ver = res.selected, res.verifications
+    # every sample of the first round has a candidate but those whose reply holds no JSON, asked twice
+    first = ver.filter("round = 1").select("id").distinct().count()
+    assert _train(spark, root).count() * 0.7 <= first
     assert sel.join(ver, ["id", "round", "ordinal"], "left_anti").count() == 0
     # a sample is selected in one round only, within the round budget
     assert sel.groupBy("id").agg(F.countDistinct("round").alias("r")).filter("r > 1").count() == 0
