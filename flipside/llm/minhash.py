@@ -5,10 +5,12 @@ coordinate k of the signature is the least value of a second permutation after a
 of coordinates make bands; documents that share a band are candidates (32 bands of 5 rows miss a pair of
 similarity 0.85 once in 10^8). Links are confirmed on full shingle sets.
 
-Groups of any size stay cheap without dropping a link: equal sets collapse to their smallest id before
-banding; in a band's bucket every member is compared with the member that shares the most buckets with others,
-so that a group of copies costs one comparison a member; what is then connected is one class, and only
-members of different classes in a bucket are compared further, until none is left.
+Groups of any size stay cheap without dropping a link. Equal sets collapse to their smallest id before
+banding. Shingles that no other bucketed document has bound what a document can share: texts that have a
+passage in common but little else, or copies far from the original, drop out without a comparison. In a bucket every
+member is compared with the one that meets the most others, its leader, so that a group of copies costs one
+comparison a member; what is then connected is one class. Only members of different classes in a bucket are
+compared further, and only where a link is possible by what they share with the leader and beyond it.
 
 Defined cases: a text without words has an empty set and is linked with nothing; one with fewer words than a
 shingle has its whole sequence as one; rows that share an id are one document and get a row each; an empty
@@ -22,6 +24,7 @@ from hashlib import blake2b
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructType
 
 from flipside.llm.common import map_arrow, raw_texts, stored
 
@@ -113,34 +116,49 @@ def _sign(words: int, bands: int, rows: int):
 def _sets(words: int):
     def step(batch):
         sets = shingle_sets(raw_texts(batch, "text"), words)
-        return {"digest": [_digest(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
+        return {"digest": [_digest(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]}
 
     return step
 
 
-def _compare(percent: int):
+def _lists(column) -> list[np.ndarray]:
+    flat = column.flatten().to_numpy().view(np.uint64)
+    ends = np.cumsum(column.value_lengths().to_numpy())
+    return np.split(flat, ends[:-1])
+
+
+def _count():
     def step(batch):
-        linked = []
-        for one, other in zip(batch["one"].to_pylist(), batch["other"].to_pylist()):
-            a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+        shared = []
+        for a, b in zip(_lists(batch["one"]), _lists(batch["other"])):
             at = np.searchsorted(a, b)
-            shared = int(np.count_nonzero(a[np.minimum(at, len(a) - 1)] == b))
-            linked.append(100 * shared >= percent * (len(a) + len(b) - shared))
-        return {"a": batch["a"], "b": batch["b"], "linked": linked}
+            shared.append(int(np.count_nonzero(a[np.minimum(at, len(a) - 1)] == b)))
+        return {c: batch[c] for c in batch.schema.names if c not in ("one", "other")} | {"shared": shared}
 
     return step
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The links among candidate pairs (a, a_digest, b, b_digest), on full sets. The rarer side joins first, so
-    that a member with many partners is met in wide rows, which adaptive skew joins can split."""
-    ends = pairs.selectExpr("a AS id", "a_digest AS digest").union(pairs.selectExpr("b", "b_digest")).distinct()
-    found = map_arrow(docs.join(ends.select("id").distinct(), "id", "left_semi"), "digest binary, shingles binary", _sets, words)
-    sets = stored(found.join(ends.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"]), "shingle-sets")
-    wide = pairs.join(sets.withColumnsRenamed({"digest": "b_digest", "shingles": "other"}), "b_digest")
-    wide = wide.join(sets.withColumnsRenamed({"digest": "a_digest", "shingles": "one"}), "a_digest").select("a", "b", "one", "other")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return map_arrow(wide, f"a {kind}, b {kind}, linked boolean", _compare, percent).where("linked").select("a", "b")
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` with the number of shingles that a and b share, counted on full sets. The side with many partners
+    joins last, in wide rows, which adaptive skew joins can split."""
+    wide = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("other")), "b")
+    wide = wide.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("one")), "a")
+    schema = StructType([*wide.drop("one", "other").schema.fields]).add("shared", LongType())
+    return map_arrow(wide, schema, _count)
+
+
+def linked(percent: int):
+    return 100 * F.col("shared") >= percent * (F.col("a_n") + F.col("b_n") - F.col("shared"))
+
+
+def covered(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``members`` with m, the number of their shingles that another member has too, without those that can't be
+    similar enough to any other for it."""
+    alone = sets.select("doc", F.explode("shingles").alias("shingle"))
+    alone = alone.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("doc").alias("doc")).where("docs = 1")
+    alone = alone.groupBy("doc").agg(F.count("*").alias("alone"))
+    out = members.join(alone, "doc", "left").withColumn("m", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return out.where(100 * F.col("m") >= percent * F.col("n"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -161,9 +179,9 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stored(small.select("e.*").where("u <> v").distinct(), "edges")
 
 
-def _worth(percent: int):
-    """A similarity can't exceed the ratio of the sizes."""
-    return 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+def _worth(percent: int, most):
+    """Whether a pair that shares at most ``most`` shingles can be similar enough."""
+    return (100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85,
@@ -172,34 +190,51 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     signed = stored(map_arrow(docs, f"id {kind}, n long, digest binary, bands array<long>", _sign, words, bands, rows), "signatures")
-    sets = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-
-    member = F.struct("id", "digest", "n").alias("member")
-    banded = sets.where("id IS NOT NULL").select(member, F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = stored(banded.join(shared, "key"), "buckets")
-
-    met = buckets.groupBy("member.id").agg(F.sum("size").alias("met"))
-    ranked = buckets.withColumn("id", F.col("member.id")).join(met, "id").drop("id")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("met", "member")).alias("top")).select("key", F.col("top.member").alias("leader"))
-    side = lambda c, name: [F.col(f"{c}.id").alias(name), F.col(f"{c}.digest").alias(f"{name}_digest"), F.col(f"{c}.n").alias(f"{name}_n")]
-    stars = buckets.join(leaders, "key").where("member.id <> leader.id").select(*side("leader", "a"), *side("member", "b"))
-    stars = stored(stars.where(_worth(percent)).distinct(), "stars")
-    links = stored(confirmed(stars, docs, words, percent), "links")
+    sets = signed.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    sets = stored(sets.withColumn("doc", F.xxhash64("digest")), "distinct-sets")
+
+    banded = sets.select("doc", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    met = stored(banded.join(shared, "key"), "met")
+    members = sets.select("doc", "id", "n").join(met.select("doc").distinct(), "doc", "left_semi")
+    # the ids' side is slim: hashed at any size, so that no text is sorted
+    full = map_arrow(docs.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"),
+                     "digest binary, shingles array<long>", _sets, words).withColumn("doc", F.xxhash64("digest"))
+    full = stored(full.join(members.select("doc"), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "shingles"), "shingle-sets")
+
+    buckets = stored(met.join(covered(full, members, percent), "doc"), "buckets")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = buckets.join(shared, "key")
+
+    side = lambda name: [F.col(x).alias(f"{name}_{x}".removesuffix("_doc")) for x in ("doc", "id", "n", "m")]
+    popular = buckets.groupBy("doc").agg(F.sum("size").alias("met"))
+    leaders = buckets.join(popular, "doc").groupBy("key").agg(F.max(F.struct("met", "doc", "id", "n", "m")).alias("top"))
+    leaders = leaders.select("key", "top.*").select("key", *side("a"))
+    stars = buckets.join(leaders, "key").where("doc <> a").select("a", "a_id", "a_n", "a_m", *side("b"))
+    stars = stars.where(_worth(percent, F.least("a_m", "b_m"))).distinct()
+    stars = stored(compared(stars.select("a", "b", "a_id", "b_id", "a_n", "b_n"), full), "stars")
+    links = stars.where(linked(percent)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     classes = components(links)
 
-    placed = buckets.withColumn("id", F.col("member.id")).join(classes.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("key", "member", F.coalesce("component", "id").alias("class"))
+    # what a member shares with its bucket's leader bounds what two members share: in the leader, and beyond it
+    placed = buckets.join(leaders.select("key", "a"), "key")
+    placed = placed.join(stars.select("a", F.col("b").alias("doc"), "shared"), ["a", "doc"], "left")
+    placed = placed.withColumn("s", F.when(F.col("a") == F.col("doc"), F.col("n")).otherwise(F.col("shared")))
+    placed = placed.join(classes.withColumnRenamed("node", "id"), "id", "left")
+    placed = placed.select("key", "doc", "id", "n", "m", "s", F.coalesce("component", "id").alias("class"))
     mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    rest = placed.join(mixed, "key")
-    one, other = (rest.select("key", *side("member", x), F.col("class").alias(f"{x}_class")) for x in "ab")
-    pairs = one.join(other, "key").where("a_class < b_class").where(_worth(percent)).drop("key", "a_class", "b_class").distinct()
+    rest = stored(placed.join(mixed, "key"), "mixed")
+    one, other = (rest.select("key", *side(x), F.col("s").alias(f"{x}_s"), F.col("class").alias(f"{x}_class")) for x in "ab")
+    least = lambda x: F.least(f"a_{x}", f"b_{x}")
+    beyond = F.least(F.col("a_m") - F.col("a_s"), F.col("b_m") - F.col("b_s"))
+    most = F.coalesce(F.when(F.col("a_s").isNotNull() & F.col("b_s").isNotNull(), least("s") + beyond), least("m"))
+    able = (F.col("a_class") < F.col("b_class")) & _worth(percent, least("m")) & _worth(percent, most)
+    pairs = one.join(other, (one["key"] == other["key"]) & able).select("a", "b", "a_id", "b_id", "a_n", "b_n").distinct()
     tested = stars.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-    pairs = stored(pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
-                   .join(tested, ["low", "high"], "left_anti").drop("low", "high"), "rest")
-    more = stored(confirmed(pairs, docs, words, percent), "links")
+    pairs = pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(tested, ["low", "high"], "left_anti")
+    more = stored(compared(pairs.drop("low", "high"), full).where(linked(percent)), "links")
     if not more.isEmpty():
-        classes = components(links.union(more))
+        classes = components(links.union(more.select("a_id", "b_id")))
 
     named = signed.select("id", "n", "digest").join(sets.select("digest", F.col("id").alias("least")), "digest", "left")
     named = named.join(classes.withColumnRenamed("node", "least"), "least", "left")
