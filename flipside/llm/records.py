@@ -2,18 +2,20 @@
 
 A record is framed as a little-endian unsigned 64-bit length, the masked CRC-32C of those 8 bytes, the payload,
 and the payload's masked CRC-32C (rotated right by 15, plus 0xA282EAD8). The payload is the document id as a
-signed 64-bit integer and the token ids as unsigned 32-bit integers, all little-endian. Beside each shard lies an
+signed 64-bit integer, the width of the token ids in bytes as one (2 where the vocabulary allows it, or 4), and
+the ids as unsigned integers, all little-endian. Beside each shard lies an
 index of unsigned 64-bit offsets, one for each record, for shuffled reads. Shards follow one another in
 ascending id order; a manifest table, written by Spark, names those that count: files of task attempts that were
 lost or repeated are in no manifest.
 
 Defined cases: null and empty texts are the end id alone; rows that share an id are records one after another,
-ordered by text; rows without an id are left out of the files, having no place in their order; an empty table
+ordered by text, null first; rows without an id are left out of the files, having no place in their order; an empty table
 gives an empty manifest. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import gc
 import struct
 import uuid
 import zlib
@@ -117,6 +119,17 @@ def read_frames(stream, together: int = 4 << 20):
         yield payloads
 
 
+def payload(number: int, ids: bytes, wide: bool) -> bytes:
+    """A record's payload of ids that are given as unsigned 32-bit integers."""
+    return struct.pack("<qB", number, 4 if wide else 2) + (ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
+
+
+def contents(record: bytes) -> tuple[int, np.ndarray]:
+    """The document id and the token ids of a payload."""
+    number, width = struct.unpack_from("<qB", record)
+    return number, np.frombuffer(record, f"<u{width}", offset=9).astype("<u4")
+
+
 def _write(folder: str, path: str, end_id: int, memo: int):
     def run(batches):
         from pyspark import TaskContext
@@ -125,14 +138,17 @@ def _write(folder: str, path: str, end_id: int, memo: int):
         store.create_dir(base)
         number, name = TaskContext.get().partitionId(), f"shard-{uuid.uuid4().hex}"
         encoder, end = token_memo(path, memo), struct.pack("<I", end_id)
+        wide = max(end_id + 1, encoder.tokenizer.get_vocab_size(with_added_tokens=True)) > 1 << 16
         offsets, n_tokens, at = [], 0, 0
         out = None
         for batch in batches:
             for part in pieces(batch):
                 out = out or store.open_output_stream(f"{base}/{name}.records", compression=None)
+                gc.disable()  # as in map_arrow
                 ids = [x + end for x in encoder.ids(texts(part, "text"))]
+                gc.enable()
                 n_tokens += sum(map(len, ids)) // 4
-                for frame in frames([struct.pack("<q", i) + x for i, x in zip(part["id"].to_pylist(), ids)]):
+                for frame in frames([payload(i, x, wide) for i, x in zip(part["id"].to_pylist(), ids)]):
                     offsets.append(at)
                     at += len(frame)
                     out.write(frame)
@@ -147,12 +163,12 @@ def _write(folder: str, path: str, end_id: int, memo: int):
 
 
 def write_records(df: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id",
-                  text_col: str = "text", end_id: int = 0, memo: int = 600_000) -> tuple[str, DataFrame]:
+                  text_col: str = "text", end_id: int = 0, memo: int = 1_000_000) -> tuple[str, DataFrame]:
     """Encodes, writes shards in ascending id order, and returns their folder and manifest: shard, name,
     n_records, n_tokens, n_bytes, start (tokens in all shards before it)."""
     folder = folder or shared_folder(df.sparkSession, "records")
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = docs.repartitionByRange("id").sortWithinPartitions("id", F.md5(F.coalesce("text", F.lit(""))))
+    ordered = docs.repartitionByRange("id").sortWithinPartitions("id", "text")
     made = ordered.mapInArrow(_write(folder, tokenizer_path, end_id, memo),
                               "shard long, name string, n_records long, n_tokens long, n_bytes long")
     made = stored(made, "manifest")
@@ -170,11 +186,12 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
             for name, start in zip(batch["name"].to_pylist(), batch["start"].to_pylist()):
                 with store.open_input_stream(f"{base}/{name}.records", compression=None, buffer_size=1 << 20) as stream:
                     for payloads in read_frames(stream):
-                        counts = np.array([(len(p) - 8) // 4 for p in payloads])
+                        found = [contents(p) for p in payloads]
+                        counts = np.array([len(ids) for _, ids in found])
                         ends = start + np.cumsum(counts)
                         yield pa.RecordBatch.from_pydict({
-                            "doc_id": [struct.unpack_from("<q", p)[0] for p in payloads], "start": ends - counts,
-                            "n_tokens": counts, "ids_crc32": [zlib.crc32(memoryview(p)[8:]) for p in payloads]})
+                            "doc_id": [i for i, _ in found], "start": ends - counts,
+                            "n_tokens": counts, "ids_crc32": [zlib.crc32(ids) for _, ids in found]})
                         start = int(ends[-1])
 
     shards = manifest.select("shard", "name", "start")
@@ -192,5 +209,5 @@ def read_at(folder: str, name: str, records: list[int]) -> list[np.ndarray]:
         for r in records:
             stream.seek(int(offsets[r]))
             (n,) = struct.unpack("<Q", stream.read(12)[:8])
-            out.append(np.frombuffer(stream.read(n)[8:], "<u4"))
+            out.append(contents(stream.read(n))[1])
     return out

@@ -81,7 +81,7 @@ def splice(chunks: DataFrame) -> DataFrame:
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                 chunk: int = 32_768, overlap: int = 512, guard: int = 64, memo: int = 600_000) -> DataFrame:
+                 chunk: int = 32_768, overlap: int = 512, guard: int = 64, memo: int = 1_000_000) -> DataFrame:
     """id, n_bytes, n_tokens."""
     docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
