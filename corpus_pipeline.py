@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from flipside.llm import decontaminate, exact_dedup, minhash, pieces_codec, quality
-from flipside.llm.common import documents, stored
+from flipside.llm.common import documents, free_name, stored
 from flipside.llm.queries import quality_model, tokenizer_path
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is among the kept ones."""
-    ids = kept.select("doc_id").distinct()
+    ids = kept.select("doc_id").distinct().hint("shuffle_hash")  # slim beside texts, which need no sorting
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of a grade above the lowest is a half or more."""
-    scored = quality.tail_probabilities(docs, quality_model(spark, sf_dir))
-    return scored.where(quality.selected()).select(*docs.columns)
+    tails = free_name(docs, "tails")
+    scored = quality.tail_probabilities(docs, quality_model(spark, sf_dir), out_col=tails)
+    return scored.where(quality.selected(tails=tails)).drop(tails)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
