@@ -1,77 +1,82 @@
 """Scoring and verification.
 
-Every score is a map-side expression over one candidate row. The label scorer
-is a fitted Spark ML pipeline whose transform is map-only (its vocabulary and
-weights are bounded by ``vocab_size`` and shipped with the task closure).
+Every score but the label's is a map-side expression over one candidate row.
+The label scorer is a Naive Bayes model kept as a table of token weights, which
+rows meet by a join on their tokens: exact at any vocabulary size.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..functions.editdist import bitparallel_levenshtein, bounded_levenshtein, edit_similarity, step_budget
-from ..functions.text import TOKEN_PATTERN, set_cosine, token_set, tokens
+from ..functions.text import set_cosine, token_set, tokens
 from ..params import CRITIQUE_LIMITS, Params
 
-VOCAB_SIZE = 1 << 18
-_NB_IN = "_nb_text"
-_NB_COLS = ("_nb_tokens", "_nb_tf", "_nb_raw", "_nb_prob", "_nb_pred")
-
-
-def text_classifier(kind: str = "nb", vocab_size: int = VOCAB_SIZE) -> Pipeline:
-    """Regex tokens -> term counts -> NaiveBayes (default) or LogisticRegression."""
-    tok = RegexTokenizer(inputCol=_NB_IN, outputCol="_nb_tokens", pattern=TOKEN_PATTERN,
-                         gaps=False, toLowercase=True, minTokenLength=1)
-    tf = CountVectorizer(inputCol="_nb_tokens", outputCol="_nb_tf", vocabSize=vocab_size, minDF=1.0)
-    if kind == "nb":
-        clf = NaiveBayes(featuresCol="_nb_tf", labelCol="label", smoothing=1.0, modelType="multinomial",
-                         rawPredictionCol="_nb_raw", probabilityCol="_nb_prob", predictionCol="_nb_pred")
-    elif kind == "logreg":
-        clf = LogisticRegression(featuresCol="_nb_tf", labelCol="label", maxIter=50, regParam=0.01,
-                                 rawPredictionCol="_nb_raw", probabilityCol="_nb_prob", predictionCol="_nb_pred")
-    else:
-        raise ValueError(kind)
-    return Pipeline(stages=[tok, tf, clf])
-
-
-def fit_text_classifier(train: DataFrame, kind: str = "nb", text_col: str = "text") -> PipelineModel:
-    """Fit on (text, label). One distributed pass for the vocabulary, one
-    for the class/term sums (tree aggregation; no data on the driver)."""
-    data = train.select(F.col(text_col).alias(_NB_IN), F.col("label").cast("double").alias("label"))
-    # two passes read the same input: keep it for the duration of the fit only
-    data = data.persist()
-    try:
-        return text_classifier(kind).fit(data)
-    finally:
-        data.unpersist()
-
-
-def class_probability(model: PipelineModel, df: DataFrame, text_col: str, class_col: Column | str,
+@dataclass
+class TextModel:
+    """A fitted two-class Naive Bayes scorer, as lazy as any plan.
+
+    ``weights``: one row per training token, w = log P(token|1) - log P(token|0);
+    ``prior``: scalar, log P(1) - log P(0)."""
+
+    weights: DataFrame
+    prior: Column
+
+
+def fit_text_classifier(train: DataFrame, text_col: str = "text") -> TextModel:
+    """Multinomial Naive Bayes (smoothing 1) on (text, label) as a table of
+    token weights: every token of the training texts has its row, however many
+    there are. Token counts combine map-side, so a token of every document is
+    one row per task before the shuffle; nothing comes to the driver."""
+    toks = train.select(F.col("label").cast("int").alias("label"), F.explode(tokens(F.col(text_col))).alias("token"))
+    counts = toks.groupBy("token").agg(F.sum("label").alias("c1"), F.sum(1 - F.col("label")).alias("c0"))
+    total = counts.select(F.struct(F.sum("c1").alias("t1"), F.sum("c0").alias("t0"), F.count(F.lit(1)).alias("v"))).scalar()
+    weights = counts.withColumn("_t", total).select(
+        "token", (F.log(F.col("c1") + 1.0) - F.log(F.col("_t.t1") + F.col("_t.v") * 1.0)
+                  - F.log(F.col("c0") + 1.0) + F.log(F.col("_t.t0") + F.col("_t.v") * 1.0)).alias("w"))
+    docs = train.select(F.coalesce(F.log(F.sum("label") + 1.0) - F.log(F.sum(1 - F.col("label")) + 1.0), F.lit(0.0))).scalar()
+    return TextModel(weights, docs)
+
+
+def with_logit(model: TextModel, df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """log P(1 | text) - log P(0 | text) per row, by joining the row's tokens
+    with the weights. Rows are known by id, and by round and ordinal where they
+    have them; the sums of an id (a handful) come back as one list joined on
+    id alone, so that rows partitioned by id, texts and all, stay where they are."""
+    rest = [c for c in ("round", "ordinal") if c in df.columns]
+    toks = df.select("id", *rest, F.explode(tokens(F.col(text_col))).alias("token"))
+    sums = toks.join(model.weights, "token").groupBy("id", *rest).agg(F.sum("w").alias("_z"))
+    sums = sums.groupBy("id").agg(F.collect_list(F.struct(*rest, "_z")).alias("_zs"))
+    same = lambda z: [z[c] == F.col(c) for c in rest]
+    own = F.filter("_zs", lambda z: reduce(lambda x, y: x & y, same(z), F.lit(True)))
+    z = F.coalesce(F.try_element_at(own, F.lit(1))["_z"], F.lit(0.0))
+    return df.join(sums, "id", "left").withColumn("_prior", model.prior).withColumn(out, z + F.col("_prior")).drop("_zs", "_prior")
+
+
+def class_probability(model: TextModel, df: DataFrame, text_col: str, class_col: Column | str,
                       out: str) -> DataFrame:
-    """P(class | text) for a per-row class index (map-only transform)."""
+    """P(class | text) for a per-row class index."""
     cls = F.col(class_col) if isinstance(class_col, str) else class_col
-    scored = model.transform(df.withColumn(_NB_IN, F.col(text_col)))
-    prob = F.element_at(vector_to_array(F.col("_nb_prob")), cls.cast("int") + 1)
-    return scored.withColumn(out, prob).drop(_NB_IN, *_NB_COLS)
+    scored = with_logit(model, df, text_col, "_logit")
+    return scored.withColumn(out, 1 / (1 + F.exp(F.when(cls == 1, -F.col("_logit")).otherwise(F.col("_logit"))))).drop("_logit")
 
 
-def predict(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Argmax class and P(class 1) for every row."""
-    scored = model.transform(df.withColumn(_NB_IN, F.col(text_col)))
-    return (scored.withColumn("prediction", F.col("_nb_pred").cast("int"))
-            .withColumn("probability", F.element_at(vector_to_array(F.col("_nb_prob")), 2))
-            .drop(_NB_IN, *_NB_COLS))
+def predict(model: TextModel, df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Argmax class (0 on a tie) and P(class 1) for every row."""
+    scored = with_logit(model, df, text_col, "_logit")
+    return (scored.withColumn("prediction", (F.col("_logit") > 0).cast("int"))
+            .withColumn("probability", 1 / (1 + F.exp(-F.col("_logit")))).drop("_logit"))
 
 
-def label_score(model: PipelineModel, cands: DataFrame) -> DataFrame:
+def label_score(model: TextModel, cands: DataFrame) -> DataFrame:
     """P(target_label | candidate text) from the fitted classifier."""
     return class_probability(model, cands, "cand_text", "target_label", "label_score")
 
@@ -138,7 +143,7 @@ def critique(ls: Column, ss: Column, ms: Column) -> Column:
     return F.when(issues == "", F.lit(GENERIC_CRITIQUE)).otherwise(issues)
 
 
-def verify(cands: DataFrame, model: PipelineModel, p: Params, preserve_col: str = "elements_to_preserve") -> DataFrame:
+def verify(cands: DataFrame, model: TextModel, p: Params, preserve_col: str = "elements_to_preserve") -> DataFrame:
     """F1+F3+F5+F6 -> F7 -> F8 gate (unrounded) -> F9; stored scores rounded to 4 dp.
 
     Input columns: id, text (original), cand_text, target_label, preserve list."""

@@ -19,12 +19,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.generate import candidate_keys, with_candidate_text
 from ..operators.planning import DEFAULT_PRESERVE, PRESERVE, rule_plan
-from ..operators.score import DEFAULT_FEEDBACK, verify
+from ..operators.score import DEFAULT_FEEDBACK, TextModel, verify
 from ..operators.select import passes_thresholds
 from ..params import Params
 
@@ -72,7 +71,7 @@ def mark_selected(ver: DataFrame, p: Params) -> DataFrame:
             .drop("_t", "_n", "_cut", "_q"))
 
 
-def augment_rounds(samples: DataFrame, lexicon: DataFrame, model: PipelineModel, p: Params,
+def augment_rounds(samples: DataFrame, lexicon: DataFrame, model: TextModel, p: Params,
                    source: str = "multi_stage") -> RoundsResult:
     base = _with_plan(samples.select("id", "text", "label"), p)
     cands = with_candidate_text(candidate_keys(base, p.num_candidates, p.rounds), lexicon, p.seed,
@@ -139,7 +138,7 @@ def variant_selection(ver: DataFrame, variants: dict[str, Params]) -> DataFrame:
                                               "dynamic", "q", "k", "use_selector")
 
 
-def augment_rounds_with_model(samples: DataFrame, factory, model: PipelineModel, p: Params,
+def augment_rounds_with_model(samples: DataFrame, factory, model: TextModel, p: Params,
                               source: str = "multi_stage", max_retries: int = 3, backoff: float = 1.0,
                               partitions: int | None = None) -> RoundsResult:
     """E5 with a completion function (the reference's main path).

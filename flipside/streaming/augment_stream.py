@@ -9,9 +9,9 @@ duplicates; the checkpoint folder records which files were consumed.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.score import TextModel
 from ..params import Params
 from ..plans.rounds import augment_rounds
 
@@ -19,7 +19,7 @@ SAMPLE_SCHEMA = "id bigint, text string, label int"
 
 
 def stream_augment(spark: SparkSession, input_dir: str, output_dir: str, checkpoint: str,
-                   lexicon: DataFrame, model: PipelineModel, p: Params,
+                   lexicon: DataFrame, model: TextModel, p: Params,
                    max_files_per_trigger: int | None = None):
     """Start the stream with an availableNow trigger (drains what is there,
     then stops). Returns the StreamingQuery."""
