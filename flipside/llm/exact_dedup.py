@@ -29,9 +29,10 @@ def normalised(text: Column) -> Column:
 
 
 def chunk_pattern(least: int, most: int) -> str:
-    """A chunk ends after three characters of a fixed eighth of the code points below U+0250; scripts beyond
-    them are cut at ``most`` code points. Where a cut falls depends on the text since the last cut alone."""
-    cuts = "".join(f"\\u{c:04x}" for c in range(0x21, 0x250) if c * 2654435761 % 2**32 >> 29 < 2)
+    """A chunk ends after three characters of a fixed quarter of the code points below U+0100, which a regular
+    expression tells by a bitmap; scripts beyond them are cut at ``most`` code points. Where a cut falls depends on
+    the text since the last cut alone."""
+    cuts = "".join(f"\\u{c:04x}" for c in range(0x21, 0x100) if c * 2654435761 % 2**32 >> 29 < 2)
     return f"(?s).{{{least},{most}}}?(?<=[{cuts}]{{3}})|.{{1,{most}}}"
 
 
