@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import hash_rank_key
@@ -58,7 +59,7 @@ def run_counters(samples: DataFrame, ver: DataFrame, selected: DataFrame) -> Dat
 def pending(spark: SparkSession, samples: DataFrame, processed_path: str) -> DataFrame:
     """H4: samples whose id is not in the processed-ids table (left anti join).
     A missing table means nothing was processed yet."""
-    if not _exists(spark, processed_path):
+    if not path_exists(spark, processed_path):
         return samples
     done = spark.read.parquet(processed_path).select("id")
     return samples.join(done, "id", "left_anti")
@@ -70,12 +71,11 @@ def record_processed(samples: DataFrame, processed_path: str, run_id: str) -> No
     samples.select("id", F.lit(run_id).alias("run_id")).write.mode("append").parquet(processed_path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
-    return _exists(spark, path)
+    """Whether a file or folder is there; ``path`` may be a glob."""
+    try:
+        return bool(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").head(1))
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise

@@ -72,10 +72,3 @@ def delta_vs(summary: DataFrame, ref: str, group: str = "ratio", value: str = "t
     w = Window.partitionBy(group)
     return summary.withColumn("_ref", F.max(F.when(F.col(key) == ref, F.col(value))).over(w)).select(
         group, key, F.round((F.col(value) - F.col("_ref")) * 100, 2).alias("delta_points"))
-
-
-def ablation_report(runs: DataFrame, quality: DataFrame) -> DataFrame:
-    """Per variant acc, F1 and label success."""
-    return runs.join(quality, ["task", "ratio", "seed", "method"], "left").select(
-        "variant", "seed", F.col("test_acc").alias("acc"), F.col("test_f1").alias("f1"),
-        F.coalesce(F.col("label_success"), F.lit(0.0)).alias("label_success"))

@@ -9,11 +9,13 @@ one grouped job (I3), so the driver only loops over the grid's configurations
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import planning as C
 from ..operators import sampling as S
-from ..operators.assemble import AUG_COLS, merge_train
+from ..operators.assemble import AUG_COLS, merge_train, path_exists
 from ..operators.evaluate import classification_metrics, quality_report
 from ..operators.generate import first_pass, lexicon_candidates, synonym_augment
 from ..operators.score import fit_text_classifier, predict, verify
@@ -22,7 +24,25 @@ from ..params import LADDER, METHODS, Params
 from ..session import checkpoint_dir
 from .rounds import augment_rounds
 
-_MEMO: dict = {}
+
+def _grid_folder(spark: SparkSession, root: str, *key) -> str:
+    """The folder of a grid's tables, below this application's own checkpoint
+    folder and named after the parameters and the input files (path, size,
+    time), so that the roll-ups of one application share one run and neither
+    another session nor changed data ever meets it."""
+    files = []
+    for table in ("documents", "labels"):
+        meta = spark.read.parquet(f"{root}/{table}.parquet").select("_metadata.*").select(
+            "file_path", "file_size", F.col("file_modification_time").cast("string")).distinct()
+        files += sorted(tuple(r) for r in meta.collect())   # one row per file
+    return f"{checkpoint_dir(spark).rstrip('/')}/flipside-grid-{hashlib.md5(repr((key, files)).encode()).hexdigest()}"
+
+
+def _kept(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table at ``path``, made and written first where it isn't there."""
+    if not path_exists(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def method_sets(train: DataFrame, p: Params, lexicon: DataFrame, scorer) -> dict:
@@ -53,10 +73,9 @@ def run_grid(spark: SparkSession, root: str, p: Params, seeds=(42,), ratios=(1.0
     spark.checkpoint.dir: later jobs read them back instead of recomputing
     them, and their lineage (and plan size) is cut, so planning cost does not
     grow across the grid. All predictions are measured in one grouped job."""
-    key = (root, p, tuple(seeds), tuple(ratios), tuple(methods), task)
-    if key in _MEMO:
-        return _MEMO[key]
-    checkpoint_dir(spark)
+    folder = _grid_folder(spark, root, p, tuple(seeds), tuple(ratios), tuple(methods), task)
+    if path_exists(spark, f"{folder}/quality"):
+        return spark.read.parquet(f"{folder}/runs"), spark.read.parquet(f"{folder}/quality")
     prepared = S.prepared_samples(spark, root, p)
     full_train = prepared.filter((F.col("domain") == "id") & (F.col("split") == "train"))
     evalset = (prepared.filter(F.col("split").isin("validation", "test", "ood_test"))
@@ -114,9 +133,7 @@ def run_grid(spark: SparkSession, root: str, p: Params, seeds=(42,), ratios=(1.0
     quality = quals[0]
     for d in quals[1:]:
         quality = quality.unionByName(d)
-    result = (runs.checkpoint(), quality.checkpoint())
-    _MEMO[key] = result
-    return result
+    return _kept(spark, f"{folder}/runs", lambda: runs), _kept(spark, f"{folder}/quality", lambda: quality)
 
 
 def ladder_grid(spark: SparkSession, root: str, p: Params, seeds=(42,), methods=METHODS):
@@ -129,10 +146,9 @@ def ablation_grid(spark: SparkSession, root: str, p: Params, seeds=(42,)) -> Dat
     success is the mean label score of its verifications."""
     from ..operators.generate import single_shot
     from ..params import VARIANTS, variant_params
-    key = ("ablation", root, p, tuple(seeds))
-    if key in _MEMO:
-        return _MEMO[key]
-    checkpoint_dir(spark)
+    folder = _grid_folder(spark, root, "ablation", p, tuple(seeds))
+    if path_exists(spark, folder):
+        return spark.read.parquet(folder)
     prepared = S.prepared_samples(spark, root, p)
     full_train = prepared.filter((F.col("domain") == "id") & (F.col("split") == "train"))
     test = prepared.filter(F.col("split") == "test").select("id", "text", "label", "split")
@@ -170,6 +186,5 @@ def ablation_grid(spark: SparkSession, root: str, p: Params, seeds=(42,)) -> Dat
     metrics = classification_metrics(union, ["variant", "seed"])
     ls = q.groupBy("variant", "seed").agg(F.round(F.first("label_score"), 4).alias("label_success"))
     out = metrics.join(ls, ["variant", "seed"], "left").select(
-        "variant", "seed", "acc", "f1", F.coalesce("label_success", F.lit(0.0)).alias("label_success")).checkpoint()
-    _MEMO[key] = out
-    return out
+        "variant", "seed", "acc", "f1", F.coalesce("label_success", F.lit(0.0)).alias("label_success"))
+    return _kept(spark, folder, lambda: out)

@@ -545,7 +545,7 @@ def s5_collect_runs(spark, root):
     base = f"{checkpoint_dir(spark).rstrip('/')}/flipside-runs-{uuid.uuid4().hex}"
     runs, _ = X.run_grid(spark, root, P, seeds=(42,))
     cols = ["method", "test_acc", "test_f1", "val_acc", "val_f1", "train_size", "generated", "selected"]
-    write_results(runs.select(*cols), f"{base}/main/100pct/seed_42")
+    write_results(runs.select(*cols), f"{base}/main/100pct/seed_42/main")
     schema = ("method string, test_acc double, test_f1 double, val_acc double, val_f1 double, "
               "train_size long, generated long, selected long")
     return collect_runs(spark, base, schema)

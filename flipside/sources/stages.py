@@ -49,16 +49,18 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def collect_runs(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
-    """Every `<root>/<task>/<ratio>/seed_<n>/*.csv` result table in one
-    glob read; the path's dimensions become columns. Missing trees give an
-    empty frame."""
+def collect_runs(spark: SparkSession, root: str, schema: StructType | str, table: str = "main") -> DataFrame:
+    """Every ``<root>/<task>/<ratio>/seed_<n>/<table>`` result table (S3) in
+    one glob read; the path's dimensions become the columns task, ratio and
+    seed. Missing trees give an empty frame of the same columns."""
     from ..operators.assemble import path_exists
-    if not path_exists(spark, root):
-        return spark.createDataFrame([], schema)
-    df = (spark.read.schema(schema).option("header", True).option("recursiveFileLookup", "true")
-          .csv(root).withColumn("_path", F.col("_metadata.file_path")))
-    return (df.withColumn("task", F.regexp_extract("_path", r"/([^/]+)/[^/]+/seed_\d+/", 1))
-            .withColumn("ratio", F.regexp_extract("_path", r"/([^/]+)/seed_\d+/", 1))
-            .withColumn("seed", F.regexp_extract("_path", r"/seed_(\d+)/", 1).cast("int"))
-            .drop("_path"))
+    path = F.col("_metadata.file_path")
+    at = rf"/([^/]+)/([^/]+)/seed_(\d+)/{table}/[^/]*$"
+    dims = {"task": F.regexp_extract(path, at, 1), "ratio": F.regexp_extract(path, at, 2),
+            "seed": F.regexp_extract(path, at, 3).cast("int")}
+    pattern = f"{root}/*/*/seed_*/{table}"
+    if not path_exists(spark, pattern):
+        return spark.createDataFrame([], schema).select(
+            "*", *[F.lit("" if c != "seed" else 0).alias(c) for c in dims])
+    df = spark.read.schema(schema).option("header", True).csv(pattern)
+    return df.select("*", *[c.alias(n) for n, c in dims.items()])
