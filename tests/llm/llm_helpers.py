@@ -1,11 +1,6 @@
-import os
-import sys
-
 import pandas as pd
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 SF = "/root/testdata/sf0.001"
 
 

@@ -5,7 +5,7 @@ import io
 import re
 
 import odd
-from conftest import SF, local
+from llm_helpers import SF, docs, local  # noqa: F401
 
 from flipside.llm import decontaminate, queries, warc
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import odd
 import pytest
-from conftest import SF, local
+from llm_helpers import SF, docs, local  # noqa: F401
 
 from flipside.llm import exact_dedup, minhash, queries
 

@@ -5,7 +5,7 @@ import numpy as np
 import odd
 import pandas as pd
 import pytest
-from conftest import local
+from llm_helpers import local
 from pyspark.sql import functions as F
 
 from flipside.llm import lang_kernel, quality, queries, toxic_spans

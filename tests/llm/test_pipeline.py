@@ -6,7 +6,7 @@ import sys
 
 import public_tokenizers
 import sentencepiece
-from conftest import SF, local
+from llm_helpers import SF, docs, local  # noqa: F401
 from test_decontaminate_and_warc import brute
 from test_exact_and_near import brute_exact, brute_near
 

@@ -6,7 +6,7 @@ import odd
 import public_tokenizers
 import pytest
 import sentencepiece
-from conftest import SF, local
+from llm_helpers import SF, docs, local  # noqa: F401
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
