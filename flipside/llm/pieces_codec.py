@@ -190,7 +190,7 @@ def _slim(df: DataFrame, id_col: str, other: str, name: str) -> tuple[DataFrame,
     return out, out.schema["id"].dataType.simpleString()
 
 
-def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 400_000) -> DataFrame:
+def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 900_000) -> DataFrame:
     """id, ids (array of int), agrees."""
     out, kind = _slim(df, id_col, text_col, "text")
     return map_arrow(out, f"id {kind}, ids array<int>, agrees boolean", _encode, model_path, memo).withColumnRenamed("id", id_col)
@@ -202,7 +202,7 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
     return map_arrow(out, f"id {kind}, text string", _decode, model_path).withColumnRenamed("id", id_col)
 
 
-def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 400_000) -> DataFrame:
+def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 900_000) -> DataFrame:
     """Encodes and decodes in one pass and returns digests only: id, n_tokens, ids_sha256 (of decimal ids joined
     by commas), decoded_sha256, agrees. The ids themselves don't leave the task."""
     out, kind = _slim(df, id_col, text_col, "text")
