@@ -28,8 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
-    return only(docs, minhash.near_duplicates(docs).where("kept"))
+    """One document of each component of near duplicates, linked from a similarity of 0.80."""
+    return only(docs, minhash.near_duplicates(docs, percent=80).where("kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

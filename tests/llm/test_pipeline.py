@@ -8,7 +8,7 @@ import public_tokenizers
 import sentencepiece
 from llm_helpers import SF, docs, local  # noqa: F401
 from test_decontaminate_and_warc import brute
-from test_exact_and_near import brute_exact, brute_near
+from test_exact_and_near import brute_exact, brute_near, near_family
 
 import corpus_pipeline
 from flipside.llm import queries
@@ -47,6 +47,26 @@ def test_stages_pass_odd_rows(spark, tmp_path):
         assert stage(spark, odd.empty(spark), SF).count() == 0
 
 
+def test_near_stage_links_from_80(spark):
+    """A 200-word text with four scattered words changed shares 176 of 216 shingles: 0.815."""
+    import odd
+
+    base = [f"{w}{k}" for k, w in enumerate(odd.words(20, 200).split())]
+    edited = ["new" if k in (30, 70, 110, 150) else w for k, w in enumerate(base)]
+    rows = [(2, " ".join(base)), (1, " ".join(edited))] + near_family(21, 200, 20, 4, 100) + near_family(22, 150, 20, 3, 200)
+    component, _ = brute_near(rows, 80)
+    assert component != brute_near(rows)[0]
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows if component[i] == i)
+
+
+def test_near_stage_on_the_table(spark, docs):
+    component, _ = brute_near(list(zip(docs.doc_id, docs.text)), 80)
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, corpus_pipeline.documents(spark, SF), SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i in component if component[i] == i)
+
+
 def test_the_rest_stands_without_the_subpackage(tmp_path):
     """The entry module imports, and offers the other queries, where the subpackage and the pipeline are gone."""
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
