@@ -67,6 +67,40 @@ def test_near_stage_on_the_table(spark, docs):
     assert sorted(r.doc_id for r in got) == sorted(i for i in component if component[i] == i)
 
 
+def test_stages_keep_rows_and_not_ids(spark):
+    """Repeated and null ids: each row stands for itself."""
+    import odd
+    import pandas as pd
+
+    base, other, item = odd.words(31, 300), odd.words(32, 300), pd.read_parquet(f"{SF}/benchmark.parquet").text.iloc[0]
+    near_base = base + " tail"
+    rows = [(5, base), (5, base), (None, base), (4, base + " "), (4, other), (None, other), (None, other), (None, item), (None, None), (6, item), (6, near_base), (3, near_base)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda name: sorted(map(tuple, stages[name](spark, frame, SF).collect()), key=str)
+    assert kept("exact_dedup") == sorted([(4, base + " "), (4, other), (None, None), (6, item), (3, near_base)], key=str)
+    assert kept("near_dedup") == sorted([(3, near_base), (4, other), (None, None), (6, item)], key=str)
+    assert kept("decontamination") == sorted([r for r in rows if r[1] != item], key=str)
+
+
+def test_stages_keep_rows_of_stored_tables(spark, tmp_path):
+    """Numbers from files and places in them: unique, the same at each reading, and none lost."""
+    import odd
+
+    base = odd.words(33, 300)
+    frame = spark.createDataFrame([(1, base), (1, base), (None, base), (None, "lone words"), (2, "")] * 8, "doc_id long, text string")
+    frame.repartition(5).write.parquet(f"{tmp_path}/some files")
+    table = spark.read.parquet(f"{tmp_path}/some files")
+    rows, row = corpus_pipeline.numbered(table)
+    first, again = (sorted(map(tuple, rows.select(row, "doc_id", *more).collect()), key=str) for more in ([], []))
+    assert first == again and len({r[0] for r in first}) == 40 and rows.columns == ["doc_id", "text", row]
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda name: sorted(map(tuple, stages[name](spark, table, SF).collect()), key=str)
+    assert kept("exact_dedup") == sorted([(1, base), (None, "lone words"), (2, "")], key=str)
+    assert kept("near_dedup") == sorted([(1, base), (None, "lone words")] + [(2, "")] * 8, key=str)
+    assert len(kept("decontamination")) == 40
+
+
 def test_the_rest_stands_without_the_subpackage(tmp_path):
     """The entry module imports, and offers the other queries, where the subpackage and the pipeline are gone."""
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
