@@ -7,8 +7,8 @@ the chunks are deduplicated to identifiers, verified by length, hash and SHA-256
 are equal when their ordered identifier lists are. After the first pass over the texts only recipes move.
 
 Defined cases: a null text is empty, and empty texts are equal to one another; ties in length go to the
-smallest id; rows that share an id are one document and get a row each; an empty table gives an empty one.
-Other columns are ignored, whatever their names.
+smallest id, null after all others; rows that share an id, null too, are one document and get a row each; an
+empty table gives an empty one. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -68,10 +68,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         candidates.select("row", "id", "size").join(lists, "row", "left")
         .select("row", "id", "size", F.coalesce("recipe", empty).alias("recipe")), "recipe-lists")
     groups = listed.groupBy("recipe").agg(
-        F.min(F.struct((-F.col("size")).alias("less"), F.col("id").alias("keep_id"))).alias("best"),
+        F.min(F.struct((-F.col("size")).alias("less"), F.col("id").isNull().alias("absent"), F.col("id").alias("keep_id"))).alias("best"),
         F.count("*").alias("group_size"))
     found = listed.join(groups, "recipe").select("row", "best.keep_id", "group_size")
-    kept = F.coalesce("keep_id", "id")
+    kept = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))  # a group's may be null
     return slim.join(found, "row", "left").select(
         F.col("id").alias(id_col), kept.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
         F.col("id").eqNullSafe(kept).alias("kept"), "text_sha256")

@@ -28,6 +28,20 @@ def test_exact_against_brute_force(spark):
         assert (by_id[i].keep_id, by_id[i].group_size, by_id[i].kept) == (keep, size, keep == i), i
 
 
+def test_exact_with_null_ids(spark):
+    """A null id comes after all others, and a group that only such rows lead stays a group."""
+    by_text = defaultdict(list)
+    for r in exact_dedup.exact_groups(odd.table(spark)).collect():
+        by_text[r.text_sha256].append((r.doc_id, r.keep_id, r.group_size, r.kept))
+    group = next(g for g in by_text.values() if (1, 1, 5, True) in g)
+    assert sorted(group, key=str) == sorted([(i, 1, 5, i == 1) for i in (1, 2, 4, 5, None)], key=str)
+    rows = [(None, "a b c"), (1, "abc"), (2, "ab c"), (None, "lone"), (None, "x y"), (None, "x y"), (3, "xy")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == sorted([
+        (None, None, 3, True), (1, None, 3, False), (2, None, 3, False), (None, None, 1, True),
+        (None, None, 3, True), (None, None, 3, True), (3, None, 3, False)], key=str)
+
+
 def test_exact_odd_tables(spark):
     assert local(exact_dedup.exact_groups(odd.empty(spark))).empty
     assert len(local(exact_dedup.exact_groups(odd.table(spark)))) == len(odd.rows())
