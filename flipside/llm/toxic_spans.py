@@ -61,11 +61,12 @@ def summary(p: np.ndarray) -> np.ndarray:
 
 
 def evidence(documents: list[tuple[list[str], int]], test: float, ratio: float) -> set[str]:
-    """Parts tied to toxic documents: significantly, and ``ratio`` times as frequent there."""
+    """Parts tied to toxic documents: significantly, and ``ratio`` times as frequent there. Words of any length
+    are tried, beginnings from four characters."""
     counts = {0: Counter(), 1: Counter()}
     sizes = Counter(label for _, label in documents)
     for words, label in documents:
-        counts[label].update({p for w in set(words) for p in parts_of(w) if p[0] in "wp" and len(p) > 4})
+        counts[label].update({p for w in set(words) for p in parts_of(w) if p[0] == "w" or p[0] == "p" and len(p) > 4})
     share = sizes[1] / max(1, sizes[0] + sizes[1])
     found = set()
     for part, a in counts[1].items():

@@ -64,6 +64,23 @@ def test_toxicity_of_odd_tables(spark):
         assert (got[got.doc_id.isin([8, 9, 10, 27])].score == 0).all()
 
 
+@pytest.mark.parametrize("bad", ["zq", "xiv", "坏人"])
+def test_short_words_are_tied_to_toxicity(bad):
+    pick = np.random.default_rng(5)
+    documents = []
+    for k in range(200):
+        text = list(odd.words(int(pick.integers(10**6)), 30).split())
+        if k % 2:
+            text[int(pick.integers(30))] = bad
+        documents.append((text, k % 2))
+    field = toxic_spans.Field()
+    field.fit(documents[:150], 60, 20.0, 20.0)
+    field.calibrate(documents[150:])
+    scores, spans = field.score([f"alpha1 beta2 {bad} gamma3", "alpha1 beta2 gamma3 delta4"])
+    assert scores[0] >= 0.5 > scores[1] and not spans[1]
+    assert [(s["start"], s["end"]) for s in spans[0]] == [(13, 13 + len(bad))]
+
+
 def test_quality_on_held_out_rows(spark):
     labels = pd.read_parquet(f"{SF01}/labels.parquet")
     got = local(queries.op1_quality(spark, SF01))
