@@ -445,7 +445,7 @@ def j6_summarize_quality(spark, root):
 
 
 def _ladder(spark, root):
-    runs, _ = X.ladder_grid(spark, root, P, seeds=(42,))
+    runs, _ = X.ladder_grid(spark, root, P, seeds=SEEDS)
     return runs
 
 
@@ -454,7 +454,7 @@ def j7_summarize_low_resource(spark, root):
 
 
 def j8_summarize_ablation(spark, root):
-    return J.summarize_ablation(X.ablation_grid(spark, root, P, seeds=(42,)))
+    return J.summarize_ablation(X.ablation_grid(spark, root, P, seeds=SEEDS))
 
 
 def j9_summarize_ood(spark, root):

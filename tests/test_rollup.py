@@ -40,3 +40,15 @@ def test_best_and_delta(spark):
     assert best == {"10pct": ("multi_stage", 0.8, 0.8), "100pct": ("single", 0.9, None)}  # a tie goes by name
     delta = {(r.ratio, r.method): r.delta_points for r in J.delta_vs(summary, "none").collect()}
     assert delta == {("10pct", "none"): 0.0, ("10pct", "multi_stage"): 20.0, ("100pct", "none"): 0.0, ("100pct", "single"): 0.0}
+
+
+def test_ladder_and_ablation_rollups_run_all_seeds(monkeypatch):
+    from flipside.plans import queries as Q
+    seen = []
+    monkeypatch.setattr(Q.X, "ladder_grid", lambda spark, root, p, seeds: (seen.append(seeds), None))
+    monkeypatch.setattr(Q.X, "ablation_grid", lambda spark, root, p, seeds: seen.append(seeds))
+    for name in ("summarize_low_resource", "summarize_ablation", "ratio_pivot", "best_per_group", "delta_vs"):
+        monkeypatch.setattr(Q.J, name, lambda *args: None)
+    for name in ("j7_summarize_low_resource", "j8_summarize_ablation", "j10_ratio_pivot", "j11_best_per_group", "j12_delta_vs"):
+        Q.QUERIES[name](None, None)
+    assert seen == [(42, 43, 44)] * 5
