@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,6 +31,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_MEMOS: list = []
+_LAST: list[str] = [""]
+
+
+def worker_memo(make: Callable) -> Callable:
+    """What a Python worker keeps from task to task of one operator (vocabularies, segments seen)."""
+    _MEMOS.append(lru_cache(maxsize=2)(make))
+    return _MEMOS[-1]
+
+
+def turn(operator: str) -> None:
+    """Called as a task begins: workers serve many stages, and what the one before has kept goes, so that memory
+    holds the memos of one operator at a time."""
+    if _LAST[0] != operator:
+        _LAST[0] = operator
+        for memo in _MEMOS:
+            memo.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def map_arrow(df: DataFrame, schema: str | StructType, prepare: Callable, *args) -> DataFrame:
     """``prepare(*args)`` runs once a task and returns a function from a record batch to a dict of
     columns (or an iterator of such dicts); ``schema`` gives their types."""
@@ -37,6 +59,9 @@ def map_arrow(df: DataFrame, schema: str | StructType, prepare: Callable, *args)
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from flipside.llm import common  # the worker's own module: this function is a copy with its own globals
+
+        common.turn(f"{prepare.__module__}.{prepare.__qualname__}")
         step = prepare(*args)
         for batch in batches:
             for part in pieces(batch):

@@ -19,13 +19,12 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from flipside.llm.common import map_arrow, texts
+from flipside.llm.common import map_arrow, texts, worker_memo
 
 SPACE = "▁"
 LONG = 200
@@ -140,12 +139,12 @@ class Encoder:
         return raw, said, agrees
 
 
-@lru_cache(maxsize=2)
+@worker_memo
 def _encoder(path: str, memo: int) -> Encoder:
     return Encoder(path, memo)
 
 
-@lru_cache(maxsize=2)
+@worker_memo
 def _library(path: str):
     import sentencepiece
 

@@ -18,7 +18,6 @@ an id get a row each; an empty table gives an empty one. Other columns are carri
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from flipside.llm.common import free_name, lowest, map_arrow, texts
+from flipside.llm.common import free_name, lowest, map_arrow, texts, worker_memo
 
 _RUNS = (re.compile("[^\\W\\d_a-zà-öø-ÿ]+"), re.compile("[a-zà-öø-ÿ]+"), re.compile(r"\d+"))
 
@@ -70,7 +69,7 @@ class Features:
         return slots, values / np.sqrt(values @ values)
 
 
-@lru_cache(maxsize=2)
+@worker_memo
 def _features(bits: int) -> Features:
     return Features(bits)
 

@@ -12,10 +12,11 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
+from flipside.llm.common import worker_memo
+
 #: White space of the pattern: the characters with the Unicode property White_Space.
 _WS = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _RISKY = re.compile(f" (?:[{_WS}]|\\Z)")
@@ -129,6 +130,6 @@ class TokenMemo:
                 for t, c in zip(batch, cut)]
 
 
-@lru_cache(maxsize=2)
+@worker_memo
 def token_memo(path: str, memo: int) -> TokenMemo:
     return TokenMemo(path, memo)
