@@ -47,4 +47,43 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM q
 """
 
-ORACLES = {"op6_minhash": OP6, "op10_warc": OP10, "op3_decontamination": OP3, "op8_exact_dedup": OP8}
+OP12 = r"""
+WITH RECURSIVE
+t0 AS (SELECT range(256) AS ids),
+crc AS (SELECT list_transform(ids, lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS tab FROM t0),
+run AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, r, count(*) AS n FROM (
+          SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS r FROM documents)
+        WHERE length(r) >= 6 GROUP BY ALL),
+hashed AS (SELECT r, n, xor(list_reduce(flatten(list_transform(string_split(d || ':' || r, ''),
+             lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, ord(c) - 64] END)),
+             lambda a, b: xor(a >> 8, tab[CAST(xor(a & 255, b) AS BIGINT) + 1]), 4294967295), 4294967295) AS h FROM run, crc),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN r[:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT DISTINCT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM less a JOIN less b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+         UNION SELECT a.word, a.n, w.word, w.n FROM less a JOIN words w ON a.v = w.word
+         UNION SELECT w.word, w.n, a.word, a.n FROM less a JOIN words w ON a.v = w.word),
+best AS (SELECT a, count(*) AS n_near, arg_min(b, (-bn, b)) AS form, max(bn) AS form_n FROM near GROUP BY a),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+          FROM words LEFT JOIN best ON a = word),
+chain AS (SELECT word, word AS here, 0 AS steps FROM words
+          UNION ALL SELECT chain.word, forms.form, steps + 1 FROM chain JOIN forms ON forms.word = chain.here WHERE forms.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM forms f JOIN (SELECT word, arg_max(here, steps) AS root FROM chain GROUP BY word) c USING (word)
+"""
+
+OP13 = r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM low),
+tf AS (SELECT doc_id, any_value(n) AS n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM low) GROUP BY doc_id, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+q AS (SELECT item_id, t, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM df, g),
+s AS (SELECT item_id, doc_id, CAST(sum(qf * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) AS BIGINT) AS score
+      FROM q JOIN tf USING (t) JOIN w USING (t), g GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+ORACLES = {"op6_minhash": OP6, "op10_warc": OP10, "op3_decontamination": OP3, "op8_exact_dedup": OP8,
+           "op12_spelling_variants": OP12, "op13_lexical_search": OP13}

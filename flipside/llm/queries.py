@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flipside.llm import (
-    decontaminate, exact_dedup, lang_kernel, minhash, pieces_codec, quality, records, token_counts, toxic_spans, warc)
+    decontaminate, exact_dedup, lang_kernel, lexical_search, minhash, pieces_codec, quality, records, spelling, token_counts,
+    toxic_spans, warc)
 from flipside.llm.common import documents, fold
 
 
@@ -84,6 +85,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(manifest, folder, columns=("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_sentencepiece": op2_sentencepiece,
@@ -95,4 +104,6 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_lexical_search": op13_lexical_search,
 }
