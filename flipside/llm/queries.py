@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flipside.llm import (
-    decontaminate, exact_dedup, lang_kernel, lexical_search, minhash, pieces_codec, quality, records, spelling, token_counts,
+    context_mixing, decontaminate, exact_dedup, lang_kernel, lexical_search, minhash, pieces_codec, quality, records, spelling, token_counts,
     toxic_spans, warc)
 from flipside.llm.common import documents, fold
 
@@ -85,6 +85,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(manifest, folder, columns=("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = context_mixing.score_texts(documents(spark, sf_dir), fold("doc_id", 10) != 0)
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+                         "bits_per_byte")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
@@ -104,6 +110,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
+    "op11_context_mixing": op11_context_mixing,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_lexical_search": op13_lexical_search,
 }
