@@ -19,12 +19,6 @@ from ..functions.text import capitalize
 UNCHANGED_CLAUSE = {0: " but it reads calmer overall.", 1: " but it reads harsher overall."}
 
 
-def _pairs_for(lexicon: DataFrame, target: int) -> Column:
-    """The (bounded) pair list of one target, as an uncorrelated scalar subquery."""
-    return (lexicon.filter(F.col("target_label") == target)
-            .agg(F.array_sort(F.collect_list(F.struct("ordinal", "src", "dst")))).scalar())
-
-
 def _pairs_both(lexicon: DataFrame) -> Column:
     """Both targets' pair lists from ONE scalar subquery (one lexicon pass)."""
     pair = F.struct("ordinal", "src", "dst")
@@ -39,22 +33,26 @@ def _swap(acc: Column, p: Column) -> Column:
     return F.replace(F.replace(acc, p["src"], p["dst"]), capitalize(p["src"]), capitalize(p["dst"]))
 
 
-def with_candidate_text(df: DataFrame, lexicon: DataFrame, seed: int, k: int = 4) -> DataFrame:
-    """Adds cand_text: the rewrite of one (id, round, ordinal), a pure function
-    of text, target_label, id, round and ordinal. Being deterministic, it can
-    be recomputed after a shuffle instead of shipping the text through it."""
-    both = _pairs_both(lexicon)
-    pairs = F.when(F.col("target_label") == 0, both.getField("t0")).otherwise(both.getField("t1"))
+def rewritten(df: DataFrame, pairs: Column, seed, k: int = 4) -> DataFrame:
+    """Adds cand_text: the rewrite of one (id, round, ordinal) by at most k of ``pairs`` (an array of ordinal, src, dst),
+    a pure function of text, target_label, id, round, ordinal and seed (a number or a column). Being
+    deterministic, it can be recomputed after a shuffle instead of shipping the text through it."""
     keyed = F.transform(
-        F.col("_pairs"),
+        pairs,
         lambda p: F.struct(hash_hex(seed, F.col("id"), F.col("round"), F.col("ordinal"), p["src"]).alias("k"),
                            p["src"].alias("src"), p["dst"].alias("dst")),
     )
     picked = F.slice(F.array_sort(keyed), 1, k)
     changed = F.aggregate(picked, F.col("text"), _swap)
     clause = F.when(F.col("target_label") == 0, F.lit(UNCHANGED_CLAUSE[0])).otherwise(F.lit(UNCHANGED_CLAUSE[1]))
-    cand = F.when(changed == F.col("text"), F.concat(F.col("text"), clause)).otherwise(changed)
-    return df.withColumn("_pairs", pairs).withColumn("cand_text", cand).drop("_pairs")
+    return df.withColumn("cand_text", F.when(changed == F.col("text"), F.concat(F.col("text"), clause)).otherwise(changed))
+
+
+def with_candidate_text(df: DataFrame, lexicon: DataFrame, seed: int, k: int = 4) -> DataFrame:
+    """``rewritten`` with the pairs of one lexicon."""
+    both = _pairs_both(lexicon)
+    pairs = F.when(F.col("target_label") == 0, both.getField("t0")).otherwise(both.getField("t1"))
+    return rewritten(df.withColumn("_pairs", pairs), F.col("_pairs"), seed, k).drop("_pairs")
 
 
 def candidate_keys(samples: DataFrame, n: int, rounds: int = 1) -> DataFrame:
@@ -88,8 +86,14 @@ def synonym_augment(samples: DataFrame, synonyms: DataFrame, ratio: float, seed:
         lambda total: F.least(total, F.floor(total * F.lit(float(ratio)))))
     # bounded list (k pairs) attached as an uncorrelated scalar subquery
     pairs = synonyms.agg(F.array_sort(F.collect_list(F.struct("ordinal", "src", "dst")))).scalar()
+    return picked_rows.withColumn("_syn", pairs).select(
+        "id", synonyms_replaced(F.col("text"), F.col("_syn"), seed, keys_per_row).alias("text"), "label", F.lit("synonym").alias("source"))
+
+
+def synonyms_replaced(text: Column, pairs: Column, seed, keys_per_row: int = 3) -> Column:
+    """``text`` with keys_per_row of ``pairs`` in seeded order, each replaced if it occurs in the lower-cased text so far."""
     keyed = F.transform(
-        F.col("_syn"),
+        pairs,
         lambda p: F.struct(hash_hex(seed, F.col("id"), p["src"]).alias("k"), p["src"].alias("src"), p["dst"].alias("dst")),
     )
     chosen = F.slice(F.array_sort(keyed), 1, keys_per_row)
@@ -97,11 +101,7 @@ def synonym_augment(samples: DataFrame, synonyms: DataFrame, ratio: float, seed:
     def step(acc: Column, p: Column) -> Column:
         return F.when(F.lower(acc).contains(p["src"]), _swap(acc, p)).otherwise(acc)
 
-    return (
-        picked_rows.withColumn("_syn", pairs)
-        .withColumn("text", F.aggregate(chosen, F.col("text"), step))
-        .select("id", "text", "label", F.lit("synonym").alias("source"))
-    )
+    return F.aggregate(chosen, text, step)
 
 
 def first_pass(verified: DataFrame, source: str = "single") -> tuple[DataFrame, DataFrame]:

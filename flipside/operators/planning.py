@@ -130,16 +130,19 @@ def token_label_stats(samples: DataFrame) -> DataFrame:
             .withColumn("n1", n.getField("df1")).withColumn("n0", n.getField("df0")))
 
 
+def log_odds(alpha: float = 0.5) -> Column:
+    """Smoothed log-odds of a token's document frequency, label 1 against 0, from df1, df0, n1, n0."""
+    a = F.lit(alpha)
+    return (F.log((F.col("df1") + a) / (F.col("n1") - F.col("df1") + a))
+            - F.log((F.col("df0") + a) / (F.col("n0") - F.col("df0") + a)))
+
+
 def cue_words(samples: DataFrame, k: int = 8, min_df: int = 2, alpha: float = 0.5) -> DataFrame:
     """Top-k cue tokens per label by smoothed log-odds of document frequency.
 
     ``row_number() <= k`` per label is planned as a WindowGroupLimit: each map
     partition keeps its own top k before the exchange."""
-    st = token_label_stats(samples)
-    a = F.lit(alpha)
-    lo = (F.log((F.col("df1") + a) / (F.col("n1") - F.col("df1") + a))
-          - F.log((F.col("df0") + a) / (F.col("n0") - F.col("df0") + a)))
-    scored = st.withColumn("lo", lo)
+    scored = token_label_stats(samples).withColumn("lo", log_odds(alpha))
     pos = scored.filter(F.col("df1") >= min_df).select(F.lit(1).alias("cue_label"), "token", F.col("lo").alias("score"))
     neg = scored.filter(F.col("df0") >= min_df).select(F.lit(0).alias("cue_label"), "token", (-F.col("lo")).alias("score"))
     w = Window.partitionBy("cue_label").orderBy(F.col("score").desc(), F.col("token"))
@@ -171,12 +174,9 @@ def mine_synonyms(samples: DataFrame, k: int = 7, min_df: int = 2, min_len: int
     """Label-neutral swap pairs: the 2k most frequent tokens (length >= min_len)
     among those whose document frequency is balanced across labels (|log-odds|
     under 0.1), paired 1<->2, 3<->4, ... Returns (ordinal, src, dst)."""
-    st = token_label_stats(samples)
-    a = F.lit(0.5)
-    lo = (F.log((F.col("df1") + a) / (F.col("n1") - F.col("df1") + a))
-          - F.log((F.col("df0") + a) / (F.col("n0") - F.col("df0") + a)))
     neutral = (
-        st.filter((F.length("token") >= min_len) & (F.col("df0") + F.col("df1") >= min_df) & (F.abs(lo) < 0.1))
+        token_label_stats(samples)
+        .filter((F.length("token") >= min_len) & (F.col("df0") + F.col("df1") >= min_df) & (F.abs(log_odds()) < 0.1))
         .select("token", (F.col("df0") + F.col("df1")).alias("df"))
     )
     w = Window.partitionBy(F.lit(1)).orderBy(F.col("df").desc(), F.col("token"))

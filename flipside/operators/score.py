@@ -61,12 +61,34 @@ def with_logit(model: TextModel, df: DataFrame, text_col: str, out: str) -> Data
     return df.join(sums, "id", "left").withColumn("_prior", model.prior).withColumn(out, z + F.col("_prior")).drop("_zs", "_prior")
 
 
-def class_probability(model: TextModel, df: DataFrame, text_col: str, class_col: Column | str,
-                      out: str) -> DataFrame:
-    """P(class | text) for a per-row class index."""
-    cls = F.col(class_col) if isinstance(class_col, str) else class_col
-    scored = with_logit(model, df, text_col, "_logit")
-    return scored.withColumn(out, 1 / (1 + F.exp(F.when(cls == 1, -F.col("_logit")).otherwise(F.col("_logit"))))).drop("_logit")
+def changed_tokens(text: Column, rewrite: Column) -> Column:
+    """What a rewrite does to a text's tokens: array of (token, d), d = -1 for a token gone and 1 for a new one. Swapped
+    words leave the others at their places, so comparing place by place finds few; any alignment is right, since
+    what is listed on both sides cancels out."""
+    both = F.zip_with(tokens(text), tokens(rewrite), lambda a, b: F.when(a.eqNullSafe(b), F.lit(None)).otherwise(
+        F.array(F.struct(a.alias("token"), F.lit(-1).alias("d")), F.struct(b.alias("token"), F.lit(1).alias("d")))))
+    return F.filter(F.flatten(F.filter(both, lambda p: p.isNotNull())), lambda t: t["token"].isNotNull())
+
+
+def label_logits(samples: DataFrame, cands: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """``cands`` with logit: the summed weights of the rewrite's tokens. A sample's own tokens meet the weights once;
+    a rewrite adds the weights of the tokens that it changes, which come back with its sample's sum, so that
+    rewrites' tokens are neither shuffled nor joined, however many rewrites there are.
+
+    ``samples``: keys, text; ``cands``: keys, text, cand_text; ``weights``: (keys but id,) token, w."""
+    cands = cands.withColumn("_changed", changed_tokens(F.col("text"), F.col("cand_text")))
+    own = samples.select(*keys, F.explode(tokens(F.col("text"))).alias("token"), F.lit(1).alias("tf"))
+    new = cands.select(*keys, F.explode(F.array_distinct(F.transform("_changed", lambda t: t["token"]))).alias("token"), F.lit(0).alias("tf"))
+    met = own.unionByName(new).join(weights, [*[k for k in keys if k != "id"], "token"])
+    touched = F.when(F.col("tf") == 0, F.struct("token", "w"))
+    met = met.groupBy(*keys).agg(F.sum(F.col("tf") * F.col("w")).alias("_own"), F.map_from_entries(F.collect_set(touched)).alias("_w"))
+    moved = F.aggregate("_changed", F.lit(0.0), lambda z, t: z + t["d"] * F.coalesce(F.try_element_at("_w", t["token"]), F.lit(0.0)))
+    return cands.join(met, keys, "left").withColumn("logit", F.coalesce("_own", F.lit(0.0)) + moved).drop("_changed", "_own", "_w")
+
+
+def probability_of(logit: Column, cls: Column) -> Column:
+    """P(cls) of a two-class log-odds."""
+    return 1 / (1 + F.exp(F.when(cls == 1, -logit).otherwise(logit)))
 
 
 def predict(model: TextModel, df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -76,9 +98,12 @@ def predict(model: TextModel, df: DataFrame, text_col: str = "text") -> DataFram
             .withColumn("probability", 1 / (1 + F.exp(-F.col("_logit")))).drop("_logit"))
 
 
-def label_score(model: TextModel, cands: DataFrame) -> DataFrame:
-    """P(target_label | candidate text) from the fitted classifier."""
-    return class_probability(model, cands, "cand_text", "target_label", "label_score")
+def label_score(model: TextModel, cands: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """P(target_label | candidate text) from the fitted classifier. ``samples`` (id, text) has each text
+    that was rewritten once; without it, the candidates' own texts are taken, one of each id."""
+    samples = cands.select("id", "text").dropDuplicates(["id"]) if samples is None else samples.select("id", "text")
+    scored = label_logits(samples, cands, model.weights, ["id"]).withColumn("_prior", model.prior)
+    return scored.withColumn("label_score", probability_of(F.col("logit") + F.col("_prior"), F.col("target_label"))).drop("logit", "_prior")
 
 
 def semantic_score(a: Column, b: Column) -> Column:
@@ -143,11 +168,12 @@ def critique(ls: Column, ss: Column, ms: Column) -> Column:
     return F.when(issues == "", F.lit(GENERIC_CRITIQUE)).otherwise(issues)
 
 
-def verify(cands: DataFrame, model: TextModel, p: Params, preserve_col: str = "elements_to_preserve") -> DataFrame:
+def verify(cands: DataFrame, model: TextModel, p: Params, preserve_col: str = "elements_to_preserve",
+           samples: DataFrame | None = None) -> DataFrame:
     """F1+F3+F5+F6 -> F7 -> F8 gate (unrounded) -> F9; stored scores rounded to 4 dp.
 
-    Input columns: id, text (original), cand_text, target_label, preserve list."""
-    scored = label_score(model, cands)
+    Input columns: id, text (original), cand_text, target_label, preserve list. ``samples``: see label_score."""
+    scored = label_score(model, cands, samples)
     scored = (
         scored.withColumnRenamed("label_score", "_ls")
         .withColumn("_ss", semantic_score(F.col("text"), F.col("cand_text")))

@@ -1,11 +1,4 @@
-"""Method grid, repeats and low-resource ladder (J3/J4 + I4/I6 inputs).
-
-One run = (task, method, ratio, seed): build the augmented set of the method,
-merge it with the originals (H1), fit the text classifier (I1) and score the
-evaluation splits (I2). All predictions of a grid are unioned and measured in
-one grouped job (I3), so the driver only loops over the grid's configurations
-(a handful of model fits), never over data.
-"""
+"""Tables of the experiment grid, written once for an application and its input (J2-J4 and what J5-J12 read)."""
 
 from __future__ import annotations
 
@@ -13,178 +6,52 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import planning as C
-from ..operators import sampling as S
-from ..operators.assemble import AUG_COLS, merge_train, path_exists
-from ..operators.evaluate import classification_metrics, quality_report
-from ..operators.generate import first_pass, lexicon_candidates, synonym_augment
-from ..operators.score import fit_text_classifier, predict, verify
-from ..operators.select import post_filter
-from ..params import LADDER, METHODS, Params
+from ..operators.assemble import path_exists
 from ..session import checkpoint_dir
-from .rounds import augment_rounds
+from . import grid
 
 
 def _grid_folder(spark: SparkSession, root: str, *key) -> str:
     """The folder of a grid's tables, below this application's own checkpoint
     folder and named after the parameters and the input files (path, size,
     time), so that the roll-ups of one application share one run and neither
-    another session nor changed data ever meets it."""
-    files = []
+    another session nor changed data ever meets it. The files' list is hashed
+    where it is read."""
+    marks = []
     for table in ("documents", "labels"):
-        meta = spark.read.parquet(f"{root}/{table}.parquet").select("_metadata.*").select(
-            "file_path", "file_size", F.col("file_modification_time").cast("string")).distinct()
-        files += sorted(tuple(r) for r in meta.collect())   # one row per file
-    return f"{checkpoint_dir(spark).rstrip('/')}/flipside-grid-{hashlib.md5(repr((key, files)).encode()).hexdigest()}"
+        file = F.struct("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        files = spark.read.parquet(f"{root}/{table}.parquet").groupBy(file).count()
+        marks.append(tuple(files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns[:1]).cast("decimal(38,0)"))).first()))
+    return f"{checkpoint_dir(spark).rstrip('/')}/flipside-grid-{hashlib.md5(repr((key, root, marks)).encode()).hexdigest()}"
 
 
 def _kept(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at ``path``, made and written first where it isn't there."""
-    if not path_exists(spark, path):
-        make().write.mode("overwrite").parquet(path)
+    """The table at ``path``, made and written first where its commit mark isn't there."""
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        make().coalesce(1).write.mode("overwrite").parquet(path)   # a row for each run
     return spark.read.parquet(path)
 
 
-def method_sets(train: DataFrame, p: Params, lexicon: DataFrame, scorer) -> dict:
-    """method -> (augmented rows, verifications or None)."""
-    out = {}
-    empty = train.select(*AUG_COLS[:3]).withColumn("source", F.lit("none")).filter(F.lit(False))
-    out["none"] = (empty, None)
-    out["synonym"] = (synonym_augment(train, C.mine_synonyms(train), p.ratio, p.seed), None)
-    base = train.select("id", "text", "label").withColumn(
-        "elements_to_preserve", F.array(*[F.lit(x) for x in C.SINGLE_PRESERVE]))
-    single_ver = verify(lexicon_candidates(base, lexicon, p.num_candidates, p.seed, 1, p.pairs_per_candidate), scorer, p)
-    rows, ver = first_pass(single_ver)
-    out["single"] = (rows, ver)
-    rows_f, ver_f = post_filter(rows, ver, p)
-    out["single_filtered"] = (rows_f.withColumn("source", F.lit("single_filtered")), ver_f)
-    res = augment_rounds(train, lexicon, scorer, p)
-    out["multi_stage"] = (res.selected.select(*AUG_COLS), res.verifications)
-    return out
-
-
-def run_grid(spark: SparkSession, root: str, p: Params, seeds=(42,), ratios=(1.0,),
-             methods=METHODS, task: str = "main") -> tuple[DataFrame, DataFrame]:
-    """Returns (runs, quality): one runs row per (ratio, seed, method) with
-    test / validation / OOD accuracy and F1, sizes and counts.
-
-    A run's intermediate tables (train split, lexicon, method sets, merged
-    set, predictions) are written with a reliable checkpoint into
-    spark.checkpoint.dir: later jobs read them back instead of recomputing
-    them, and their lineage (and plan size) is cut, so planning cost does not
-    grow across the grid. All predictions are measured in one grouped job."""
-    folder = _grid_folder(spark, root, p, tuple(seeds), tuple(ratios), tuple(methods), task)
-    if path_exists(spark, f"{folder}/quality"):
-        return spark.read.parquet(f"{folder}/runs"), spark.read.parquet(f"{folder}/quality")
-    prepared = S.prepared_samples(spark, root, p)
-    full_train = prepared.filter((F.col("domain") == "id") & (F.col("split") == "train"))
-    evalset = (prepared.filter(F.col("split").isin("validation", "test", "ood_test"))
-               .select("id", "text", "label", "split").checkpoint())
-    preds, quals, size_rows = [], [], []
-    for ratio in ratios:
-        rname = f"{int(round(ratio * 100))}pct"
-        for seed in seeds:
-            ps = p.with_(seed=seed)
-            if ratio < 1.0:
-                train = S.low_resource_ladder(full_train, seed, ratios=(ratio,), base=p.train_samples).drop("ratio")
-            else:
-                train = S.subsample(full_train, p.train_samples, seed)
-            train = train.select("id", "text", "label").checkpoint()
-            lexicon = C.mine_lexicon(train, ps.lexicon_size, ps.lexicon_min_df).checkpoint()
-            scorer = fit_text_classifier(train)
-            sets = {m: (a.checkpoint(), v.checkpoint() if v is not None else None)
-                    for m, (a, v) in method_sets(train, ps, lexicon, scorer).items() if m in methods}
-            tag = [F.lit(task).alias("task"), F.lit(rname).alias("ratio"), F.lit(seed).alias("seed")]
-            for method in methods:
-                aug, ver = sets[method]
-                merged = merge_train(train, aug, ps.ratio, seed).checkpoint()
-                model = fit_text_classifier(merged)
-                pr = predict(model, evalset).select(*tag, F.lit(method).alias("method"), "split", "label",
-                                                    "prediction").checkpoint()
-                preds.append(pr)
-                n_aug = aug.count()
-                n_ver = ver.count() if ver is not None else None
-                if method == "none":
-                    gen, sel = 0, 0
-                elif ver is None:
-                    gen, sel = n_aug, n_aug
-                else:
-                    gen, sel = (n_ver if n_ver > 0 else n_aug), n_aug
-                size_rows.append((task, rname, seed, method, merged.count(), gen, sel))
-                if ver is not None:
-                    q = quality_report(ver.select(*tag, F.lit(method).alias("method"), "label_score",
-                                                  "semantic_score", "minimality_score", "final_score"),
-                                       ["task", "ratio", "seed", "method"]).checkpoint()
-                    quals.append(q)
-    union = preds[0]
-    for d in preds[1:]:
-        union = union.unionByName(d)
-    metrics = classification_metrics(union, ["task", "ratio", "seed", "method", "split"])
-    keys = ["task", "ratio", "seed", "method"]
-    wide = metrics.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{n}_{m}")
-          for s, n in (("test", "test"), ("validation", "val"), ("ood_test", "ood")) for m in ("acc", "f1")])
-    # per-run counts (a few integers per run, not data)
-    size_df = spark.createDataFrame(size_rows, "task string, ratio string, seed int, method string, "
-                                               "train_size long, generated long, selected long")
-    runs = (wide.join(size_df, keys)
-            .withColumn("gap", F.round(F.col("test_acc") - F.col("ood_acc"), 4))
-            .withColumn("preset", F.lit("multi_stage")).withColumn("variant", F.lit("full")))
-    quality = quals[0]
-    for d in quals[1:]:
-        quality = quality.unionByName(d)
-    return _kept(spark, f"{folder}/runs", lambda: runs), _kept(spark, f"{folder}/quality", lambda: quality)
-
-
-def ladder_grid(spark: SparkSession, root: str, p: Params, seeds=(42,), methods=METHODS):
-    return run_grid(spark, root, p, seeds=seeds, ratios=LADDER, methods=methods, task="low_resource")
-
-
-def ablation_grid(spark: SparkSession, root: str, p: Params, seeds=(42,)) -> DataFrame:
-    """J1/J2 generation-side variants: each of the six ablations produces its
-    augmented set, is merged, fitted and scored on the test split; label
-    success is the mean label score of its verifications."""
-    from ..operators.generate import single_shot
-    from ..params import VARIANTS, variant_params
-    folder = _grid_folder(spark, root, "ablation", p, tuple(seeds))
-    if path_exists(spark, folder):
-        return spark.read.parquet(folder)
-    prepared = S.prepared_samples(spark, root, p)
-    full_train = prepared.filter((F.col("domain") == "id") & (F.col("split") == "train"))
-    test = prepared.filter(F.col("split") == "test").select("id", "text", "label", "split")
-    preds, quals = [], []
-    for seed in seeds:
-        train = S.subsample(full_train, p.train_samples, seed).select("id", "text", "label").checkpoint()
-        lexicon = C.mine_lexicon(train, p.lexicon_size, p.lexicon_min_df).checkpoint()
-        scorer = fit_text_classifier(train)
-        for variant in VARIANTS:
-            pv = variant_params(p, variant).with_(seed=seed)
-            if variant == "single_agent":
-                base = train.withColumn("elements_to_preserve", F.array(*[F.lit(x) for x in C.SINGLE_PRESERVE]))
-                ver = verify(single_shot(base, lexicon, seed), scorer, pv).checkpoint()
-                aug = ver.filter(F.col("status") == "pass").select(
-                    "id", F.col("cand_text").alias("text"), F.col("target_label").alias("label"),
-                    F.lit("single_agent").alias("source"))
-            else:
-                res = augment_rounds(train, lexicon, scorer, pv)
-                ver = res.verifications.checkpoint()
-                aug = res.selected.select(*AUG_COLS).checkpoint()
-            merged = merge_train(train, aug, pv.ratio, seed).checkpoint()
-            model = fit_text_classifier(merged)
-            tag = [F.lit(variant).alias("variant"), F.lit(seed).alias("seed")]
-            pr = predict(model, test).select(*tag, "label", "prediction").checkpoint()
-            preds.append(pr)
-            q = ver.groupBy().agg(F.avg("label_score").alias("label_score")).select(*tag, "label_score").checkpoint()
-            quals.append(q)
-
-    union = preds[0]
-    for d in preds[1:]:
-        union = union.unionByName(d)
-    q = quals[0]
-    for d in quals[1:]:
-        q = q.unionByName(d)
-    metrics = classification_metrics(union, ["variant", "seed"])
-    ls = q.groupBy("variant", "seed").agg(F.round(F.first("label_score"), 4).alias("label_success"))
-    out = metrics.join(ls, ["variant", "seed"], "left").select(
-        "variant", "seed", "acc", "f1", F.coalesce("label_success", F.lit(0.0)).alias("label_success"))
-    return _kept(spark, folder, lambda: out)
+def method_runs(spark: SparkSession, root: str, seeds=grid.SEEDS) -> DataFrame:
+    """One row for each (task, ratio, seed, preset, method): the low-resource ladder, and its whole samples as the main task."""
+    runs = _kept(spark, _grid_folder(spark, root, "methods", tuple(seeds)), lambda: grid.method_runs(spark, root, seeds))
+    low = runs.withColumn("task", F.lit("low_resource"))
+    main = runs.where("ratio = '100pct'").withColumn("task", F.lit("main"))
+    return low.unionByName(main).withColumn("variant", F.lit("full"))
+
+
+def main_runs(spark: SparkSession, root: str, seeds=grid.SEEDS) -> DataFrame:
+    return method_runs(spark, root, seeds).where("task = 'main'")
+
+
+def quality_runs(spark: SparkSession, root: str, seeds=grid.SEEDS) -> DataFrame:
+    """Mean scores of the main task's methods that verify rewrites."""
+    return main_runs(spark, root, seeds).where("label_success IS NOT NULL").select(
+        "task", "ratio", "seed", "preset", "method", "label_success", "semantic_sim", "edit_similarity", "final_score")
+
+
+def ablation_runs(spark: SparkSession, root: str, seeds=grid.SEEDS) -> DataFrame:
+    """variant, seed, acc, f1, label_success."""
+    runs = _kept(spark, _grid_folder(spark, root, "ablation", tuple(seeds)), lambda: grid.ablation_runs(spark, root, seeds))
+    return runs.select(F.col("method").alias("variant"), "seed", F.col("test_acc").alias("acc"), F.col("test_f1").alias("f1"),
+                       F.coalesce("label_success", F.lit(0.0)).alias("label_success"))

@@ -306,6 +306,7 @@ from ..operators import evaluate as I  # noqa: E402
 from ..operators import responses as D  # noqa: E402
 from ..operators import rollup as J  # noqa: E402
 from . import experiment as X  # noqa: E402
+from .grid import SEEDS as GRID_SEEDS  # noqa: E402
 
 
 def _rounds_written(spark, root):
@@ -396,15 +397,18 @@ def i6_ood_report(spark, root):
     return I.ood_report(I.classification_metrics(pr, ["method", "domain"]))
 
 
-def i4_method_report(spark, root):
-    runs, _ = X.run_grid(spark, root, P, seeds=(42,))
-    return runs.select("method", "test_acc", "test_f1", "val_acc", "val_f1", "train_size", "generated", "selected")
+def i6_ood_by_method(spark, root):
+    """I6 for every method, preset and seed of the grid."""
+    return X.main_runs(spark, root).select(
+        "preset", "seed", "method", F.col("test_acc").alias("id_acc"), F.col("test_f1").alias("id_f1"), "ood_acc", "ood_f1", "gap")
 
 
-# ---- roll-ups ----------------------------------------------------------------------------------------
+def i4_method_report(spark, root):
+    return X.main_runs(spark, root).select(
+        "preset", "seed", "method", "test_acc", "test_f1", "val_acc", "val_f1", "train_size", "generated", "selected")
 
-SEEDS = (42, 43, 44)
 
+# ---- roll-ups ----------------------------------------------------------------------------------------
 
 def j1_variant_selection(spark, root):
     from ..params import variant_params
@@ -416,62 +420,51 @@ def j1_variant_selection(spark, root):
 
 
 def j2_ablation_report(spark, root):
-    return X.ablation_grid(spark, root, P, seeds=(42,))
+    return X.ablation_runs(spark, root)
 
 
 def j3_method_grid(spark, root):
-    runs, _ = X.run_grid(spark, root, P, seeds=(42,))
-    return runs
+    return X.main_runs(spark, root)
 
 
 def j4_repeat_grid(spark, root):
-    runs, _ = X.run_grid(spark, root, P, seeds=SEEDS)
-    return runs
+    return X.method_runs(spark, root)
 
 
 def j5_mean_std(spark, root):
-    runs, _ = X.run_grid(spark, root, P, seeds=SEEDS)
-    return J.mean_std(runs, ["method"], ["test_acc", "val_acc", "ood_acc"])
+    return J.mean_std(X.main_runs(spark, root), ["method"], ["test_acc", "val_acc", "ood_acc"])
 
 
 def j6_summarize_main(spark, root):
-    runs, _ = X.run_grid(spark, root, P, seeds=SEEDS)
-    return J.summarize_main(runs)
+    return J.summarize_main(X.main_runs(spark, root))
 
 
 def j6_summarize_quality(spark, root):
-    _, quality = X.run_grid(spark, root, P, seeds=SEEDS)
-    return J.summarize_quality(quality)
-
-
-def _ladder(spark, root):
-    runs, _ = X.ladder_grid(spark, root, P, seeds=SEEDS)
-    return runs
+    return J.summarize_quality(X.quality_runs(spark, root))
 
 
 def j7_summarize_low_resource(spark, root):
-    return J.summarize_low_resource(_ladder(spark, root))
+    return J.summarize_low_resource(X.method_runs(spark, root))
 
 
 def j8_summarize_ablation(spark, root):
-    return J.summarize_ablation(X.ablation_grid(spark, root, P, seeds=SEEDS))
+    return J.summarize_ablation(X.ablation_runs(spark, root))
 
 
 def j9_summarize_ood(spark, root):
-    runs, _ = X.run_grid(spark, root, P, seeds=SEEDS)
-    return J.summarize_ood(runs)
+    return J.summarize_ood(X.main_runs(spark, root))
 
 
 def j10_ratio_pivot(spark, root):
-    return J.ratio_pivot(_ladder(spark, root))
+    return J.ratio_pivot(X.method_runs(spark, root).where("task = 'low_resource'"))
 
 
 def j11_best_per_group(spark, root):
-    return J.best_per_group(J.summarize_low_resource(_ladder(spark, root)))
+    return J.best_per_group(J.summarize_low_resource(X.method_runs(spark, root)))
 
 
 def j12_delta_vs(spark, root):
-    return J.delta_vs(J.summarize_low_resource(_ladder(spark, root)), "none")
+    return J.delta_vs(J.summarize_low_resource(X.method_runs(spark, root)), "none")
 
 
 # ---- model calls and responses ------------------------------------------------------------------------
@@ -543,9 +536,11 @@ def s5_collect_runs(spark, root):
     from ..sources.stages import collect_runs, write_results
     import uuid
     base = f"{checkpoint_dir(spark).rstrip('/')}/flipside-runs-{uuid.uuid4().hex}"
-    runs, _ = X.run_grid(spark, root, P, seeds=(42,))
+    runs = X.method_runs(spark, root).where("preset = 'multi_stage'")
     cols = ["method", "test_acc", "test_f1", "val_acc", "val_f1", "train_size", "generated", "selected"]
-    write_results(runs.select(*cols), f"{base}/main/100pct/seed_42/main")
+    for task, ratio, seed in [("main", "100pct", s) for s in GRID_SEEDS] + [("low_resource", "10pct", s) for s in GRID_SEEDS]:
+        own = runs.where((F.col("task") == task) & (F.col("ratio") == ratio) & (F.col("seed") == seed))
+        write_results(own.select(*cols), f"{base}/{task}/{ratio}/seed_{seed}/main")
     schema = ("method string, test_acc double, test_f1 double, val_acc double, val_f1 double, "
               "train_size long, generated long, selected long")
     return collect_runs(spark, base, schema)
@@ -562,6 +557,7 @@ QUERIES.update({
     "i4_method_report": i4_method_report,
     "i5_quality_report": i5_quality_report,
     "i6_ood_report": i6_ood_report,
+    "i6_ood_by_method": i6_ood_by_method,
     "j1_variant_selection": j1_variant_selection,
     "j2_ablation_report": j2_ablation_report,
     "j3_method_grid": j3_method_grid,

@@ -76,7 +76,7 @@ def augment_rounds(samples: DataFrame, lexicon: DataFrame, model: TextModel, p:
     base = _with_plan(samples.select("id", "text", "label"), p)
     cands = with_candidate_text(candidate_keys(base, p.num_candidates, p.rounds), lexicon, p.seed,
                                 p.pairs_per_candidate)
-    ver = verify(cands, model, p)
+    ver = verify(cands, model, p, samples=base)
     # Only slim score rows cross the exchange; one hash partitioning on id
     # serves the (id, round) and (id) windows alike.
     slim = ver.drop("text", "cand_text", "elements_to_preserve", "label").repartition("id")
@@ -176,7 +176,7 @@ def augment_rounds_with_model(samples: DataFrame, factory, model: TextModel, p:
                  .select("id", "round", "ordinal", "candidate_id", F.col("text").alias("cand_text"))
                  .join(pending.select("id", "text", "label", "elements_to_preserve"), "id")
                  .withColumn("target_label", (1 - F.col("label")).cast("int")))
-        marked = written(mark_selected(verify(cands, model, p), p), "marked")
+        marked = written(mark_selected(verify(cands, model, p, samples=pending), p), "marked")
         sel = marked.filter("selected")
         vers.append(marked.drop("selected"))
         sels.append(sel.select("id", F.col("cand_text").alias("text"), F.col("target_label").alias("label"),
