@@ -83,10 +83,11 @@ def samples_of_runs(train: DataFrame, runs: list[tuple[float, int]], base: int =
 
 def token_stats(rows: DataFrame) -> DataFrame:
     """run, token, c1, c0 (occurrences by label), df1, df0 (rows by label) of rows (text, label, runs)."""
-    ordered = F.array_sort(tokens(F.col("text")))
-    marked = F.transform(ordered, lambda t, i: F.struct(t.alias("token"), (F.coalesce(F.get(ordered, i - 1) != t, F.lit(True))).cast("int").alias("first")))
+    words = tokens(F.col("text"))
+    mark = lambda c, df: lambda t: F.struct(t.alias("token"), F.lit(c).alias("c"), F.lit(df).alias("df"))
+    marked = F.concat(F.transform(words, mark(1, 0)), F.transform(F.array_distinct(words), mark(0, 1)))
     each = rows.select("label", "runs", F.explode(marked).alias("t")).groupBy("t.token", "label", "runs").agg(
-        F.count(F.lit(1)).alias("c"), F.sum("t.first").alias("df"))
+        F.sum("t.c").alias("c"), F.sum("t.df").alias("df"))
     of = lambda c, label: F.sum(F.when(F.col("label") == label, F.col(c)).otherwise(0)).cast("long")
     return each.withColumn("run", F.explode("runs")).groupBy("run", "token").agg(
         of("c", 1).alias("c1"), of("c", 0).alias("c0"), of("df", 1).alias("df1"), of("df", 0).alias("df0"))
