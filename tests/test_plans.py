@@ -40,3 +40,23 @@ def test_ladder_shuffles_no_text(spark):
         plan = _plan(out)
         main = plan[:plan.find("Subquery")] if "Subquery" in plan else plan
         assert "Exchange" not in main and "SortMergeJoin" not in main, main
+
+
+def test_rewrites_tokens_are_not_shuffled(spark):
+    """Of tokens, those of samples and the changed ones of rewrites meet the weights; scores equal those of a plain pass."""
+    from pyspark.sql import functions as F
+
+    from flipside.functions.text import tokens
+    from flipside.operators import score as SC
+    texts = [(1, "Alpha beta's gamma beta", 1), (2, "delta ALPHA alphabet gamma", 0), (3, "", 0), (4, "zeta", 1)]
+    rewrites = [(1, 1, "Omega beta's gamma beta"), (1, 2, "Alpha beta's gamma beta and more words"), (2, 1, "delta ALPHA omegabet gamma"),
+                (2, 2, "gamma"), (3, 1, "alpha"), (4, 1, "zeta"), (4, 2, "")]
+    samples = spark.createDataFrame(texts, "id long, text string, label int")
+    cands = spark.createDataFrame(rewrites, "id long, ordinal int, cand_text string").join(samples, "id")
+    model = SC.fit_text_classifier(samples)
+    weights = {r.token: r.w for r in model.weights.collect()}
+    got = SC.label_logits(samples.select("id", "text"), cands, model.weights, ["id"])
+    for r in got.withColumn("all", tokens(F.col("cand_text"))).collect():
+        assert abs(r.logit - sum(weights.get(t, 0.0) for t in r["all"])) < 1e-9, r
+    changed = {(r.id, r.ordinal): len(r.d) for r in cands.withColumn("d", SC.changed_tokens(F.col("text"), F.col("cand_text"))).collect()}
+    assert changed[1, 1] == 2 and changed[1, 2] == 3 and changed[2, 1] == 2 and changed[4, 1] == 0

@@ -43,12 +43,20 @@ def test_best_and_delta(spark):
 
 
 def test_ladder_and_ablation_rollups_run_all_seeds(monkeypatch):
+    """All of them ask the grid for three seeds, and the method grid for both presets and four ratios."""
+    from unittest.mock import MagicMock
+
     from flipside.plans import queries as Q
     seen = []
-    monkeypatch.setattr(Q.X, "ladder_grid", lambda spark, root, p, seeds: (seen.append(seeds), None))
-    monkeypatch.setattr(Q.X, "ablation_grid", lambda spark, root, p, seeds: seen.append(seeds))
+    for name in ("method_runs", "ablation_runs"):
+        monkeypatch.setattr(Q.X.grid, name, lambda spark, root, seeds, name=name: seen.append((name, seeds)))
+    monkeypatch.setattr(Q.X, "_grid_folder", lambda *args: "")
+    monkeypatch.setattr(Q.X, "_kept", lambda spark, path, make: make() or MagicMock())
     for name in ("summarize_low_resource", "summarize_ablation", "ratio_pivot", "best_per_group", "delta_vs"):
         monkeypatch.setattr(Q.J, name, lambda *args: None)
+    monkeypatch.setattr(Q.X, "F", MagicMock())
+    monkeypatch.setattr(Q, "F", MagicMock())
     for name in ("j7_summarize_low_resource", "j8_summarize_ablation", "j10_ratio_pivot", "j11_best_per_group", "j12_delta_vs"):
         Q.QUERIES[name](None, None)
-    assert seen == [(42, 43, 44)] * 5
+    assert seen == [("ablation_runs" if i == 1 else "method_runs", (42, 43, 44)) for i in range(5)]
+    assert list(Q.X.grid.PRESETS) == ["default", "multi_stage"] and len(Q.X.grid.LADDER) == 4
