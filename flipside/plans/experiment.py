@@ -20,15 +20,16 @@ def _grid_folder(spark: SparkSession, root: str, *key) -> str:
     marks = []
     for table in ("documents", "labels"):
         file = F.struct("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-        files = spark.read.parquet(f"{root}/{table}.parquet").groupBy(file).count()
-        marks.append(tuple(files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns[:1]).cast("decimal(38,0)"))).first()))
+        files = spark.read.parquet(f"{root}/{table}.parquet").groupBy(file.alias("file")).count()
+        marks.append(tuple(files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("file").cast("decimal(38,0)"))).first()))
     return f"{checkpoint_dir(spark).rstrip('/')}/flipside-grid-{hashlib.md5(repr((key, root, marks)).encode()).hexdigest()}"
 
 
 def _kept(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at ``path``, made and written first where its commit mark isn't there."""
-    if not path_exists(spark, f"{path}/_SUCCESS"):
+    """The table at ``path``, made and written first where the mark isn't there that follows a whole table."""
+    if not path_exists(spark, f"{path}-done"):
         make().coalesce(1).write.mode("overwrite").parquet(path)   # a row for each run
+        spark.range(1).write.mode("overwrite").parquet(f"{path}-done")
     return spark.read.parquet(path)
 
 
