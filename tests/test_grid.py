@@ -50,3 +50,11 @@ def test_jobs_do_not_grow_with_runs(spark):
 
     one, many = jobs("one run", (42,), (1.0,)), jobs("many runs", (42, 43, 44), (0.3, 0.5, 1.0))
     assert many <= one + 10   # adaptive execution splits a few more of them
+
+
+def test_token_stats_by_hand(spark):
+    rows = [("a b a it's", 1, [0, 2]), ("B b c", 0, [2]), ("", 1, [0]), ("A a", 1, [0, 2])]
+    frame = spark.createDataFrame(rows, "text string, label int, runs array<int>")
+    got = {(r.run, r.token): (r.c1, r.c0, r.df1, r.df0) for r in grid.token_stats(frame).collect()}
+    assert got == {(0, "a"): (4, 0, 2, 0), (0, "b"): (1, 0, 1, 0), (0, "it's"): (1, 0, 1, 0),
+                   (2, "a"): (4, 0, 2, 0), (2, "b"): (1, 2, 1, 1), (2, "it's"): (1, 0, 1, 0), (2, "c"): (0, 1, 0, 1)}
