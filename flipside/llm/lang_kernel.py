@@ -5,46 +5,78 @@ presence kernel), divided by the geometric mean of their own numbers. Landmark t
 a Nyström feature space, in which one ridge regression per language, one against the rest, gives the scores.
 Whole texts are scored in batches, by matrix products of presence rows with the landmarks' presence.
 
-Texts are lower-cased; characters that no landmark has count as one and the same. Fitting uses at most
-``max_rows`` rows, those whose ids hash lowest, and ``landmarks`` landmarks of at most ``landmark_chars``
-characters, dealt evenly over languages; everything else covers all rows.
-
-Defined cases: null texts and texts without a letter are ``und`` with score 0; rows without a language aren't
-learnt from; without any, every row is ``und``; equal scores go to the language first in order; rows that
-share an id get a row each; an empty table gives an empty one. Other columns are ignored, whatever their names.
+Texts are lower-cased; characters that no landmark has count as one and the same. Fitting uses, of each language,
+the ``rows_per_lang`` rows whose ids hash lowest, so that a language is learnt however few of the rows it has, and
+every language weighs the same. The first ``landmarks_per_lang`` of them are landmarks; of a landmark's n-grams,
+those of the whole text, at most the ``landmark_grams`` that hash lowest are kept. Everything else covers all
+rows. The driver holds rows x landmarks of the sample: a few MB for ten languages, 8 GB for 300, where the
+parameters should be lowered.
+
+Defined cases: null texts and texts without a letter (``\\p{L}``: digits, powers and fractions aren't) are ``und``
+with score 0; rows without a language aren't learnt from; without any, every row is ``und``; equal scores go to the
+language first in order; rows that share an id get a row each; rows without an id are learnt from and scored like
+others; an empty table gives an empty one. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flipside.llm.common import lowest, map_arrow, stored, texts
+from flipside.llm.common import map_arrow, stored, texts
+
+#: Bits of a character in the code of a landmark's n-gram; no character is 0 there.
+BITS = 21
+
 
-LETTER = re.compile(r"[^\W\d_]")
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
+def raw_grams(text: str, most: int | None = None) -> np.ndarray:
+    """Codes of the distinct n-grams of a whole text, three characters to a code; the ``most`` that hash lowest."""
+    one = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64) + 1
+    two = (one[:-1] << BITS) | one[1:]
+    three = (two[:-1] << BITS) | one[2:]
+    codes = np.unique(np.concatenate([one, two, three]))
+    if most is not None and len(codes) > most:
+        mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        codes = np.sort(codes[np.argsort(mixed, kind="stable")[:most]])
+    return codes
 
 
 class Kernel:
-    """Presence of n-grams over the landmarks' alphabet, and products with the landmarks' presence."""
+    """Presence of n-grams over the landmarks' alphabet, and products with the landmarks' presence.
 
-    def __init__(self, landmarks: list[str]):
-        marks = [np.frombuffer(t.lower().encode("utf-32-le"), np.uint32) for t in landmarks]
-        alphabet = np.unique(np.concatenate(marks)) if marks else np.empty(0, np.uint32)
+    A landmark is a text, or the codes of its n-grams."""
+
+    def __init__(self, landmarks: list):
+        marks = [raw_grams(m) if isinstance(m, str) else np.asarray(m, np.int64) for m in landmarks]
+        low = (1 << BITS) - 1
+        places = [np.stack([m >> (2 * BITS), (m >> BITS) & low, m & low]) for m in marks]
+        alphabet = np.unique(np.concatenate([p.ravel() for p in places])) if places else np.empty(0, np.int64)
+        alphabet = alphabet[alphabet > 0] - 1
         self.size = len(alphabet) + 1
         self.number = np.zeros(0x110000, np.int64)
         self.number[alphabet] = np.arange(1, self.size)
-        grams = [self.grams(t) for t in landmarks]
+        grams = [self._own_codes(p) for p in places]
         self.vocabulary = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.int64)
         self.presence = np.zeros((len(self.vocabulary), len(landmarks)), np.float32)
         for j, g in enumerate(grams):
             self.presence[np.searchsorted(self.vocabulary, g), j] = 1
         self.own = np.array([len(g) for g in grams], np.float32)
 
+    def _own_codes(self, places: np.ndarray) -> np.ndarray:
+        """The codes that ``grams`` gives n-grams of these characters."""
+        a = self.size
+        x, y, z = (np.where(p > 0, self.number[p - 1], 0) for p in places)
+        offset = np.where(places[0] > 0, a + a * a, np.where(places[1] > 0, a, 0))
+        return np.sort(offset + (x * a + y) * a + z)
+
     def grams(self, text: str) -> np.ndarray:
         """Codes of the distinct n-grams, in order."""
-        one = self.number[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
+        one = self.number[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
         a = self.size
         two = one[:-1] * a + one[1:]
         three = two[:-1] * a + one[2:]
@@ -74,7 +106,7 @@ class Model:
 
     def predict(self, batch: list[str]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(batch), [0.0] * len(batch)
-        some = [i for i, t in enumerate(batch) if self.langs and LETTER.search(t)]
+        some = [i for i, t in enumerate(batch) if self.langs and has_letter(t)]
         if some:
             k = self.kernel.products([batch[i] for i in some])
             found = np.column_stack([k, np.ones(len(some), np.float32)]) @ self.weights
@@ -90,31 +122,50 @@ def _products(kernel):
     return step
 
 
+def _landmark_grams(most: int):
+    def step(batch):
+        return {"lang": batch["lang"], "turn": batch["turn"], "grams": [raw_grams(t, most) for t in texts(batch, "text")]}
+
+    return step
+
+
+def lowest_per_lang(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of each language whose ids hash lowest, numbered from 1 (turn). Counts of the languages, one
+    row each, set thresholds that leave hardly more than ``n`` rows of a language to be put in order."""
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(7), "id", F.xxhash64("text")), 1)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang"))
+    reach = (F.lit(n + 6 * n**0.5 + 20) / F.col("n_lang")) * F.lit(float(2**63))
+    few = rows.withColumn("key", key).join(F.broadcast(counts), "lang").where(F.col("key").cast("double") <= reach)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id", "text"))
+    return few.withColumn("turn", turn).where(F.col("turn") <= n).select("lang", "text", "turn")
+
+
 def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        landmarks: int = 96, landmark_chars: int = 20_000, max_rows: int = 4000, ridge: float = 1.0) -> Model:
+        landmarks_per_lang: int = 16, landmark_grams: int = 6000, rows_per_lang: int = 500, ridge: float = 1.0) -> Model:
     """Learns from the text and language of rows where ``train`` holds."""
     spark = df.sparkSession
     rows = df.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = stored(lowest(rows, "id", max_rows, seed=7).where(F.col("text").rlike(r"\p{L}")), "language-sample")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.xxhash64("text")))
-    marks = sample.where(F.length("text") <= landmark_chars).withColumn("turn", turn)
-    marks = marks.orderBy("turn", "lang").limit(landmarks).select("text").collect()
+    sample = stored(lowest_per_lang(rows.where(F.col("text").rlike(r"\p{L}")), rows_per_lang), "language-sample")
+    marks = map_arrow(sample.where(F.col("turn") <= landmarks_per_lang), "lang string, turn int, grams array<long>",
+                      _landmark_grams, landmark_grams).orderBy("turn", "lang").collect()
     if not marks:
         return Model(Kernel([]), [], np.zeros((1, 0), np.float32))
-    kernel = spark.sparkContext.broadcast(Kernel([r.text for r in marks]))
+    kernel = spark.sparkContext.broadcast(Kernel([r.grams for r in marks]))
     found = map_arrow(sample.select("lang", "text").repartition(8), "lang string, k array<double>", _products, kernel).orderBy("lang", "k").collect()
     langs = sorted({r.lang for r in found})
     k = np.array([r.k for r in found])
     target = np.array([[r.lang == x for x in langs] for r in found], float)
+    weight = (target @ (1 / target.sum(axis=0)) * len(found) / len(langs))[:, None]
 
     z = kernel.value.presence / np.sqrt(kernel.value.own)
     values, vectors = np.linalg.eigh((z.T @ z).astype(float))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
     space = k @ root
-    mean, rate = space.mean(axis=0), target.mean(axis=0)
-    solved = np.linalg.solve((space - mean).T @ (space - mean) + ridge * np.eye(space.shape[1]), (space - mean).T @ (target - rate))
+    mean, rate = (weight * space).mean(axis=0), (weight * target).mean(axis=0)
+    centred = weight * (space - mean)
+    solved = np.linalg.solve(centred.T @ (space - mean) + ridge * np.eye(space.shape[1]), centred.T @ (target - rate))
     weights = np.vstack([root @ solved, rate - mean @ solved]).astype(np.float32)
     return Model(kernel.value, langs, weights)
 

@@ -149,3 +149,55 @@ def test_language_of_odd_tables(spark):
     nothing = lang_kernel.fit(table.where("lang IS NULL"), F.lit(True))
     assert set(local(lang_kernel.predict(table, nothing)).lang_pred) == {"und"}
     assert local(lang_kernel.predict(odd.empty(spark), model)).empty
+
+
+def test_language_learns_from_long_texts_only(spark):
+    rows = [(i, " ".join(f"{w}{j % 7}" for j in range(6000)), lang) for i, (w, lang) in enumerate(
+        [("uno dos", "es"), ("one two", "en"), ("eins zwei", "de")] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = local(lang_kernel.predict(df, lang_kernel.fit(df, F.lit(True), landmark_grams=40)))
+    assert dict(zip(got.doc_id, got.lang_pred)) == {i: lang for i, _, lang in rows}
+
+
+def test_language_learns_a_rare_language(spark):
+    common = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the cat and the dog number "), F.col("id") % 97).alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(70_000 + i, f"katten og hunden nummer {i}", "da") for i in range(4)], common.schema)
+    model = lang_kernel.fit(common.union(rare), F.col("doc_id") != 70_003)
+    got = local(lang_kernel.predict(rare, model))
+    assert model.langs == ["da", "en"] and (got.lang_pred == "da").all()
+
+
+def test_language_of_signs_that_are_no_letters(spark):
+    table = spark.createDataFrame([(1, "²"), (2, "½ ①"), (3, "12 _"), (4, "ª"), (5, "ʰ"), (6, "漢")], "doc_id long, text string")
+    model = lang_kernel.fit(table.withColumn("lang", F.lit("xx")), F.lit(True))
+    got = local(lang_kernel.predict(table, model)).set_index("doc_id").lang_pred
+    assert dict(got) == {1: "und", 2: "und", 3: "und", 4: "xx", 5: "xx", 6: "xx"}
+
+
+def test_language_model_against_brute_force_ridge(spark):
+    """Every row a landmark: the model is kernel ridge regression with an intercept, solved here in its dual form."""
+    said = {"en": ["the cat sat", "a dog ran off", "this is it"], "de": ["die katze sitzt", "der hund rennt", "das ist es"], "fr": ["le chat dort", "un chien court"]}
+    rows = [(i, t, lang) for i, (t, lang) in enumerate((t, lang) for lang, ts in said.items() for t in ts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_kernel.fit(df, F.lit(True))
+    grams = lambda t: {t[i:i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    k = lambda a, b: len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
+    texts, langs = [r[1] for r in rows], sorted(said)
+    gram = np.array([[k(a, b) for b in texts] for a in texts])
+    target = np.array([[r[2] == x for x in langs] for r in rows], float)
+    weight = np.array([len(rows) / len(langs) / len(said[r[2]]) for r in rows])
+    # min sum w (y - Ka - b)^2 + a'Ka, by its normal equations in (a, b)
+    left = np.vstack([np.hstack([weight[:, None] * gram + np.eye(len(rows)), weight[:, None]]), np.hstack([weight @ gram, [weight.sum()]])])
+    right = np.vstack([weight[:, None] * target, weight @ target])
+    solved = np.linalg.solve(left, right)
+    want = gram @ solved[:-1] + solved[-1]
+    seen = np.column_stack([model.kernel.products(texts), np.ones(len(rows))]) @ model.weights
+    assert model.langs == langs and np.allclose(seen, want, atol=1e-3)
+    found, scores = model.predict(texts)
+    assert found == [langs[i] for i in want.argmax(axis=1)] and np.allclose(scores, want.max(axis=1).clip(0, 1), atol=1e-3)
+
+
+def test_language_ties_go_to_the_first_language(spark):
+    df = spark.createDataFrame([(1, "same text", "b"), (2, "same text", "a")], "doc_id long, text string, lang string")
+    got = local(lang_kernel.predict(df, lang_kernel.fit(df, F.lit(True))))
+    assert set(got.lang_pred) == {"a"}
