@@ -379,6 +379,24 @@ def _predictions(spark, root):
     return SC.predict(_model(spark, root), evalset)
 
 
+def _linear(spark, root):
+    from ..operators.linear import fit_linear
+    return fit_linear(_train(spark, root), S.prepared_samples(spark, root, P).where("split = 'validation'"))
+
+
+def i1_train_epochs(spark, root):
+    """I1, the linear kind: loss and validation metrics after every epoch, and which epoch's weights stay."""
+    return _linear(spark, root).history.select(
+        "epoch", F.round("train_loss", 4).alias("train_loss"), F.round("val_acc", 4).alias("val_acc"), F.round("val_f1", 4).alias("val_f1"), "kept")
+
+
+def i2_predict_linear(spark, root):
+    """I2 with the linear kind, on the rows that training hasn't seen."""
+    from ..operators.linear import predict_linear
+    rows = S.prepared_samples(spark, root, P).where("split IN ('test', 'ood_test')").select("id", "text", "label", "split")
+    return predict_linear(_linear(spark, root), rows).select("id", "split", "prediction", F.round("probability", 4).alias("probability"))
+
+
 def i2_predict(spark, root):
     return _predictions(spark, root).select("id", "split", "prediction",
                                             F.round("probability", 4).alias("probability"))
@@ -552,7 +570,9 @@ QUERIES.update({
     "h3_run_counters": h3_run_counters,
     "h4_resume": h4_resume,
     "h5_stream_augment": h5_stream_augment,
+    "i1_train_epochs": i1_train_epochs,
     "i2_predict": i2_predict,
+    "i2_predict_linear": i2_predict_linear,
     "i3_classification_metrics": i3_classification_metrics,
     "i4_method_report": i4_method_report,
     "i5_quality_report": i5_quality_report,

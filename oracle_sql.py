@@ -9,6 +9,7 @@ uses, so both sides agree on thresholds, weights and seeds.
 from __future__ import annotations
 
 from flipside.operators.generate import UNCHANGED_CLAUSE
+from flipside.operators.linear import LinearParams
 from flipside.operators.planning import (CAUSAL, DEFAULT_PRESERVE, PLANNER_TEMPLATE, PRESERVE, SINGLE_PRESERVE,
                                          STRIP_CHARS)
 from flipside.operators.score import (DEFAULT_FEEDBACK, GENERIC_CRITIQUE, ISSUE_EDIT, ISSUE_LABEL,
@@ -538,6 +539,43 @@ m AS (""" + metrics("method, domain", "(SELECT *, 'none' AS method FROM pred WHE
     o["j1_variant_selection"] = " UNION ALL ".join(sqls)
 
 
+def _linear_oracles(o: dict) -> None:
+    """I1, the linear kind: gradient descent written out, one pair of tables (scores, weights) an epoch. Slot -1 is the intercept."""
+    l = LinearParams()
+    body = _base(P) + f""",
+lt AS (SELECT id, unnest({tok('text')}) AS token FROM prepared),
+lc AS (SELECT id, ('0x' || substr(md5('slot:' || token), 1, 8))::BIGINT % {l.buckets} AS slot, 1 + ln(count(*)) AS v FROM lt GROUP BY ALL),
+lx AS MATERIALIZED (SELECT id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS x FROM lc UNION ALL SELECT id, -1, 1.0 FROM prepared),
+lrows AS MATERIALIZED (SELECT id, label, split, (SELECT count(*) FROM train) / (2.0 * (SELECT count(*) FROM train t WHERE t.label = p.label)) AS c FROM prepared p),
+ln_ AS (SELECT count(*) AS n FROM lrows WHERE split = 'train'),
+lw0 AS MATERIALIZED (SELECT DISTINCT slot, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS m FROM lx SEMI JOIN train USING (id)),
+lz0 AS MATERIALIZED (SELECT id, label, split, c, CAST(0 AS DOUBLE) AS z FROM lrows)"""
+    for e in range(1, l.epochs + 1):
+        body += f""",
+lg{e} AS (SELECT slot, sum(x * c * (1 / (1 + exp(-z)) - label)) / (SELECT greatest(1, n) FROM ln_) AS g FROM lx JOIN lz{e - 1} USING (id) WHERE split = 'train' GROUP BY slot),
+lw{e} AS MATERIALIZED (SELECT slot, w + m AS w, m FROM (SELECT slot, w, {l.momentum} * m - {l.step} * (g + CASE WHEN slot >= 0 THEN {l.penalty} * w ELSE 0 END) AS m FROM lw{e - 1} JOIN lg{e} USING (slot))),
+lz{e} AS MATERIALIZED (SELECT id, any_value(label) AS label, any_value(split) AS split, any_value(c) AS c, sum(x * coalesce(w, 0)) AS z FROM lx LEFT JOIN lw{e} USING (slot) JOIN lrows USING (id) GROUP BY id)"""
+    f1 = lambda c: f"2.0 * t{c} / (2 * t{c} + f0 + f1)"
+    body += """,
+lall AS (""" + " UNION ALL ".join(f"SELECT {e} AS epoch, * FROM lz{e}" for e in range(1, l.epochs + 1)) + f"""),
+lsum AS (
+  SELECT epoch, sum(CASE WHEN split = 'train' THEN c * ln(1 + exp(CASE WHEN label = 1 THEN -z ELSE z END)) END) / (SELECT greatest(1, n) FROM ln_) AS train_loss,
+    count(*) FILTER (WHERE split = 'validation') AS n, count(*) FILTER (WHERE split = 'validation' AND label = 0 AND z <= 0) AS t0,
+    count(*) FILTER (WHERE split = 'validation' AND label = 1 AND z > 0) AS t1, count(*) FILTER (WHERE split = 'validation' AND label = 0 AND z > 0) AS f0,
+    count(*) FILTER (WHERE split = 'validation' AND label = 1 AND z <= 0) AS f1
+  FROM lall GROUP BY epoch),
+lhist AS (
+  SELECT epoch, coalesce(train_loss, 0.0) AS train_loss, (t0 + t1) / greatest(1, n) AS val_acc,
+    (CASE WHEN t0 + f0 + f1 > 0 THEN {f1(0)} ELSE 0 END + CASE WHEN t1 + f0 + f1 > 0 THEN {f1(1)} ELSE 0 END)
+    / greatest(1, CAST(t0 + f0 + f1 > 0 AS INTEGER) + CAST(t1 + f0 + f1 > 0 AS INTEGER)) AS val_f1
+  FROM lsum),
+lbest AS (SELECT epoch FROM lhist ORDER BY val_f1 DESC, epoch LIMIT 1)"""
+    o["i1_train_epochs"] = with_(body, "SELECT CAST(epoch AS INTEGER) AS epoch, round(train_loss, 4) AS train_loss, round(val_acc, 4) AS val_acc, round(val_f1, 4) AS val_f1, "
+                                       "epoch = (SELECT epoch FROM lbest) AS kept FROM lhist")
+    o["i2_predict_linear"] = with_(body, "SELECT id, split, CAST(z > 0 AS INTEGER) AS prediction, round(1 / (1 + exp(-z)), 4) AS probability "
+                                         "FROM lall WHERE epoch = (SELECT epoch FROM lbest) AND split IN ('test', 'ood_test')")
+
+
 def _sink_oracles(o: dict) -> None:
     """Sinks and incremental runs: their results must equal the batch tables."""
     p = P
@@ -571,6 +609,6 @@ UNION ALL SELECT request_id, id, 1, CASE WHEN k = 4 THEN 2 ELSE 1 END, CASE WHEN
 
 def oracles() -> dict[str, str]:
     o = _core_oracles()
-    for add in (_extra_oracles, _more_oracles, _sink_oracles, _response_oracles):
+    for add in (_extra_oracles, _more_oracles, _linear_oracles, _sink_oracles, _response_oracles):
         add(o)
     return o
