@@ -5,15 +5,19 @@
   retried with exponential back-off, and failures become rows (``error``),
   never task failures. Replies are lazy like any plan: write them once
   (``sources.stages``) before parsing, or the model is called again per read.
-* D1 is one Arrow function per reply (strict JSON over balanced top-level
-  blocks); D2-D5 are column expressions.
+* D1 is one Arrow function per reply (JSON over balanced top-level blocks);
+  D2-D5 are column expressions. What D1 reads, they read: an object that
+  Spark's parser would refuse (NaN, a key twice, very deep nesting) is written
+  anew by D1.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import time
+from functools import reduce
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -95,11 +99,45 @@ def top_level_blocks(text: str) -> Iterator[str]:
         at = text.find("{", end)
 
 
-def _is_object(text: str) -> bool:
+MAX_DEPTH = 200   # what lies deeper in an object is written as null
+
+
+def _shallow(value, depth: int = 0):
+    """A value whose lists and objects end at MAX_DEPTH."""
+    if depth >= MAX_DEPTH and isinstance(value, (dict, list)):
+        return None
+    if isinstance(value, dict):
+        return {k: _shallow(v, depth + 1) for k, v in value.items()}
+    return [_shallow(v, depth + 1) for v in value] if isinstance(value, list) else value
+
+
+def read_object(text: str) -> str | None:
+    """The text of a JSON object as Spark's parser takes it: as it is, or, where only Python takes it, written anew
+    with the last value of a key that comes twice and null for numbers that aren't finite. None where it is no object."""
+    odd = []
+
+    def members(pairs):
+        found = dict(pairs)
+        if len(found) < len(pairs):
+            odd.append("keys")
+        return found
+
+    def number(digits):
+        value = float(digits)
+        if not math.isfinite(value):
+            odd.append("number")
+            return None
+        return value
+
     try:
-        return isinstance(json.loads(text), dict)
-    except ValueError:
-        return False
+        value = json.loads(text, object_pairs_hook=members, parse_float=number, parse_constant=number)
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(value, dict):
+        return None
+    if odd or text.count("{") + text.count("[") > MAX_DEPTH:
+        return json.dumps(_shallow(value))
+    return text
 
 
 def parse_reply(content: str | None) -> tuple[str | None, str]:
@@ -109,9 +147,9 @@ def parse_reply(content: str | None) -> tuple[str | None, str]:
     text = content.strip()
     if fenced := _FENCED.search(text):
         text = fenced[1]
-    if text.startswith("{") and text.endswith("}") and _is_object(text):
-        return text, "ok"
-    found = next((b for b in top_level_blocks(text) if _is_object(b)), None)
+    if text.startswith("{") and text.endswith("}") and (whole := read_object(text)) is not None:
+        return whole, "ok"
+    found = next((o for o in map(read_object, top_level_blocks(text)) if o is not None), None)
     return found, "error" if found is None else "scanned"
 
 
@@ -123,7 +161,7 @@ def _parse(contents: pd.Series) -> pd.DataFrame:
 def extract_json(responses: DataFrame) -> DataFrame:
     """Adds `json` (the object text) and `parse_status` in
     {ok, scanned, error, failed_call}: a code fence is unwrapped, the whole
-    text is tried as strict JSON, then each balanced top-level block in turn."""
+    text is tried as JSON, then each balanced top-level block in turn. Where it is ok or scanned, D3 and D4 can read it."""
     return responses.withColumn("_p", _parse("content")).select(
         *responses.columns, F.col("_p.json").alias("json"), F.col("_p.parse_status").alias("parse_status"))
 
@@ -271,3 +309,31 @@ def merge_repaired(parsed: DataFrame, repaired_parsed: DataFrame) -> DataFrame:
              .withColumn("parse_status", F.lit("repaired")))
     keep = parsed.join(fixed.select("request_id"), "request_id", "left_anti")
     return keep.unionByName(fixed.select(*parsed.columns))
+
+
+def complete_candidates(prompts: DataFrame, factory: Callable[[], Callable[[str, str], str]], max_retries: int = 3,
+                        backoff: float = 1.0, partitions: int | None = None) -> DataFrame:
+    """C5, D1, C6, D2 and D3 of generator prompts: one row per usable candidate, like D3's.
+
+    A reply that can't be read is asked for again in JSON; where that answer can't be read either, candidates are
+    salvaged from it, or from the reply if there was no answer; where there are none, the prompt itself is asked
+    again, up to ``max_retries`` times. Calls that fail have had as many tries inside their task. Replies are written
+    as they come, so every call is made once however often its reply is read, and only prompts without a result
+    go on to the next pass; the loop is over passes, not over rows."""
+    from ..sources.stages import written
+
+    call = dict(max_retries=max_retries, backoff=backoff, partitions=partitions)
+    pending, found = prompts, []
+    for attempt in range(max_retries + 1):
+        parsed = written(extract_json(batch_complete(pending, factory, **call)), "replies")
+        repaired = written(extract_json(batch_complete(repair_requests(parsed), factory, **call)), "repaired")
+        merged = merge_repaired(parsed, repaired)
+        answer = repaired.select(F.regexp_replace("request_id", ":repair$", "").alias("request_id"), F.col("content").alias("_answer"))
+        unread = merged.where(F.col("json").isNull() & F.col("content").isNotNull()).join(answer, "request_id", "left")
+        salvaged = written(salvage_candidates(unread.withColumn("content", F.coalesce("_answer", "content"))), "salvaged")
+        found += [normalize_candidates(merged), salvaged]
+        lost = unread.join(salvaged.select("request_id").distinct(), "request_id", "left_anti")
+        pending = written(pending.join(lost.select("request_id"), "request_id", "left_semi"), "pending")
+        if attempt == max_retries or pending.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)

@@ -145,19 +145,17 @@ def augment_rounds_with_model(samples: DataFrame, factory, model: TextModel, p:
 
     Round r prompts every still-pending sample (with the previous round's
     feedback) and writes the replies once, as a stage table: each prompt is one
-    call. Replies are parsed (D1); unreadable ones are salvaged (D2) or, where
-    nothing can be salvaged, asked for again in JSON (C6), those replies being
-    written once too; then scored and selected. Samples with a selection leave
-    the pending set (left anti join). Rounds depend on each other through the
-    feedback text, so this is a driver loop over rounds; the written tables cut
-    the lineage."""
+    call. Replies are parsed (D1); unreadable ones are asked for again in JSON
+    (C6), then salvaged (D2), then asked for anew (``complete_candidates``);
+    then scored and selected. Samples with a selection leave the pending set
+    (left anti join). Rounds depend on each other through the feedback text, so
+    this is a driver loop over rounds; the written tables cut the lineage."""
     from ..operators import responses as D
     from ..operators.planning import render_prompts
     from ..sources.stages import written
 
     base = _with_plan(samples.select("id", "text", "label"), p)
     plans = rule_plan(samples) if p.use_planner else None
-    call = dict(max_retries=max_retries, backoff=backoff, partitions=partitions)
     pending = base
     feedback = None
     vers, sels, fbs = [], [], []
@@ -166,12 +164,7 @@ def augment_rounds_with_model(samples: DataFrame, factory, model: TextModel, p:
         if feedback is not None:
             req = req.join(feedback.select("id", "feedback"), "id", "left")
         prompts = render_prompts(req, plans, "generator", num_candidates=p.num_candidates)
-        parsed = written(D.extract_json(D.batch_complete(prompts, factory, **call)), "replies")
-        unread = parsed.filter(F.col("json").isNull() & F.col("content").isNotNull())
-        salvaged = D.salvage_candidates(unread)
-        lost = unread.join(salvaged.select("request_id").distinct(), "request_id", "left_anti")
-        repaired = written(D.extract_json(D.batch_complete(D.repair_requests(lost), factory, **call)), "repaired")
-        cands = D.normalize_candidates(D.merge_repaired(parsed, repaired)).unionByName(salvaged)
+        cands = D.complete_candidates(prompts, factory, max_retries, backoff, partitions)
         cands = (cands.withColumn("ordinal", (F.col("pos") + 1).cast("int"))
                  .select("id", "round", "ordinal", "candidate_id", F.col("text").alias("cand_text"))
                  .join(pending.select("id", "text", "label", "elements_to_preserve"), "id")

@@ -172,3 +172,51 @@ def test_model_rounds(spark, tmp_path):
     assert sel.groupBy("id").agg(F.countDistinct("round").alias("r")).filter("r > 1").count() == 0
     assert sel.filter(F.col("round") > MULTI_STAGE.rounds).count() == 0
     assert ver.filter((F.col("final_score") < 0) | (F.col("final_score") > 1)).count() == 0
+
+
+@pytest.mark.parametrize("content, candidates, first", [
+    ('{"score": NaN, "candidates": ["a", "b"]}', [("c1", "a"), ("c2", "b")], "a"),
+    ('{"score": -Infinity, "big": 1e999, "prediction": "p"}', [("c1", "p")], "p"),
+    ('{"candidates": ["old"], "candidates": ["new"]}', [("c1", "new")], "new"),
+    ('{"candidates": [{"text": "x", "text": "y"}]}', [("c1", "y")], "y"),
+    ('{"candidates": ["a"], "deep": ' + "[" * 1500 + "]" * 1500 + "}", [("c1", "a")], "a"),
+    ('{"candidates": ["\\ud800 half"]}', None, None),
+    ('{"n": 123456789012345678901234567890123456789012345, "text": "t"}', [], "t"),
+    ('{"deep": ' + "[" * 200_000 + ', "candidates": ["a"]', [], ""),
+])
+def test_ok_means_readable(spark, content, candidates, first):
+    """Whatever D1 calls ok, Spark's JSON parser takes, and D3 and D4 find what it holds."""
+    from pyspark.sql import functions as F
+    parsed = D.extract_json(_resp(spark, [("r", content)]))
+    row = parsed.select("parse_status", F.try_parse_json("json").isNull().alias("unread")).first()
+    assert row.unread == (row.parse_status not in ("ok", "scanned"))
+    if candidates is not None:
+        assert [(r.candidate_id, r.text) for r in D.normalize_candidates(parsed).orderBy("pos").collect()] == candidates
+        assert D.first_text(parsed).first().first_text == first
+
+
+def test_repair_comes_before_salvage(spark, tmp_path):
+    """Readable repair; repair cut short; no repair; nothing to salvage at first, then a good reply; never anything."""
+    folder = str(tmp_path)
+    cut = lambda t: '{"candidates":[{"candidate_id":"c1","text":"' + t
+
+    def factory():
+        def fn(stage, prompt):
+            name = prompt.split("name=")[1].split("!")[0]
+            repair = prompt.startswith("Rewrite the following reply")
+            path = f"{folder}/{name}-{repair}"
+            n = len(open(path).read()) if os.path.exists(path) else 0
+            open(path, "a").write("x")
+            mark = f" name={name}!"
+            if not repair:
+                return {"late": "nothing" + mark if n == 0 else '{"prediction":"second try"}', "never": "nothing" + mark}.get(name, cut("from the reply") + mark)
+            return {"good": '{"candidates":["from the repair"]}', "cut": cut("half a repair"), "late": "still nothing", "never": "no"}.get(name, "")
+        return fn
+
+    names = ["good", "cut", "none", "late", "never"]
+    prompts = spark.createDataFrame([(n, i, "generator", 1, f"name={n}!") for i, n in enumerate(names)],
+                                    "request_id string, id long, stage string, round int, prompt string")
+    got = {r.request_id: r.text for r in D.complete_candidates(prompts, factory, max_retries=2, backoff=0).collect()}
+    assert got == {"good": "from the repair", "cut": "half a repair", "none": "from the reply name=none!", "late": "second try"}
+    calls = {n: [len(open(f"{folder}/{n}-{r}").read()) if os.path.exists(f"{folder}/{n}-{r}") else 0 for r in (False, True)] for n in names}
+    assert calls == {"good": [1, 1], "cut": [1, 1], "none": [1, 3], "late": [2, 1], "never": [3, 3]}
