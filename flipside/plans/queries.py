@@ -351,17 +351,32 @@ def h4_resume(spark, root):
         F.lit(n_first).cast("long").alias("pending_first"), "pending_second")
 
 
+def h4_resumed_augment(spark, root):
+    """E5 in two attempts after one that broke off before its commit: the samples of label 1 are committed, all
+    others written and not committed, then the whole is started again; equals the unbroken run."""
+    from ..sources.stages import new_folder
+    from . import resume
+    base = new_folder(spark, "resume")
+    tr = _train(spark, root)
+    lexicon, model = _lexicon(spark, root), _model(spark, root)
+    augment = lambda rows: augment_rounds(rows, lexicon, model, P)
+    resume.augment_resumable(tr.where("label = 1"), augment, base)
+    resume.write_attempt(tr, augment, base)
+    return resume.augment_resumable(tr, augment, base)
+
+
 def h5_stream_augment(spark, root):
-    """Streams the train samples (written as files) through E5 and reads the
-    sink back; equals the batch result on the same rows."""
+    """Streams the train samples (written as files, and once more after the first
+    run) through E5 and reads the sink back; equals the batch result on the same rows."""
     from ..session import checkpoint_dir
     from ..streaming.augment_stream import stream_augment
     import uuid
     base = f"{checkpoint_dir(spark).rstrip('/')}/flipside-stream-{uuid.uuid4().hex}"
     tr = _train(spark, root).select("id", "text", "label")
-    tr.write.parquet(f"{base}/in")
-    q = stream_augment(spark, f"{base}/in", f"{base}/out", f"{base}/chk", _lexicon(spark, root), _model(spark, root), P)
-    q.awaitTermination()
+    for _ in range(2):   # the second time, every id comes late and again
+        tr.write.mode("append").parquet(f"{base}/in")
+        q = stream_augment(spark, f"{base}/in", f"{base}/out", f"{base}/chk", _lexicon(spark, root), _model(spark, root), P)
+        q.awaitTermination()
     out_schema = ("id bigint, text string, label int, source string, candidate_id string, final_score double, "
                   "round int, ordinal int, batch_id long")
     if not H.path_exists(spark, f"{base}/out"):
@@ -569,6 +584,7 @@ QUERIES.update({
     "h2_sample_stats": h2_sample_stats,
     "h3_run_counters": h3_run_counters,
     "h4_resume": h4_resume,
+    "h4_resumed_augment": h4_resumed_augment,
     "h5_stream_augment": h5_stream_augment,
     "i1_train_epochs": i1_train_epochs,
     "i2_predict": i2_predict,

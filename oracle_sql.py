@@ -581,6 +581,7 @@ def _sink_oracles(o: dict) -> None:
     p = P
     o["h4_resume"] = with_(_base(p), "SELECT count(*) AS pending_first, CAST(0 AS BIGINT) AS pending_second FROM train")
     o["s2_stage_roundtrip"] = o["e5_verifications"]
+    o["h4_resumed_augment"] = o["e5_augment_rounds"]
     o["h5_stream_augment"] = o["e5_augment_rounds"]
 
 
