@@ -204,10 +204,13 @@ def verify_cte(p: Params, cands: str, name: str = "ver") -> str:
     crit = (f"concat_ws('; ', CASE WHEN ls < {lim['label']} THEN {q(ISSUE_LABEL)} END, "
             f"CASE WHEN ss < {lim['semantic']} THEN {q(ISSUE_SEMANTIC)} END, "
             f"CASE WHEN ms < {lim['minimality']} THEN {q(ISSUE_EDIT)} END)")
+    # rounds and ordinals often give the same rewrite: its distance is worked out once
     return nb_score_cte(cands, keys, "cand_text", f"{name}_nb") + f""",
+{name}_ms AS MATERIALIZED (SELECT id, cand_text, {ms} AS ms FROM (SELECT DISTINCT id, text, cand_text FROM {cands}) c),
 {name}_s AS (
-  SELECT c.*, {ls} AS ls, {ss} AS ss, {ms} AS ms, {cs} AS cs
+  SELECT c.*, {ls} AS ls, {ss} AS ss, d.ms, {cs} AS cs
   FROM {cands} c JOIN {name}_nb nb ON nb.id = c.id AND nb.round = c.round AND nb.ordinal = c.ordinal
+  JOIN {name}_ms d ON d.id = c.id AND d.cand_text = c.cand_text
 ),
 {name}_f AS (
   SELECT *, {p.w_label} * ls + {p.w_semantic} * ss + {p.w_minimality} * ms + {p.w_consistency} * cs AS fs
