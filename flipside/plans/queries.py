@@ -32,13 +32,18 @@ def _model(spark, root, p: Params = P):
     return SC.fit_text_classifier(_train(spark, root, p))
 
 
-def _round1(spark, root, p: Params = P, preserve=C.PRESERVE) -> DataFrame:
-    """E1 candidates (one round, num_candidates each) for the train samples."""
-    base = _train(spark, root, p).select("id", "text", "label").withColumn(
+def _round1(spark, root, p: Params = P, preserve=C.PRESERVE, samples: DataFrame | None = None) -> DataFrame:
+    """E1 candidates (one round, num_candidates each) for the train samples, or others."""
+    base = (_train(spark, root, p) if samples is None else samples).select("id", "text", "label").withColumn(
         "elements_to_preserve", F.array(*[F.lit(x) for x in preserve]))
     return lexicon_candidates(base, _lexicon(spark, root, p), p.num_candidates, p.seed, 1, p.pairs_per_candidate)
 
 
+def _round1_all(spark, root) -> DataFrame:
+    """The same for all prepared samples, whatever their split and language."""
+    return _round1(spark, root, samples=S.prepared_samples(spark, root, P))
+
+
 def _verified1(spark, root, p: Params = P) -> DataFrame:
     return SC.verify(_round1(spark, root, p), _model(spark, root, p), p)
 
@@ -92,20 +97,20 @@ def p9_domain_split(spark, root):
 # ---- planning ---------------------------------------------------------------------------------------
 
 def c1_rule_plan(spark, root):
-    return C.rule_plan(_train(spark, root)).select(
+    return C.rule_plan(S.prepared_samples(spark, root, P)).select(
         "id", "target_label", F.concat_ws("|", "elements_to_change").alias("elements_to_change"),
         F.concat_ws("|", "elements_to_preserve").alias("elements_to_preserve"),
         F.concat_ws("|", "causal_features").alias("causal_features"))
 
 
 def c2_default_plan(spark, root):
-    return C.default_plan(_train(spark, root)).select(
+    return C.default_plan(S.prepared_samples(spark, root, P)).select(
         "id", "target_label", F.concat_ws("|", "elements_to_preserve").alias("elements_to_preserve"),
         F.size("elements_to_change").alias("n_change"))
 
 
 def c3_render_prompts(spark, root):
-    return C.render_prompts(_train(spark, root), None, "planner").select("request_id", "id", "stage", "round", "prompt")
+    return C.render_prompts(S.prepared_samples(spark, root, P), None, "planner").select("request_id", "id", "stage", "round", "prompt")
 
 
 def c4_cue_lexicon(spark, root):
@@ -181,7 +186,7 @@ def f1_label_score(spark, root):
 
 
 def f3_semantic_score(spark, root):
-    return _round1(spark, root).select(
+    return _round1_all(spark, root).select(
         "id", "ordinal", F.round(SC.semantic_score(F.col("text"), F.col("cand_text")), 4).alias("semantic_score"))
 
 
@@ -197,12 +202,12 @@ def f4_embedding_cosine(spark, root):
 
 def f5_edit_similarity(spark, root):
     from ..functions.editdist import levenshtein_similarity
-    return _round1(spark, root).select(
+    return _round1_all(spark, root).select(
         "id", "ordinal", F.round(levenshtein_similarity(F.col("text"), F.col("cand_text")), 4).alias("minimality_score"))
 
 
 def f6_consistency(spark, root):
-    return _round1(spark, root).select(
+    return _round1_all(spark, root).select(
         "id", "ordinal",
         F.round(SC.consistency_score(F.col("text"), F.col("cand_text"), F.col("elements_to_preserve")), 4)
         .alias("consistency_score"))
@@ -220,7 +225,7 @@ def f2_cue_score(spark, root):
     lex = _lexicon(spark, root)
     t0 = lex.filter("target_label = 0").agg(F.collect_set("dst")).scalar()   # label-0 cue words
     t1 = lex.filter("target_label = 1").agg(F.collect_set("dst")).scalar()   # label-1 cue words
-    c = _round1(spark, root).withColumn("_w0", t0).withColumn("_w1", t1)
+    c = _round1_all(spark, root).withColumn("_w0", t0).withColumn("_w1", t1)
     tgt = F.when(F.col("target_label") == 1, F.col("_w1")).otherwise(F.col("_w0"))
     srcw = F.when(F.col("target_label") == 1, F.col("_w0")).otherwise(F.col("_w1"))
     return c.select("id", "ordinal", F.round(SC.cue_score(F.col("cand_text"), tgt, srcw), 4).alias("cue_score"))

@@ -306,6 +306,12 @@ def _ver1(p: Params = P, preserve=PRESERVE) -> str:
     return _round1(p, preserve) + nb_cte() + verify_cte(p, "cands")
 
 
+def _ver_all(p: Params = P) -> str:
+    """One round of rewrites of all prepared samples; lexicon and model come from the train split."""
+    return (_base(p) + lexicon_cte(p) + candidates_cte(p, "prepared", p.num_candidates, 1, "cands", PRESERVE)
+            + nb_cte() + verify_cte(p, "cands"))
+
+
 def _first_pass(p: Params = P) -> str:
     return _ver1(p, SINGLE_PRESERVE) + """,
 fp AS (SELECT *, min(CASE WHEN status = 'pass' THEN ordinal END) OVER (PARTITION BY id) AS _hit FROM ver)"""
@@ -356,16 +362,16 @@ lb AS (SELECT *, {words} AS n_words FROM prepared)""",
     o["c1_rule_plan"] = with_(_base(p), f"SELECT id, CAST(1 - label AS INTEGER) AS target_label, "
                                         f"array_to_string({change}, '|') AS elements_to_change, "
                                         f"{q('|'.join(PRESERVE))} AS elements_to_preserve, "
-                                        f"{q('|'.join(CAUSAL))} AS causal_features FROM train")
+                                        f"{q('|'.join(CAUSAL))} AS causal_features FROM prepared")
     o["c2_default_plan"] = with_(_base(p), f"SELECT id, CAST(1 - label AS INTEGER) AS target_label, "
-                                           f"{q('|'.join(DEFAULT_PRESERVE))} AS elements_to_preserve, 0 AS n_change FROM train")
+                                           f"{q('|'.join(DEFAULT_PRESERVE))} AS elements_to_preserve, 0 AS n_change FROM prepared")
     prompt = q(PLANNER_TEMPLATE)
     for key, val in [("{id}", "CAST(id AS VARCHAR)"), ("{label}", "CAST(label AS VARCHAR)"),
                      ("{target_label}", "CAST(1 - label AS VARCHAR)"), ("{num_candidates}", q(str(p.num_candidates))),
                      ("{plan_json}", "'{}'"), ("{feedback}", "''"), ("{text}", "text")]:
         prompt = f"replace({prompt}, {q(key)}, {val})"
     o["c3_render_prompts"] = with_(_base(p), f"SELECT 'planner:' || CAST(id AS VARCHAR) || ':1' AS request_id, id, "
-                                             f"'planner' AS stage, 1 AS round, {prompt} AS prompt FROM train")
+                                             f"'planner' AS stage, 1 AS round, {prompt} AS prompt FROM prepared")
     o["c4_cue_lexicon"] = with_(_base(p) + lexicon_cte(p), "SELECT target_label, CAST(ordinal AS INTEGER) AS ordinal, src, dst FROM lexicon")
     o["c7_call_usage"] = ("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS stage, 'rule' AS model, "
                           "count(*) AS calls FROM events GROUP BY ALL")
@@ -384,9 +390,9 @@ fb AS (SELECT id, round, arg_min(critique, CASE WHEN status = 'reject' THEN ordi
                              f"SELECT id, round + 1 AS round, coalesce(_c, {q(DEFAULT_FEEDBACK)}) AS feedback FROM fb "
                              f"WHERE (_stop IS NULL OR round < _stop) AND round + 1 <= {p.rounds}")
     o["f1_label_score"] = with_(_ver1(p), "SELECT id, ordinal, label_score FROM ver")
-    o["f3_semantic_score"] = with_(_ver1(p), "SELECT id, ordinal, semantic_score FROM ver")
-    o["f5_edit_similarity"] = with_(_ver1(p), "SELECT id, ordinal, minimality_score FROM ver")
-    o["f6_consistency"] = with_(_ver1(p), "SELECT id, ordinal, consistency_score FROM ver")
+    o["f3_semantic_score"] = with_(_ver_all(p), "SELECT id, ordinal, semantic_score FROM ver")
+    o["f5_edit_similarity"] = with_(_ver_all(p), "SELECT id, ordinal, minimality_score FROM ver")
+    o["f6_consistency"] = with_(_ver_all(p), "SELECT id, ordinal, consistency_score FROM ver")
     o["f8_verify"] = with_(_ver1(p), f"SELECT {VER_COLS} FROM ver")
     o["f4_embedding_cosine"] = """
 WITH cent AS (
@@ -450,7 +456,7 @@ def _extra_oracles(o: dict) -> None:
         + verify_cte(p, "cands"),
         "SELECT id, cand_text AS text, target_label AS label, 'single' AS source FROM ver WHERE status = 'pass'")
     o["f2_cue_score"] = with_(
-        _ver1(p) + """,
+        _ver_all(p) + """,
 cw AS (SELECT list(dst) FILTER (WHERE target_label = 0) AS w0, list(dst) FILTER (WHERE target_label = 1) AS w1 FROM lexicon),
 cc AS (SELECT v.id, v.ordinal, v.target_label, """ + tok("v.cand_text") + """ AS toks, cw.w0, cw.w1 FROM ver v, cw),
 cn AS (SELECT id, ordinal,
