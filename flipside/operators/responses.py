@@ -207,6 +207,8 @@ def salvage_candidates(responses: DataFrame) -> DataFrame:
 # The field names under which replies carry a text, in order of preference.
 ITEM_KEYS = ("text", "candidate", "output")
 TEXT_KEYS = ("text", "counterfactual", "candidate", "prediction", "output")
+PLAN_ITEM_KEYS = ("text", "token", "name")
+PLAN_LISTS = ("causal_features", "spurious_features", "elements_to_change", "elements_to_preserve", "editing_constraints")
 # JSON values that count as absent.
 _ABSENT = ("null", '""', "0", "0.0", "false", "[]", "{}")
 
@@ -228,9 +230,9 @@ def _items(obj: Column) -> Column:
     return F.try_variant_get(obj, "$.candidates", "array<variant>")
 
 
-def _item_text(item: Column) -> Column:
-    """The text of a candidate: a string, or an object's first present field if that is a string."""
-    first = F.coalesce(*[_field(item, k) for k in ITEM_KEYS])
+def _item_text(item: Column, keys: tuple[str, ...] = ITEM_KEYS) -> Column:
+    """The text of a list's item: a string, or an object's first present field if that is a string."""
+    first = F.coalesce(*[_field(item, k) for k in keys])
     return F.when(F.schema_of_variant(item).startswith("OBJECT"), _string(first)).otherwise(_string(item))
 
 
@@ -270,6 +272,23 @@ def first_text(parsed: DataFrame) -> DataFrame:
     return parsed.select("request_id", "id", F.coalesce(direct, of_first, F.lit("")).alias("first_text"))
 
 
+def plans_from_replies(parsed: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Planner replies as plans: ``fallback`` (C1 or C2, a row an id) with each list that the id's reply has.
+
+    A list's items may be strings, or objects with text, token or name; other and blank items are left out. Where a
+    field is missing or no list, and where there is no readable reply, the fallback's list stays; plan_source says
+    whether any list is the reply's (reply or rule). The target label is the fallback's, whatever the reply says. Of
+    several replies of an id, the one with the smallest request_id counts."""
+    obj = F.try_parse_json("json")
+    said = [F.filter(F.transform(F.try_variant_get(obj, f"$.{name}", "array<variant>"), lambda item: _item_text(item, PLAN_ITEM_KEYS)),
+                     lambda x: x.isNotNull()).alias(name) for name in PLAN_LISTS]
+    replies = parsed.where(F.col("json").isNotNull()).select("id", "request_id", F.struct(*said).alias("_said"))
+    replies = replies.groupBy("id").agg(F.min_by("_said", "request_id").alias("_said"))
+    own = reduce(lambda x, y: x | y, [F.col(f"_said.{name}").isNotNull() for name in PLAN_LISTS])
+    lists = {name: F.coalesce(F.col(f"_said.{name}"), F.col(name)) for name in PLAN_LISTS}
+    return fallback.join(replies, "id", "left").withColumns({"plan_source": F.when(own, "reply").otherwise("rule"), **lists}).drop("_said")
+
+
 def parse_report(parsed: DataFrame) -> DataFrame:
     """Counts per parse status."""
     return parsed.groupBy("parse_status").agg(F.count(F.lit(1)).alias("n"))

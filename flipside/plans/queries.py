@@ -534,6 +534,35 @@ def responses_from_conversations(spark, root):
         F.when(F.col("_k") == 8, "RuntimeError: down").alias("error"), F.lit(1).alias("attempts"))
 
 
+def plan_replies(samples: DataFrame) -> DataFrame:
+    """A planner reply per sample around its first and longest words, in one of five shapes by md5 bucket: lists of
+    strings, lists of mixed items, wrong kinds, empty lists and no JSON."""
+    first = F.try_element_at(F.split("text", " "), F.lit(1))
+    q = lambda c: F.to_json(F.array(c))
+    obj = lambda key, c: F.to_json(F.struct(c.alias(key)))
+    shapes = [
+        F.concat(F.lit('{"elements_to_preserve": '), q(first), F.lit(', "elements_to_change": '), F.to_json("elements_to_change"), F.lit("}")),
+        F.concat(F.lit('{"elements_to_preserve": [5, null, ["x"], " ", '), obj("text", first), F.lit(", "), obj("token", F.concat(first, F.lit(" two"))),
+                 F.lit(', {"text": "", "name": "named"}, {"text": 7, "name": "no"}, "plain "], "elements_to_change": {"text": "x"}}')),
+        F.lit('{"elements_to_preserve": "all", "elements_to_change": 3, "causal_features": null, "target_label": 9}'),
+        F.lit('{"elements_to_preserve": [], "causal_features": [" a ", ""], "score": NaN}'),
+        F.lit("no plan")]
+    content = F.element_at(F.array(*shapes), hash_bucket(11, "id", buckets=len(shapes)) + 1)
+    rows = samples.join(C.rule_plan(samples).select("id", "elements_to_change"), "id")
+    return rows.select(F.concat_ws(":", F.lit("planner"), "id").alias("request_id"), "id", F.lit("planner").alias("stage"),
+                       F.lit(1).alias("round"), content.alias("content"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("attempts"))
+
+
+def c6_reply_plans(spark, root):
+    """Planner replies of all prepared samples as plans, and the share of preserve items (F6) that each sample's own text holds."""
+    samples = S.prepared_samples(spark, root, P)
+    plans = D.plans_from_replies(D.extract_json(plan_replies(samples)), C.rule_plan(samples))
+    kept = SC.consistency_score(F.col("text"), F.col("text"), F.col("elements_to_preserve"))
+    return plans.join(samples.select("id", "text"), "id").select(
+        "id", "target_label", "plan_source", *[F.concat_ws("|", c).alias(c) for c in ("causal_features", "elements_to_change", "elements_to_preserve")],
+        F.round(kept, 4).alias("consistency_score"))
+
+
 def d1_extract_json(spark, root):
     return D.extract_json(responses_from_conversations(spark, root)).select("request_id", "parse_status", "json")
 
@@ -612,6 +641,7 @@ QUERIES.update({
     "j10_ratio_pivot": j10_ratio_pivot,
     "j11_best_per_group": j11_best_per_group,
     "j12_delta_vs": j12_delta_vs,
+    "c6_reply_plans": c6_reply_plans,
     "d1_extract_json": d1_extract_json,
     "d2_salvage_candidates": d2_salvage_candidates,
     "d3_normalize_candidates": d3_normalize_candidates,

@@ -140,8 +140,11 @@ def variant_selection(ver: DataFrame, variants: dict[str, Params]) -> DataFrame:
 
 def augment_rounds_with_model(samples: DataFrame, factory, model: TextModel, p: Params,
                               source: str = "multi_stage", max_retries: int = 3, backoff: float = 1.0,
-                              partitions: int | None = None) -> RoundsResult:
-    """E5 with a completion function (the reference's main path).
+                              partitions: int | None = None, plan_with_model: bool = False) -> RoundsResult:
+    """E5 with a completion function.
+
+    ``plan_with_model``: the model is asked for a plan of each sample first; what it says replaces the rule plan's
+    lists, those to preserve included, which the scores look at.
 
     Round r prompts every still-pending sample (with the previous round's
     feedback) and writes the replies once, as a stage table: each prompt is one
@@ -156,6 +159,13 @@ def augment_rounds_with_model(samples: DataFrame, factory, model: TextModel, p:
 
     base = _with_plan(samples.select("id", "text", "label"), p)
     plans = rule_plan(samples) if p.use_planner else None
+    if plans is not None and plan_with_model:
+        call = dict(max_retries=max_retries, backoff=backoff, partitions=partitions)
+        parsed = written(D.extract_json(D.batch_complete(render_prompts(base, None, "planner"), factory, **call)), "plan-replies")
+        repaired = written(D.extract_json(D.batch_complete(D.repair_requests(parsed), factory, **call)), "plan-repaired")
+        plans = written(D.plans_from_replies(D.merge_repaired(parsed, repaired), plans), "plans")
+        base = base.drop("elements_to_preserve").join(plans.select("id", "elements_to_preserve"), "id")
+        plans = plans.drop("plan_source")
     pending = base
     feedback = None
     vers, sels, fbs = [], [], []

@@ -365,6 +365,18 @@ lb AS (SELECT *, {words} AS n_words FROM prepared)""",
                                         f"{q('|'.join(CAUSAL))} AS causal_features FROM prepared")
     o["c2_default_plan"] = with_(_base(p), f"SELECT id, CAST(1 - label AS INTEGER) AS target_label, "
                                            f"{q('|'.join(DEFAULT_PRESERVE))} AS elements_to_preserve, 0 AS n_change FROM prepared")
+    first = "string_split(text, ' ')[1]"
+    o["c6_reply_plans"] = with_(_base(p) + f""",
+pk AS (SELECT *, ('0x' || substr({md5_key(11, 'id')}, 1, 8))::BIGINT % 5 AS k, {first} AS w, {change} AS chg FROM prepared),
+pl AS (
+  SELECT id, CAST(1 - label AS INTEGER) AS target_label, text, CASE WHEN k IN (0, 1, 3) THEN 'reply' ELSE 'rule' END AS plan_source,
+    CASE WHEN k = 3 THEN ['a'] ELSE {str_list(CAUSAL)} END AS causal, CASE WHEN k = 0 THEN list_filter(chg, lambda x: x <> '') ELSE chg END AS chg,
+    CASE k WHEN 0 THEN [w] WHEN 1 THEN [w, w || ' two', 'named', 'plain'] WHEN 3 THEN [] ELSE {str_list(PRESERVE)} END AS keep
+  FROM pk)""", f"""
+SELECT id, target_label, plan_source, array_to_string(causal, '|') AS causal_features, array_to_string(chg, '|') AS elements_to_change,
+  array_to_string(keep, '|') AS elements_to_preserve,
+  round(CASE WHEN len(keep) = 0 THEN 0.8 ELSE len(list_filter(keep, lambda x: contains(lower(text), string_split(lower(x), ' ')[1]))) / len(keep) END, 4) AS consistency_score
+FROM pl""")
     prompt = q(PLANNER_TEMPLATE)
     for key, val in [("{id}", "CAST(id AS VARCHAR)"), ("{label}", "CAST(label AS VARCHAR)"),
                      ("{target_label}", "CAST(1 - label AS VARCHAR)"), ("{num_candidates}", q(str(p.num_candidates))),

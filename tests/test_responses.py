@@ -220,3 +220,42 @@ def test_repair_comes_before_salvage(spark, tmp_path):
     assert got == {"good": "from the repair", "cut": "half a repair", "none": "from the reply name=none!", "late": "second try"}
     calls = {n: [len(open(f"{folder}/{n}-{r}").read()) if os.path.exists(f"{folder}/{n}-{r}") else 0 for r in (False, True)] for n in names}
     assert calls == {"good": [1, 1], "cut": [1, 1], "none": [1, 3], "late": [2, 1], "never": [3, 3]}
+
+
+def test_planner_replies_become_plans(spark):
+    from pyspark.sql import functions as F
+    from flipside.operators.planning import rule_plan
+    from flipside.operators.score import consistency_score
+    samples = spark.createDataFrame([(i, "The remarkable Paris story", i % 2) for i in range(6)], "id long, text string, label int")
+    replies = ['{"elements_to_preserve": [{"text": "Paris trip"}, {"token": "Rome"}, {"name": "story"}, {"text": 3, "name": "x"}, 4, " "]}',
+               '{"elements_to_preserve": {"text": "Paris"}, "elements_to_change": []}', None, "nothing", '{"target_label": 9, "causal_features": ["a", {"text": "b"}]}']
+    parsed = D.extract_json(spark.createDataFrame([(f"r{i}", i, "planner", 1, c, None, 1) for i, c in enumerate(replies)], D.RESPONSE_SCHEMA))
+    rule = {r.id: r for r in rule_plan(samples).collect()}
+    plans = D.plans_from_replies(parsed, rule_plan(samples))
+    got = {r.id: r for r in plans.collect()}
+    assert [got[i].plan_source for i in range(6)] == ["reply", "reply", "rule", "rule", "reply", "rule"]
+    assert got[0].elements_to_preserve == ["Paris trip", "Rome", "story"] and got[0].elements_to_change == rule[0].elements_to_change
+    assert got[1].elements_to_change == [] and got[1].elements_to_preserve == rule[1].elements_to_preserve
+    assert got[4].causal_features == ["a", "b"] and got[4].target_label == rule[4].target_label
+    assert all(tuple(got[i][:-1]) == tuple(rule[i]) for i in (2, 3, 5))
+    scores = plans.join(samples.select("id", "text"), "id").select("id", consistency_score(F.col("text"), F.col("text"), F.col("elements_to_preserve")))
+    assert abs(dict(map(tuple, scores.collect()))[0] - 2 / 3) < 1e-9
+
+
+def test_model_plans_reach_prompts_and_scores(spark):
+    from flipside.params import MULTI_STAGE
+    from flipside.plans.queries import _model, _train
+    from flipside.plans.rounds import augment_rounds_with_model
+
+    def factory():
+        def fn(stage, prompt):
+            if stage == "planner":
+                return '{"elements_to_preserve": ["zzz-not-there"]}'
+            return json.dumps({"candidates": ["plan seen" if "zzz-not-there" in prompt else "no plan"]})
+        return fn
+
+    root = "/root/testdata/sf0.001"
+    res = augment_rounds_with_model(_train(spark, root), factory, _model(spark, root), MULTI_STAGE.with_(max_retry_rounds=0),
+                                    max_retries=0, backoff=0, plan_with_model=True)
+    rows = res.verifications.select("cand_text", "consistency_score").distinct().collect()
+    assert [tuple(r) for r in rows] == [("plan seen", 0.0)]
