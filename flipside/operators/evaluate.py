@@ -54,16 +54,3 @@ def ood_report(metrics: DataFrame, by: list[str] | tuple[str, ...] = ("method",)
         F.max(F.when(F.col("domain") == "ood", F.col("acc"))).alias("ood_acc"),
         F.max(F.when(F.col("domain") == "ood", F.col("f1"))).alias("ood_f1"),
     ).withColumn("gap", F.round(F.col("id_acc") - F.col("ood_acc"), 4))
-
-
-def method_report(metrics: DataFrame, stats: DataFrame, sizes: DataFrame,
-                  by: list[str] | tuple[str, ...] = ("method",)) -> DataFrame:
-    """I4: one row per method: test / validation acc and F1, train size and
-    generated / selected counts. `metrics` is grouped by (*by, split)."""
-    wide = metrics.groupBy(*by).agg(
-        F.max(F.when(F.col("split") == "test", F.col("acc"))).alias("test_acc"),
-        F.max(F.when(F.col("split") == "test", F.col("f1"))).alias("test_f1"),
-        F.max(F.when(F.col("split") == "validation", F.col("acc"))).alias("val_acc"),
-        F.max(F.when(F.col("split") == "validation", F.col("f1"))).alias("val_f1"),
-    )
-    return wide.join(sizes, list(by), "left").join(stats, list(by), "left")

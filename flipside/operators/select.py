@@ -62,10 +62,6 @@ def select_pass_only(ver: DataFrame, source: str = "multi_stage") -> DataFrame:
     return _shape(ver.filter(F.col("status") == "pass"), source)
 
 
-def choose(ver: DataFrame, p: Params, source: str = "multi_stage") -> DataFrame:
-    return select(ver, p, source) if p.use_selector else select_pass_only(ver, source)
-
-
 def post_filter(aug: DataFrame, ver: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """Keep verifications over three thresholds, then augmented rows whose
     id survives (semi join on id)."""

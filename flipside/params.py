@@ -6,7 +6,7 @@ reference's configuration for the same behaviour.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace, asdict
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -54,9 +54,6 @@ class Params:
     def rounds(self) -> int:
         return (self.max_retry_rounds if self.use_feedback else 0) + 1
 
-    def as_dict(self) -> dict:
-        return asdict(self)
-
 
 # Preset overrides, equal to the reference's configuration files.
 DEFAULT = Params()
