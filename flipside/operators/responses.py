@@ -27,27 +27,31 @@ from pyspark.sql.types import StructType
 
 RESPONSE_SCHEMA = ("request_id string, id bigint, stage string, round int, content string, "
                    "error string, attempts int")
+LOGGED_SCHEMA = RESPONSE_SCHEMA + ", call_times array<double>"
 PREVIEW_CHARS = 400
 
 
 def batch_complete(prompts: DataFrame, factory: Callable[[], Callable[[str, str], str]],
-                   max_retries: int = 3, backoff: float = 1.0, partitions: int | None = None) -> DataFrame:
+                   max_retries: int = 3, backoff: float = 1.0, partitions: int | None = None, log: bool = False) -> DataFrame:
     """One completion per prompt row (request_id, id, stage, round, prompt).
 
     ``factory()`` runs once per partition and returns ``fn(stage, prompt) -> str``.
     An empty reply counts as a failure and is retried; after max_retries the
     row carries the last error. ``partitions`` bounds concurrency (and so the
-    request rate) across the cluster."""
+    request rate) across the cluster. ``log`` adds call_times, the time of every
+    attempt (see ``call_log``)."""
     src = prompts.repartition(partitions, "id") if partitions else prompts
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = factory()
         for pdf in batches:
-            contents, errors, attempts = [], [], []
+            contents, errors, attempts, times = [], [], [], []
             for stage, prompt in zip(pdf["stage"], pdf["prompt"]):
                 content, err, n = None, None, 0
+                times.append([])
                 for attempt in range(max_retries + 1):
                     n = attempt + 1
+                    times[-1].append(time.time())
                     try:
                         out = fn(stage, prompt)
                         if out is None or not str(out).strip():
@@ -64,10 +68,19 @@ def batch_complete(prompts: DataFrame, factory: Callable[[], Callable[[str, str]
             yield pd.DataFrame({
                 "request_id": pdf["request_id"], "id": pdf["id"], "stage": pdf["stage"],
                 "round": pdf["round"].astype("int32"), "content": contents, "error": errors,
-                "attempts": pd.Series(attempts, dtype="int32"),
+                "attempts": pd.Series(attempts, dtype="int32"), **({"call_times": times} if log else {}),
             })
 
-    return src.select("request_id", "id", "stage", "round", "prompt").mapInPandas(run, RESPONSE_SCHEMA)
+    return src.select("request_id", "id", "stage", "round", "prompt").mapInPandas(run, LOGGED_SCHEMA if log else RESPONSE_SCHEMA)
+
+
+def call_log(replies: DataFrame, model: str) -> DataFrame:
+    """One row per call of logged, written replies, for C7: ts, stage, model, request_id, attempt, outcome (ok or
+    failed). The times come from the table that holds the replies, so what a lost task had called before it was run
+    again leaves no rows."""
+    calls = replies.select("request_id", "stage", "content", "attempts", F.posexplode("call_times").alias("_pos", "_at"))
+    return calls.select(F.timestamp_seconds("_at").alias("ts"), "stage", F.lit(model).alias("model"), "request_id", (F.col("_pos") + 1).alias("attempt"),
+                        F.when((F.col("_pos") + 1 == F.col("attempts")) & F.col("content").isNotNull(), "ok").otherwise("failed").alias("outcome"))
 
 
 # ---- D1 -----------------------------------------------------------------------------------------------
@@ -331,21 +344,23 @@ def merge_repaired(parsed: DataFrame, repaired_parsed: DataFrame) -> DataFrame:
 
 
 def complete_candidates(prompts: DataFrame, factory: Callable[[], Callable[[str, str], str]], max_retries: int = 3,
-                        backoff: float = 1.0, partitions: int | None = None) -> DataFrame:
+                        backoff: float = 1.0, partitions: int | None = None, log_dir: str | None = None, model: str = "model") -> DataFrame:
     """C5, D1, C6, D2 and D3 of generator prompts: one row per usable candidate, like D3's.
 
     A reply that can't be read is asked for again in JSON; where that answer can't be read either, candidates are
     salvaged from it, or from the reply if there was no answer; where there are none, the prompt itself is asked
     again, up to ``max_retries`` times. Calls that fail have had as many tries inside their task. Replies are written
     as they come, so every call is made once however often its reply is read, and only prompts without a result
-    go on to the next pass; the loop is over passes, not over rows."""
+    go on to the next pass; the loop is over passes, not over rows. ``log_dir``: where the call log is appended."""
     from ..sources.stages import written
 
-    call = dict(max_retries=max_retries, backoff=backoff, partitions=partitions)
+    call = dict(max_retries=max_retries, backoff=backoff, partitions=partitions, log=log_dir is not None)
     pending, found = prompts, []
     for attempt in range(max_retries + 1):
         parsed = written(extract_json(batch_complete(pending, factory, **call)), "replies")
         repaired = written(extract_json(batch_complete(repair_requests(parsed), factory, **call)), "repaired")
+        if log_dir:
+            call_log(parsed, model).unionByName(call_log(repaired, model)).write.mode("append").parquet(log_dir)
         merged = merge_repaired(parsed, repaired)
         answer = repaired.select(F.regexp_replace("request_id", ":repair$", "").alias("request_id"), F.col("content").alias("_answer"))
         unread = merged.where(F.col("json").isNull() & F.col("content").isNotNull()).join(answer, "request_id", "left")

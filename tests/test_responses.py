@@ -216,10 +216,18 @@ def test_repair_comes_before_salvage(spark, tmp_path):
     names = ["good", "cut", "none", "late", "never"]
     prompts = spark.createDataFrame([(n, i, "generator", 1, f"name={n}!") for i, n in enumerate(names)],
                                     "request_id string, id long, stage string, round int, prompt string")
-    got = {r.request_id: r.text for r in D.complete_candidates(prompts, factory, max_retries=2, backoff=0).collect()}
+    log = f"{folder}/log"
+    got = {r.request_id: r.text for r in D.complete_candidates(prompts, factory, max_retries=2, backoff=0, log_dir=log, model="m").collect()}
     assert got == {"good": "from the repair", "cut": "half a repair", "none": "from the reply name=none!", "late": "second try"}
     calls = {n: [len(open(f"{folder}/{n}-{r}").read()) if os.path.exists(f"{folder}/{n}-{r}") else 0 for r in (False, True)] for n in names}
     assert calls == {"good": [1, 1], "cut": [1, 1], "none": [1, 3], "late": [2, 1], "never": [3, 3]}
+    # the call log has a row per call, and the hourly counts add up to them
+    from flipside.operators.planning import call_usage
+    from pyspark.sql import functions as F
+    logged = spark.read.parquet(log)
+    assert {n: [logged.where(F.col("request_id") == n).count(), logged.where(F.col("request_id") == f"{n}:repair").count()] for n in names} == calls
+    assert logged.where("request_id = 'none:repair' AND outcome = 'failed'").count() == 3 and logged.where("request_id = 'none' AND outcome = 'ok'").count() == 1
+    assert call_usage(logged).agg(F.sum("calls")).first()[0] == sum(map(sum, calls.values()))
 
 
 def test_planner_replies_become_plans(spark):
