@@ -54,16 +54,29 @@ def slots(text: Column, buckets: int) -> Column:
     return F.coalesce(F.transform(tokens(text), lambda t: hash_bucket("slot", t, buckets=buckets)), F.array().cast("array<int>"))
 
 
+def _parts(batch: pa.RecordBatch, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most ``most`` tokens together, or one row: what is worked on at once is bounded
+    by this and not by the rows of a batch."""
+    ends = np.cumsum(np.diff(batch.column("slots").offsets.to_numpy()))
+    start = 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, slot and value of every entry of a batch's sparse vectors."""
     lists = batch.column("slots")
     sizes = np.diff(lists.offsets.to_numpy())
     row = np.repeat(np.arange(batch.num_rows), sizes)
     slot = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    pair, count = np.unique(np.stack([row, slot]), axis=1, return_counts=True) if len(slot) else (np.zeros((2, 0), np.int64), np.zeros(0))
-    value = 1 + np.log(count) if len(count) else np.zeros(0)
-    norm = np.sqrt(np.bincount(pair[0], value * value, minlength=batch.num_rows))
-    return pair[0], pair[1], value / norm[pair[0]]
+    pair, count = np.unique(row << 32 | slot, return_counts=True)
+    row, slot = pair >> 32, pair & 0xFFFFFFFF
+    value = 1 + np.log(count)
+    norm = np.sqrt(np.bincount(row, value * value, minlength=batch.num_rows))
+    return row, slot, value / norm[row]
 
 
 def _scores(weights: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, tuple]:
@@ -77,7 +90,7 @@ def _epoch(shared, buckets: int, share: tuple[float, float]):
         weights = shared.value
         gradient, met = np.zeros(buckets + 1), np.zeros(buckets + 1, bool)
         loss, seen = 0.0, np.zeros(4)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             z, (row, slot, value) = _scores(weights, batch)
             y = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
@@ -142,7 +155,8 @@ def predict_linear(model: LinearModel, df: DataFrame, text_col: str = "text") ->
 
     @F.arrow_udf("double")
     def logit(lists: pa.Array) -> pa.Array:
-        return pa.array(_scores(shared.value, pa.RecordBatch.from_arrays([lists], ["slots"]))[0])
+        parts = _parts(pa.RecordBatch.from_arrays([lists], ["slots"]))
+        return pa.array(np.concatenate([np.zeros(0), *(_scores(shared.value, part)[0] for part in parts)]))
 
     scored = df.withColumn("_z", logit(slots(F.col(text_col), model.params.buckets)))
     return scored.withColumn("prediction", (F.col("_z") > 0).cast("int")).withColumn("probability", 1 / (1 + F.exp(-F.col("_z")))).drop("_z")

@@ -94,3 +94,20 @@ def test_registered_epochs_learn(spark):
     loss = [r.train_loss for r in found]
     assert len(loss) == LinearParams().epochs and loss == sorted(loss, reverse=True)
     assert sum(r.kept for r in found) == 1
+
+
+def test_batches_are_worked_on_in_bounded_parts():
+    """However many rows a batch has, the vectors made at once are bounded; values are those of the whole batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    from flipside.operators import linear
+    rng = np.random.default_rng(1)
+    lists = [rng.integers(0, 50, n).tolist() for n in (0, 3, 40, 0, 7, 7, 90, 1, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array([[9]] + lists, pa.list_(pa.int32()))], ["slots"]).slice(1)
+    parts = list(linear._parts(batch, 16))
+    assert sum((p["slots"].to_pylist() for p in parts), []) == lists
+    assert all(p.num_rows == 1 or sum(map(len, p["slots"].to_pylist())) <= 16 for p in parts) and len(parts) == 5
+    weights = rng.normal(size=51)
+    whole = linear._scores(weights, batch)[0]
+    assert np.allclose(np.concatenate([linear._scores(weights, p)[0] for p in parts]), whole, atol=1e-12)
