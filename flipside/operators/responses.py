@@ -21,8 +21,8 @@ from functools import reduce
 from typing import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StructType
 
 RESPONSE_SCHEMA = ("request_id string, id bigint, stage string, round int, content string, "
@@ -166,9 +166,15 @@ def parse_reply(content: str | None) -> tuple[str | None, str]:
     return found, "error" if found is None else "scanned"
 
 
-@pandas_udf(StructType().add("json", "string").add("parse_status", "string"))
-def _parse(contents: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_reply(c) for c in contents], columns=["json", "parse_status"], dtype=object)
+_PARSED = pa.struct([("json", pa.string()), ("parse_status", pa.string())])
+
+
+@F.arrow_udf(StructType().add("json", "string").add("parse_status", "string"))
+def _parse(contents: pa.Array) -> pa.Array:
+    # a reply at a time leaves Arrow, and a few go back together: a batch's replies aren't held as Python objects
+    def parsed(some: pa.Array) -> pa.Array:
+        return pa.array([dict(zip(("json", "parse_status"), parse_reply(c.as_py()))) for c in some], _PARSED)
+    return pa.concat_arrays([parsed(contents.slice(at, 256)) for at in range(0, max(1, len(contents)), 256)])
 
 
 def extract_json(responses: DataFrame) -> DataFrame:
