@@ -27,8 +27,8 @@ from ..functions.text import tokens
 from ..operators import planning as C
 from ..operators import sampling as S
 from ..operators.evaluate import classification_metrics
-from ..operators.generate import candidate_keys, rewritten, synonyms_replaced
-from ..operators.score import consistency_score, edit_similarity, label_logits, semantic_score
+from ..operators.generate import distinct_rewrites, each_turn, rewritten, synonyms_replaced
+from ..operators.score import consistency_score, edit_similarity, label_logits, token_diff
 from ..params import DEFAULT, LADDER, METHODS, MULTI_STAGE, VARIANTS, Params, variant_params
 from ..sources.stages import written
 
@@ -144,19 +144,23 @@ def _seed_of_run(runs: list[tuple[float, int]]) -> Column:
 
 
 def scored_rewrites(rows: DataFrame, runs, lexicon: DataFrame, weights: DataFrame, sizes: DataFrame, p: Params, n: int, rounds: int) -> DataFrame:
-    """run, id, label, round, ordinal and the unrounded scores ls, ss, ms, and cs by preserve list, of every rewrite."""
+    """run, id, label, round, ordinal and the unrounded scores ls, ss, ms, and cs by preserve list, of every rewrite.
+    Equal rewrites of a sample in a run are scored once."""
     base = rows.withColumn("run", F.explode("runs")).drop("runs")
-    keys = _with_pairs(candidate_keys(base, n, rounds).withColumn("seed", _seed_of_run(runs)), lexicon, "target_label")
-    cands = rewritten(keys, F.col("pairs"), F.col("seed"), p.pairs_per_candidate).drop("pairs", "seed")
-    scored = label_logits(base.select("run", "id", "text"), cands, weights, ["run", "id"])
+    keyed = base.withColumn("target_label", (1 - F.col("label")).cast("int")).withColumn("seed", _seed_of_run(runs))
+    cands = distinct_rewrites(_with_pairs(keyed, lexicon, "target_label"), F.col("pairs"), F.col("seed"), n, rounds, p.pairs_per_candidate)
+    both = F.col("text"), F.col("cand_text")
+    cs = {f"cs_{name}": consistency_score(*both, F.array(*[F.lit(x) for x in items])) for name, items in PRESERVE_LISTS.items()}
+    # without texts before the join with the weights
+    slim = cands.withColumn("_d", token_diff(*both)).withColumn("ms", edit_similarity(*both, p.edit_method)).withColumns(cs).select(
+        "run", "id", "label", "target_label", "turns", F.col("_d.semantic").alias("ss"), "ms", *cs, F.col("_d.changed").alias("_changed"))
+    scored = label_logits(base.select("run", "id", "text"), slim, weights, ["run", "id"])
     prior = F.log(F.col("n1") + 1.0) - F.log(F.col("n0") + 1.0)
     logit = F.col("logit") + prior
-    both = F.col("text"), F.col("cand_text")
-    return scored.join(F.broadcast(sizes), "run").select(
-        "run", "id", "label", "round", "ordinal",
-        (1 / (1 + F.exp(F.when(F.col("target_label") == 1, -logit).otherwise(logit)))).alias("ls"),
-        semantic_score(*both).alias("ss"), edit_similarity(*both, p.edit_method).alias("ms"),
-        *[consistency_score(*both, F.array(*[F.lit(x) for x in items])).alias(f"cs_{name}") for name, items in PRESERVE_LISTS.items()])
+    return each_turn(scored.join(F.broadcast(sizes), "run").select(
+        "run", "id", "label", "turns",
+        (1 / (1 + F.exp(F.when(F.col("target_label") == 1, -logit).otherwise(logit)))).alias("ls"), "ss", "ms", *cs)).select(
+        "run", "id", "label", "round", "ordinal", "ls", "ss", "ms", *cs)
 
 
 def chosen(scores: DataFrame, configs: list[Config]) -> DataFrame:

@@ -60,3 +60,53 @@ def test_take_smallest_equals_global_rank(spark):
 def test_bitparallel_levenshtein_is_exact(a, b):
     from flipside.functions.editdist import bitparallel_levenshtein
     assert bitparallel_levenshtein(a, b) == naive(a, b)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcé ", max_size=30), st.text(alphabet="abcé ", max_size=12), st.text(alphabet="abcé ", max_size=12), st.text(alphabet="abcé ", max_size=30))
+def test_levenshtein_without_common_ends_is_exact(start, x, y, end):
+    from flipside.functions.editdist import core, levenshtein
+    a, b = start + x + end, start + y + end
+    assert levenshtein(a, b) == naive(a, b)
+    p, q = core(a, b)
+    assert not (p and q) or (p[0] != q[0] and p[-1] != q[-1])
+
+
+def test_added_clause_needs_no_search(monkeypatch):
+    from flipside.functions import editdist
+    monkeypatch.setattr(editdist, "bounded_levenshtein", None)
+    monkeypatch.setattr(editdist, "bitparallel_levenshtein", None)
+    text = "some words " * 5000
+    assert editdist.levenshtein(text, text + "and a clause") == 12
+    assert editdist.levenshtein(text + "x" + text, text + text) == 1
+
+
+def test_token_diff_equals_the_sets(spark):
+    """Few and many changed tokens; the cosine is that of the whole sets."""
+    from flipside.functions.text import set_cosine, token_set
+    from flipside.operators import score as SC
+    many = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))
+    rows = [("a b c a", "a b d a"), ("a b", "a b c d"), ("", "a"), ("", ""), ("a a a", "a"), ("b a", "a b"), (many, "x " + many),
+            (many, many + " tail"), ("A-b'c d", "a b'c e"), (None, "a")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    out = df.select("a", SC.token_diff(F.col("a"), F.col("b"))["semantic"].alias("s"), SC.semantic_score(F.col("a"), F.col("b")).alias("t"),
+                    set_cosine(token_set(F.col("a")), token_set(F.col("b"))).alias("want")).collect()
+    assert all(r.s == r.want == r.t for r in out), out
+
+
+def test_equal_rewrites_are_made_one_row(spark):
+    """Distinct rewrites with all their turns; opened, they are the candidates of each (round, ordinal)."""
+    from flipside.operators import generate as E
+    lexicon = spark.createDataFrame([(t, o, s, d) for o, (x, y) in enumerate([("bad", "fine"), ("ugly", "nice"), ("dull", "keen")], 1)
+                                     for t, s, d in ((0, x, y), (1, y, x))], "target_label int, ordinal int, src string, dst string")
+    samples = spark.createDataFrame([(1, "no cue here", 1), (2, "bad and Ugly", 1), (3, "nice keen fine", 0)], "id long, text string, label int")
+    few = E.distinct_candidates(samples, lexicon, 4, 7, 3, 1)
+    assert {r.id: len(r.turns) for r in few.collect() if r.id == 1} == {1: 12}
+    assert few.groupBy("id", "cand_text").count().where("count > 1").count() == 0 and few.where("id = 2").count() == 3
+    every = E.lexicon_candidates(samples, lexicon, 4, 7, 3, 1)
+    keys = samples.withColumn("target_label", 1 - F.col("label")).crossJoin(spark.range(1, 4).select(F.col("id").cast("int").alias("round"))).crossJoin(
+        spark.range(1, 5).select(F.col("id").cast("int").alias("ordinal")))
+    plain = E.with_candidate_text(keys, lexicon, 7, 1)
+    cols = ["id", "round", "ordinal", "target_label", "cand_text"]
+    assert sorted(map(tuple, every.select(*cols).collect())) == sorted(map(tuple, plain.select(*cols).collect()))
+    assert {r.candidate_id for r in every.collect()} == {"c1", "c2", "c3", "c4"}

@@ -60,3 +60,20 @@ def test_rewrites_tokens_are_not_shuffled(spark):
         assert abs(r.logit - sum(weights.get(t, 0.0) for t in r["all"])) < 1e-9, r
     changed = {(r.id, r.ordinal): len(r.d) for r in cands.withColumn("d", SC.changed_tokens(F.col("text"), F.col("cand_text"))).collect()}
     assert changed[1, 1] == 2 and changed[1, 2] == 3 and changed[2, 1] == 2 and changed[4, 1] == 0
+
+
+def test_texts_do_not_reach_the_sorts_of_the_label_join(spark):
+    """Scores that need both texts are worked out before the join with the weights, whose sorts then hold slim rows."""
+    from flipside.plans import queries as Q
+    for name in ("f8_verify", "e5_feedback"):
+        plan = Q.QUERIES[name](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Project [" in line and "_changed#" in line and "cand_text#" in line and "_ms#" in line]
+        assert not joins, (name, joins)
+
+
+def test_kept_rounds_hold_no_texts(spark):
+    """What h1 to h3 write of the rounds is score rows."""
+    from flipside.plans import queries as Q
+    seen = []
+    Q._rounds(spark, SF001, keep=lambda scores: seen.append(scores.columns) or scores)
+    assert len(seen) == 1 and not {"text", "cand_text"} & set(seen[0])
