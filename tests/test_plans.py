@@ -77,3 +77,15 @@ def test_kept_rounds_hold_no_texts(spark):
     seen = []
     Q._rounds(spark, SF001, keep=lambda scores: seen.append(scores.columns) or scores)
     assert len(seen) == 1 and not {"text", "cand_text"} & set(seen[0])
+
+
+def test_fitted_tables_are_written_and_equal(spark):
+    """Attempts and batches read one written lexicon and model, and don't fit them again."""
+    from flipside.plans import queries as Q
+    lexicon, model = Q._fitted(spark, SF001)
+    assert "documents.parquet" not in _plan(lexicon) and "documents.parquet" not in _plan(model.weights)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    plain = Q._model(spark, SF001)
+    assert rows(lexicon) == rows(Q._lexicon(spark, SF001)) and rows(model.weights) == rows(plain.weights)
+    one = spark.range(1)
+    assert one.select(model.prior).first()[0] == one.select(plain.prior).first()[0]
