@@ -8,7 +8,7 @@ them, so the number of Spark jobs is the same for one run and for a hundred:
 * token statistics are summed by (token, label, list of runs) before the list is opened, so a text is split once,
   and give every run's lexicon and label scorer;
 * rewrites depend on (seed, run's lexicon, id, round, ordinal) only: presets and variants use subsets of the same
-  rewrites, so each is scored once, and what differs between configs (gate, selection, rounds) is decided on
+  rewrites, and runs often make equal ones, so each different text of a sample is scored once, and what differs between configs (gate, selection, rounds) is decided on
   slim score rows;
 * the models of all (config, run) are one table of (model, token, weight), and all predictions one grouped sum.
 
@@ -22,13 +22,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.keys import hash_rank_key
-from ..functions.sampling import take_smallest, take_smallest_each
+from ..functions.sampling import spread, take_smallest, take_smallest_each
 from ..functions.text import tokens
 from ..operators import planning as C
 from ..operators import sampling as S
 from ..operators.evaluate import classification_metrics
-from ..operators.generate import distinct_rewrites, each_turn, rewritten, synonyms_replaced
-from ..operators.score import consistency_score, edit_similarity, label_logits, token_diff
+from ..operators.generate import rewrites_of_sets, rewritten, synonyms_replaced
+from ..operators.score import consistency_score, edit_similarity, token_diff
 from ..params import DEFAULT, LADDER, METHODS, MULTI_STAGE, VARIANTS, Params, variant_params
 from ..sources.stages import written
 
@@ -143,24 +143,44 @@ def _seed_of_run(runs: list[tuple[float, int]]) -> Column:
     return F.element_at(F.array(*[F.lit(s) for _, s in runs]), F.col("run") + 1)
 
 
+def _with_sets(df: DataFrame, lexicon: DataFrame, runs: list[tuple[float, int]]) -> DataFrame:
+    """Adds sets: for each of a row's runs its seed and its lexicon's pairs for the row's target, from one scalar subquery."""
+    pair = F.struct("ordinal", "src", "dst")
+    lists = lexicon.groupBy("run", "target_label").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    whole = lists.agg(F.collect_list(F.struct("run", "target_label", "pairs"))).scalar()
+    seeds = F.array(*[F.lit(str(s)) for _, s in runs])
+    own = lambda r: F.filter("_all", lambda x: (x["run"] == r) & (x["target_label"] == F.col("target_label")))
+    each = F.transform("runs", lambda r: F.struct(
+        r.cast("int").alias("run"), F.element_at(seeds, r + 1).alias("seed"), F.flatten(F.transform(own(r), lambda x: x["pairs"])).alias("pairs")))
+    return df.withColumn("_all", whole).withColumn("sets", each).drop("_all")
+
+
 def scored_rewrites(rows: DataFrame, runs, lexicon: DataFrame, weights: DataFrame, sizes: DataFrame, p: Params, n: int, rounds: int) -> DataFrame:
     """run, id, label, round, ordinal and the unrounded scores ls, ss, ms, and cs by preserve list, of every rewrite.
-    Equal rewrites of a sample in a run are scored once."""
-    base = rows.withColumn("run", F.explode("runs")).drop("runs")
-    keyed = base.withColumn("target_label", (1 - F.col("label")).cast("int")).withColumn("seed", _seed_of_run(runs))
-    cands = distinct_rewrites(_with_pairs(keyed, lexicon, "target_label"), F.col("pairs"), F.col("seed"), n, rounds, p.pairs_per_candidate)
+    Equal rewrites of a sample are scored once, whichever runs make them; its tokens meet the weights of all runs at once."""
+    base = spread(rows.withColumn("target_label", (1 - F.col("label")).cast("int")), "id")
+    cands = rewrites_of_sets(_with_sets(base, lexicon, runs), F.col("sets"), n, rounds, p.pairs_per_candidate)
     both = F.col("text"), F.col("cand_text")
     cs = {f"cs_{name}": consistency_score(*both, F.array(*[F.lit(x) for x in items])) for name, items in PRESERVE_LISTS.items()}
-    # without texts before the join with the weights
-    slim = cands.withColumn("_d", token_diff(*both)).withColumn("ms", edit_similarity(*both, p.edit_method)).withColumns(cs).select(
-        "run", "id", "label", "target_label", "turns", F.col("_d.semantic").alias("ss"), "ms", *cs, F.col("_d.changed").alias("_changed"))
-    scored = label_logits(base.select("run", "id", "text"), slim, weights, ["run", "id"])
+    # without texts, and written, since the changed tokens and the scores are read apart
+    slim = written(cands.withColumn("_d", token_diff(*both)).withColumn("ms", edit_similarity(*both, p.edit_method)).withColumns(cs).select(
+        "id", "label", "target_label", "turns", F.col("_d.semantic").alias("ss"), "ms", *cs, F.col("_d.changed").alias("_changed")), "grid-rewrites")
+    w = [F.coalesce(f"w{i}", F.lit(0.0)) for i in range(len(runs))]
+    none = F.array(*[F.lit(0.0) for _ in runs])
+    wide = weights.groupBy("token").agg(*[F.max(F.when(F.col("run") == i, F.col("w"))).alias(f"w{i}") for i in range(len(runs))])
+    own = rows.select("id", F.explode(tokens(F.col("text"))).alias("token"), F.lit(1).alias("tf"))
+    new = slim.select("id", F.explode(F.array_distinct(F.transform("_changed", lambda t: t["token"]))).alias("token"), F.lit(0).alias("tf"))
+    touched = F.when(F.col("tf") == 0, F.struct("token", F.array(*w).alias("ws")))
+    met = own.unionByName(new).join(wide, "token").groupBy("id").agg(
+        F.array(*[F.sum(F.col("tf") * x) for x in w]).alias("_own"), F.map_from_entries(F.collect_set(touched)).alias("_w"))
+    add = lambda z, t: F.zip_with(z, F.coalesce(F.try_element_at("_w", t["token"]), none), lambda x, y: x + t["d"] * y)
+    scored = slim.join(met, "id", "left").withColumn("_z", F.aggregate("_changed", F.coalesce("_own", none), add))
+    each = scored.select("id", "label", "target_label", "ss", "ms", *cs, "_z", F.explode("turns").alias("_t")).select("*", "_t.*")
     prior = F.log(F.col("n1") + 1.0) - F.log(F.col("n0") + 1.0)
-    logit = F.col("logit") + prior
-    return each_turn(scored.join(F.broadcast(sizes), "run").select(
-        "run", "id", "label", "turns",
-        (1 / (1 + F.exp(F.when(F.col("target_label") == 1, -logit).otherwise(logit)))).alias("ls"), "ss", "ms", *cs)).select(
-        "run", "id", "label", "round", "ordinal", "ls", "ss", "ms", *cs)
+    logit = F.element_at("_z", F.col("run") + 1) + prior
+    return each.join(F.broadcast(sizes), "run").select(
+        "run", "id", "label", "round", "ordinal",
+        (1 / (1 + F.exp(F.when(F.col("target_label") == 1, -logit).otherwise(logit)))).alias("ls"), "ss", "ms", *cs)
 
 
 def chosen(scores: DataFrame, configs: list[Config]) -> DataFrame:
@@ -240,16 +260,24 @@ def merged_counts(rows: DataFrame, stats: DataFrame, sizes: DataFrame, picked: D
     return sums(own.unionByName(more), ["c1", "c0"]), sums(own_n.unionByName(more_n), ["n1", "n0"])
 
 
-def predictions(samples: DataFrame, weights: DataFrame, sizes: DataFrame) -> DataFrame:
-    """model, split, label, prediction of every sample by every model. A sample's tokens are counted before they meet
-    the models' weights."""
+#: Models whose weights stand side by side in one row.
+ABREAST = 60
+
+
+def predictions(samples: DataFrame, weights: DataFrame, sizes: DataFrame, n_models: int) -> DataFrame:
+    """model, split, label, prediction of every sample by every model (numbered below ``n_models``). A sample's tokens are
+    counted before they meet the models' weights, those of up to ABREAST models in one row."""
+    parts = range(-(-n_models // ABREAST))
+    places = range(min(ABREAST, n_models))
+    part, place = F.floor(F.col("model") / ABREAST).cast("int"), F.col("model") % ABREAST
+    wide = weights.groupBy("token", part.alias("part")).agg(*[F.max(F.when(place == i, F.col("w"))).alias(f"w{i}") for i in places])
     counted = samples.select("id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    sums = counted.join(weights, "token").groupBy("id", "model").agg(F.sum(F.col("tf") * F.col("w")).alias("z"))
-    every = samples.select("id", "split", "label").withColumn("_one", F.lit(1)).join(
-        F.broadcast(sizes.withColumn("_one", F.lit(1))), "_one").drop("_one")   # a row for each of a few models
+    sums = counted.join(wide, "token").groupBy("id", "part").agg(*[F.sum(F.col("tf") * F.col(f"w{i}")).alias(f"z{i}") for i in places])
+    every = samples.select("id", "split", "label", F.explode(F.array(*[F.lit(i) for i in parts])).alias("part")).join(sums, ["id", "part"], "left")
+    every = every.select("split", "label", "part", F.posexplode(F.array(*[F.coalesce(f"z{i}", F.lit(0.0)) for i in places])).alias("place", "z"))
     prior = F.log(F.col("n1") + 1.0) - F.log(F.col("n0") + 1.0)
-    return every.join(sums, ["id", "model"], "left").select(
-        "model", "split", "label", ((F.coalesce("z", F.lit(0.0)) + prior) > 0).cast("int").alias("prediction"))
+    return every.withColumn("model", F.col("part") * ABREAST + F.col("place")).join(F.broadcast(sizes), "model").select(   # a row for each model
+        "model", "split", "label", ((F.col("z") + prior) > 0).cast("int").alias("prediction"))
 
 
 def run_configs(spark: SparkSession, root: str, configs: list[Config], runs: list[tuple[float, int]], p: Params) -> DataFrame:
@@ -277,7 +305,7 @@ def run_configs(spark: SparkSession, root: str, configs: list[Config], runs: lis
     counts, models = merged_counts(rows, stats, sizes, picked, syn, runs, lexicon, configs, p)
     models = written(models, "grid-models")
     model_weights = written(bayes_weights(written(counts, "grid-counts"), "model"), "grid-model-weights")
-    pred = predictions(samples.where(F.col("split").isin("validation", "test", "ood_test")), model_weights, models)
+    pred = predictions(samples.where(F.col("split").isin("validation", "test", "ood_test")), model_weights, models, len(configs) * len(runs))
     metrics = classification_metrics(pred, ["model", "split"])
     wide = metrics.groupBy("model").agg(*[F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{name}_{m}")
                                           for s, name in (("test", "test"), ("validation", "val"), ("ood_test", "ood")) for m in ("acc", "f1")])

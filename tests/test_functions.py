@@ -110,3 +110,43 @@ def test_equal_rewrites_are_made_one_row(spark):
     cols = ["id", "round", "ordinal", "target_label", "cand_text"]
     assert sorted(map(tuple, every.select(*cols).collect())) == sorted(map(tuple, plain.select(*cols).collect()))
     assert {r.candidate_id for r in every.collect()} == {"c1", "c2", "c3", "c4"}
+
+
+def test_distances_of_many_pairs_equal_one_at_a_time():
+    """Searched together, with short and long texts, nulls and pairs over the budget in one batch."""
+    import random
+
+    from flipside.functions import editdist as ed
+    pick = random.Random(5)
+    words = ["fool", "nice", "a", "the", "é", "世界", "\U0001f600", "abab"]
+    pairs = [(None, "a"), ("a", None), ("", ""), ("", "ab"), ("ab" * 300, "ba" * 300), ("x" * 3000, "y" * 10), ("same", "same")]
+    for _ in range(400):
+        a = " ".join(pick.choice(words) for _ in range(pick.choice((1, 5, 60))))
+        b = a.replace(pick.choice(words), pick.choice(words)).replace(pick.choice(words), "w")
+        pairs.append((a, b))
+    want = [None if x is None or y is None else ed.bitparallel_levenshtein(x, y) for x, y in pairs]
+    assert ed.distances(iter(pairs)) == want
+
+
+def test_rewrites_of_several_sets_meet(spark):
+    """Runs with equal lexicons make the same rewrites: one row, whose turns name all runs."""
+    from flipside.operators import generate as E
+    samples = spark.createDataFrame([(1, "bad and Ugly", 0), (2, "no cue", 0)], "id long, text string, target_label int")
+    sets = _sets([(0, "7", [("bad", "fine"), ("ugly", "nice")]), (1, "8", [("bad", "fine"), ("ugly", "nice")])])
+    got = E.rewrites_of_sets(samples, sets, 2, 2, 2).collect()
+    assert sorted((r.id, r.cand_text) for r in got) == [(1, "fine and Nice"), (2, "no cue but it reads calmer overall.")]
+    assert all({(t.run, t.round, t.ordinal) for t in r.turns} == {(i, j, k) for i in (0, 1) for j in (1, 2) for k in (1, 2)} for r in got)
+
+
+def _sets(sets):
+    from pyspark.sql import functions as F
+    pair = lambda i, p: F.struct(F.lit(i).alias("ordinal"), F.lit(p[0]).alias("src"), F.lit(p[1]).alias("dst"))
+    return F.array(*[F.struct(F.lit(run).alias("run"), F.lit(seed).alias("seed"), F.array(*[pair(i, p) for i, p in enumerate(pairs)]).alias("pairs"))
+                     for run, seed, pairs in sets])
+
+
+def test_heavy_work_is_spread(spark):
+    """A table of one file split is dealt over several tasks for each core, and stays so when partitions are coalesced."""
+    from flipside.functions.sampling import spread
+    out = spread(spark.range(100).coalesce(1), "id")
+    assert out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism

@@ -58,3 +58,15 @@ def test_token_stats_by_hand(spark):
     got = {(r.run, r.token): (r.c1, r.c0, r.df1, r.df0) for r in grid.token_stats(frame).collect()}
     assert got == {(0, "a"): (4, 0, 2, 0), (0, "b"): (1, 0, 1, 0), (0, "it's"): (1, 0, 1, 0),
                    (2, "a"): (4, 0, 2, 0), (2, "b"): (1, 2, 1, 1), (2, "it's"): (1, 0, 1, 0), (2, "c"): (0, 1, 0, 1)}
+
+
+def test_predictions_of_models_side_by_side(spark, monkeypatch):
+    """Models in rows of two weights; samples without tokens or known tokens have the prior's class; no row for each
+    (token, model) is made."""
+    monkeypatch.setattr(grid, "ABREAST", 2)
+    samples = spark.createDataFrame([(1, "a a b", "test", 1), (2, "", "test", 0), (3, "zzz", "validation", 1)], "id long, text string, split string, label int")
+    weights = spark.createDataFrame([(0, "a", 1.0), (0, "b", -1.5), (1, "a", -1.0), (2, "b", 2.0), (2, "a", -1.5)], "model int, token string, w double")
+    sizes = spark.createDataFrame([(0, 1, 1), (1, 1, 1), (2, 9, 1)], "model int, n1 long, n0 long")
+    got = {(r.model, r.split, r.label): r.prediction for r in grid.predictions(samples, weights, sizes, 3).collect()}
+    assert got == {(0, "test", 1): 1, (1, "test", 1): 0, (2, "test", 1): 1, (0, "test", 0): 0, (1, "test", 0): 0, (2, "test", 0): 1,
+                   (0, "validation", 1): 0, (1, "validation", 1): 0, (2, "validation", 1): 1}
