@@ -28,7 +28,7 @@ from ..operators import planning as C
 from ..operators import sampling as S
 from ..operators.evaluate import classification_metrics
 from ..operators.generate import rewrites_of_sets, rewritten, synonyms_replaced
-from ..operators.score import consistency_score, edit_similarity, token_diff
+from ..operators.score import consistency_score, edit_similarity, token_changes
 from ..params import DEFAULT, LADDER, METHODS, MULTI_STAGE, VARIANTS, Params, variant_params
 from ..sources.stages import written
 
@@ -163,7 +163,7 @@ def scored_rewrites(rows: DataFrame, runs, lexicon: DataFrame, weights: DataFram
     both = F.col("text"), F.col("cand_text")
     cs = {f"cs_{name}": consistency_score(*both, F.array(*[F.lit(x) for x in items])) for name, items in PRESERVE_LISTS.items()}
     # without texts, and written, since the changed tokens and the scores are read apart
-    slim = written(cands.withColumn("_d", token_diff(*both)).withColumn("ms", edit_similarity(*both, p.edit_method)).withColumns(cs).select(
+    slim = written(cands.withColumn("_d", token_changes(*both)).withColumn("ms", edit_similarity(*both, p.edit_method)).withColumns(cs).select(
         "id", "label", "target_label", "turns", F.col("_d.semantic").alias("ss"), "ms", *cs, F.col("_d.changed").alias("_changed")), "grid-rewrites")
     w = [F.coalesce(f"w{i}", F.lit(0.0)) for i in range(len(runs))]
     none = F.array(*[F.lit(0.0) for _ in runs])

@@ -150,3 +150,15 @@ def test_heavy_work_is_spread(spark):
     from flipside.functions.sampling import spread
     out = spread(spark.range(100).coalesce(1), "id")
     assert out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_token_changes_equal_token_diff(spark):
+    """The counting pass gives the cosine of ``token_diff`` and changes with the same sums by token."""
+    from pyspark.sql import functions as F
+
+    from flipside.operators import score as SC
+    rows = [("a b c a", "a b d a"), ("a b", "a b c d"), ("", "a"), ("", ""), ("a a a", "a"), ("b a", "a b"), ("A-b'c d", "a b'c e"), (None, "a"), ("K k", "k")]
+    for r in spark.createDataFrame(rows, "a string, b string").select(
+            SC.token_diff(F.col("a"), F.col("b")).alias("x"), SC.token_changes(F.col("a"), F.col("b")).alias("y")).collect():
+        sums = [{t: sum(c.d for c in z.changed or [] if c.token == t) for t in {c.token for c in z.changed or []}} for z in (r.x, r.y)]
+        assert r.x.semantic == r.y.semantic and {t: d for t, d in sums[0].items() if d} == sums[1], r
