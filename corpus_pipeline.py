@@ -67,9 +67,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return only(rows, hits.where(~decontaminate.contaminated()), row)
 
 
+#: Segments that a task of the last stage remembers: fewer than alone, since executors still hold what the stages before took.
+MEMO = 300_000
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text."""
-    return pieces_codec.round_trip(docs, tokenizer_path("piece_bpe_32k.model"))
+    return pieces_codec.round_trip(docs, tokenizer_path("piece_bpe_32k.model"), memo=MEMO)
 
 
 STAGES = [

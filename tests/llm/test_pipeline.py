@@ -116,3 +116,15 @@ def test_the_rest_stands_without_the_subpackage(tmp_path):
     code += "exec(open(s.origin).read().replace('os.path.dirname(os.path.abspath(__file__))', repr(" + repr(str(tmp_path)) + ")), m.__dict__); q = m.queries(); print(len(q), any(k.startswith('op') for k in q))"
     said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert said.returncode == 0 and said.stdout.split()[1] == "False" and int(said.stdout.split()[0]) > 30, said.stderr[-2000:]
+
+
+def test_last_stage_remembers_fewer_segments(monkeypatch):
+    """The pipeline bounds the segments that its encoder keeps below the operator's own bound."""
+    import inspect
+
+    import corpus_pipeline
+    from flipside.llm import pieces_codec
+    seen = []
+    monkeypatch.setattr(pieces_codec, "round_trip", lambda docs, path, memo: seen.append(memo))
+    corpus_pipeline.encoded(None, None, "")
+    assert seen[0] < inspect.signature(pieces_codec.encode).parameters["memo"].default
