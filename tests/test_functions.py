@@ -162,3 +162,71 @@ def test_token_changes_equal_token_diff(spark):
             SC.token_diff(F.col("a"), F.col("b")).alias("x"), SC.token_changes(F.col("a"), F.col("b")).alias("y")).collect():
         sums = [{t: sum(c.d for c in z.changed or [] if c.token == t) for t in {c.token for c in z.changed or []}} for z in (r.x, r.y)]
         assert r.x.semantic == r.y.semantic and {t: d for t, d in sums[0].items() if d} == sums[1], r
+
+
+def _made(spark, texts, sets, n, rounds, k, preserve):
+    from pyspark.sql import functions as F
+
+    from flipside.operators import rewrites as R
+    samples = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "id long, text string, target_label int")
+    return R.scored_of_sets(samples, _sets(sets), n, rounds, k, [F.array(*[F.lit(x) for x in items]) for items in preserve])
+
+
+def test_scored_rewrites_equal_the_scores_of_their_texts(spark):
+    """What comes back without texts equals the expressions on both texts, rewrite by rewrite and turn by turn."""
+    from pyspark.sql import functions as F
+
+    from flipside.functions.editdist import edit_similarity
+    from flipside.operators import generate as E
+    from flipside.operators import score as SC
+    texts = ["bad day, a Bad dog and a baddish cat", "no cue", "sad bad sad topic", "", "K bad\nbad  x", "Sad"]
+    sets = [(0, "7", [("bad", "fine"), ("sad", "bad"), ("dog", "cat")]), (3, "8", [("bad", "fine"), ("zzz", "y")])]
+    preserve = [["core x", "Event y"], ["topic"], []]
+    made = _made(spark, texts, sets, 3, 2, 2, preserve)
+    got = made.select("id", F.explode("_made").alias("m")).select("id", F.explode("m.turns").alias("t"), "m.changed", "m.ss", "m.ms", "m.cs")
+    got = {(r.id, r.t.run, r.t.round, r.t.ordinal): (r.ss, r.ms, r.cs, {c.token: c.d for c in r.changed}) for r in got.collect()}
+    whole = E.rewrites_of_sets(made.select("id", "text", "target_label"), _sets(sets), 3, 2, 2)
+    both = F.col("text"), F.col("cand_text")
+    cs = F.array(*[SC.consistency_score(*both, F.array(*[F.lit(x) for x in items])) for items in preserve])
+    whole = whole.withColumn("d", SC.token_diff(*both)).withColumn("ms", edit_similarity(*both)).withColumn("cs", cs)
+    whole = whole.withColumn("t", F.explode("turns")).collect()
+    assert len(whole) == len(got) == len(texts) * 2 * 3 * 2
+    for r in whole:
+        sums = {t: sum(c.d for c in r.d.changed if c.token == t) for t in {c.token for c in r.d.changed}}
+        assert got[r.id, r.t.run, r.t.round, r.t.ordinal] == (r.d.semantic, r.ms, r.cs, {t: d for t, d in sums.items() if d}), r
+
+
+def test_swaps_are_made_once_a_text(spark):
+    """A swap of a text is made once for all turns and sets, and keys are worked out only where a pair changes the text."""
+    from flipside.operators import generate as E
+    made = []
+
+    class Text(str):
+        def replace(self, old, new):
+            made.append((str(self), old))
+            return self if old not in self else Text(str.replace(self, old, new))
+
+    pairs = [{"src": w, "dst": f"{w}x"} for w in ("alpha", "beta", "gamma", "delta", "rho")]
+    sets = [{"run": i, "seed": str(i), "pairs": pairs} for i in range(6)]
+    found = E.turns_by_text("1", Text("alpha and beta"), sets, 5, 4, 4)
+    assert sum(len(f[3]) for f in found) == 6 * 5 * 4
+    assert len(made) == len(set(made)) <= 10 * len({t for t, _ in made})   # by turns and sets: 960
+    assert len(E.turns_by_text("2", "none of them", sets, 5, 4, 4)) == 1
+
+
+def test_label_logits_of_made_rewrites(spark):
+    """Scores from tokens and changes equal those of the rewrites' texts; repeated and missing ids as by a join."""
+    from pyspark.sql import functions as F
+
+    from flipside.operators import score as SC
+    kind = ("id long, label int, _own array<struct<token: string, tf: int>>, _made array<struct<turns: array<struct<run: int, round: int, ordinal: int>>,"
+            "changed: array<struct<token: string, d: int>>, ss: double, ms: double, cs: array<double>>>")
+    rewrite = lambda o, changed: ([(0, 1, o)], changed, 0.5, 0.25, [1.0])
+    rows = [(1, 0, [("a", 2), ("b", 1)], [rewrite(1, [("a", -1), ("c", 1)]), rewrite(2, [("zz", 3)])]), (2, 1, [], [rewrite(1, [])]),
+            (3, 1, [("a", 1)], []), (None, 1, [("a", 5)], [rewrite(1, [("c", 1)])])]
+    weights = spark.createDataFrame([("a", 1.0), ("b", 10.0), ("c", 100.0)], "token string, w double")
+    got = SC.label_logits(None, spark.createDataFrame(rows, kind), weights, ["id"])
+    assert {(r.id, r.turns[0].ordinal): (r.logit, r.label, r._ss, r._ms, r._cs) for r in got.collect()} == {
+        (1, 1): (111.0, 0, 0.5, 0.25, 1.0), (1, 2): (12.0, 0, 0.5, 0.25, 1.0), (2, 1): (0.0, 1, 0.5, 0.25, 1.0), (None, 1): (0.0, 1, 0.5, 0.25, 1.0)}
+    twice = spark.createDataFrame([rows[0], rows[0]], kind)
+    assert SC.label_logits(None, twice, weights, ["id"]).count() == 4
