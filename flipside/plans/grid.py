@@ -10,7 +10,8 @@ them, so the number of Spark jobs is the same for one run and for a hundred:
 * rewrites depend on (seed, run's lexicon, id, round, ordinal) only: presets and variants use subsets of the same
   rewrites, and runs often make equal ones, so each different text of a sample is scored once, and what differs between configs (gate, selection, rounds) is decided on
   slim score rows;
-* the models of all (config, run) are one table of (model, token, weight), and all predictions one grouped sum.
+* the models of all (config, run) are one table of tokens with the weights of many models side by side, and all
+  predictions one grouped sum.
 
 Tables that several steps read are written once to the checkpoint folder.
 """
@@ -23,12 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.keys import hash_rank_key
 from ..functions.sampling import spread, take_smallest, take_smallest_each
-from ..functions.text import tokens
+from ..functions.text import listed, tokens
 from ..operators import planning as C
 from ..operators import sampling as S
 from ..operators.evaluate import classification_metrics
-from ..operators.generate import rewrites_of_sets, rewritten, synonyms_replaced
-from ..operators.score import consistency_score, edit_similarity, token_changes
+from ..operators.generate import rewritten, synonyms_replaced
+from ..operators.rewrites import scored_of_sets
 from ..params import DEFAULT, LADDER, METHODS, MULTI_STAGE, VARIANTS, Params, variant_params
 from ..sources.stages import written
 
@@ -159,19 +160,20 @@ def scored_rewrites(rows: DataFrame, runs, lexicon: DataFrame, weights: DataFram
     """run, id, label, round, ordinal and the unrounded scores ls, ss, ms, and cs by preserve list, of every rewrite.
     Equal rewrites of a sample are scored once, whichever runs make them; its tokens meet the weights of all runs at once."""
     base = spread(rows.withColumn("target_label", (1 - F.col("label")).cast("int")), "id")
-    cands = rewrites_of_sets(_with_sets(base, lexicon, runs), F.col("sets"), n, rounds, p.pairs_per_candidate)
-    both = F.col("text"), F.col("cand_text")
-    cs = {f"cs_{name}": consistency_score(*both, F.array(*[F.lit(x) for x in items])) for name, items in PRESERVE_LISTS.items()}
+    lists = [F.array(*[F.lit(x) for x in items]) for items in PRESERVE_LISTS.values()]
+    cands = scored_of_sets(_with_sets(base, lexicon, runs), F.col("sets"), n, rounds, p.pairs_per_candidate, lists, p.edit_method)
     # without texts, and written, since the changed tokens and the scores are read apart
-    slim = written(cands.withColumn("_d", token_changes(*both)).withColumn("ms", edit_similarity(*both, p.edit_method)).withColumns(cs).select(
-        "id", "label", "target_label", "turns", F.col("_d.semantic").alias("ss"), "ms", *cs, F.col("_d.changed").alias("_changed")), "grid-rewrites")
+    made = written(cands.select("id", "label", "target_label", "_own", "_made"), "grid-rewrites")
+    cs = {f"cs_{name}": F.get("_m.cs", F.lit(i)) for i, name in enumerate(PRESERVE_LISTS)}
+    slim = made.select("id", "label", "target_label", F.explode("_made").alias("_m")).withColumns(cs).select(
+        "id", "label", "target_label", "_m.turns", "_m.ss", "_m.ms", *cs, F.col("_m.changed").alias("_changed"))
     w = [F.coalesce(f"w{i}", F.lit(0.0)) for i in range(len(runs))]
     none = F.array(*[F.lit(0.0) for _ in runs])
     wide = weights.groupBy("token").agg(*[F.max(F.when(F.col("run") == i, F.col("w"))).alias(f"w{i}") for i in range(len(runs))])
-    own = rows.select("id", F.explode(tokens(F.col("text"))).alias("token"), F.lit(1).alias("tf"))
-    new = slim.select("id", F.explode(F.array_distinct(F.transform("_changed", lambda t: t["token"]))).alias("token"), F.lit(0).alias("tf"))
+    new = F.array_distinct(F.flatten(F.transform("_made", lambda m: m["changed"]["token"])))
+    each = F.concat("_own", F.transform(new, lambda t: F.struct(t.alias("token"), F.lit(0).alias("tf"))))
     touched = F.when(F.col("tf") == 0, F.struct("token", F.array(*w).alias("ws")))
-    met = own.unionByName(new).join(wide, "token").groupBy("id").agg(
+    met = made.select("id", F.explode(each).alias("_t")).select("id", "_t.*").join(wide, "token").groupBy("id").agg(
         F.array(*[F.sum(F.col("tf") * x) for x in w]).alias("_own"), F.map_from_entries(F.collect_set(touched)).alias("_w"))
     add = lambda z, t: F.zip_with(z, F.coalesce(F.try_element_at("_w", t["token"]), none), lambda x, y: x + t["d"] * y)
     scored = slim.join(met, "id", "left").withColumn("_z", F.aggregate("_changed", F.coalesce("_own", none), add))
@@ -233,31 +235,66 @@ def _cut(p: Params) -> float:
     return max(0.0, min(1.0, 1.0 - float(p.percentile_keep)))
 
 
+def word_changes(text: Column, rewrite: Column) -> Column:
+    """array of (token, d): the tokens of the words (parted by spaces, which no token holds) that differ place by place, with
+    -1 in the text and 1 in the rewrite. Only these words are split into tokens."""
+    signed = lambda word, d: F.transform(tokens(F.coalesce(word, F.lit(""))), lambda t: F.struct(t.alias("token"), F.lit(d).alias("d")))
+    pairs = F.filter(F.zip_with(F.split(text, " "), F.split(rewrite, " "), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: ~p["a"].eqNullSafe(p["b"]))
+    return F.flatten(F.transform(pairs, lambda p: F.concat(signed(p["a"], -1), signed(p["b"], 1))))
+
+
 def merged_counts(rows: DataFrame, stats: DataFrame, sizes: DataFrame, picked: DataFrame, syn: DataFrame | None, runs, lexicon: DataFrame,
                   configs: list[Config], p: Params) -> tuple[DataFrame, DataFrame]:
-    """Training counts of every model (H1 of every config and run): (model, token, c1, c0) and (model, n1, n0). A model's
-    number is config * number of runs + run."""
+    """Training counts of every model (H1 of every config and run): (run, token, c1_i and c0_i of each config i) and
+    (model, n1, n0). A model's number is config * number of runs + run. All models of a run count its own rows; a
+    synonym model counts them twice, but for the tokens that the swaps change."""
     n_runs = len(runs)
     model = F.lit(n_runs) * F.col("config") + F.col("run")
     everyone = F.explode(F.array(*[F.lit(i) for i in range(len(configs))]))
     target = (1 - F.col("label")).cast("int")
     # a rewrite that several configs picked is made and split once
-    texts = picked.groupBy("run", "id", "round", "ordinal", "label").agg(F.array_sort(F.collect_list(model)).alias("runs"))
+    texts = picked.groupBy("run", "id", "round", "ordinal", "label").agg(F.array_sort(F.collect_list(model)).cast("array<int>").alias("models"))
     texts = texts.join(rows.select("id", "text"), "id").withColumn("target_label", target).withColumn("seed", _seed_of_run(runs))
     texts = rewritten(_with_pairs(texts, lexicon, "target_label"), F.col("pairs"), F.col("seed"), p.pairs_per_candidate)
-    added = texts.select(F.col("cand_text").alias("text"), F.col("target_label").alias("label"), "runs")
+    added = texts.select(F.explode(tokens(F.col("cand_text"))).alias("token"), F.col("target_label").alias("label"), "models", F.lit(1).alias("d"))
+    swapping = [i for i, c in enumerate(configs) if c.how == "synonym"]
     if syn is not None:
         swapped = _with_pairs(rows.withColumn("run", F.explode("runs")).withColumn("seed", _seed_of_run(runs)), syn)
-        users = F.array(*[F.lit(i * n_runs) for i, c in enumerate(configs) if c.how == "synonym"])
-        added = added.unionByName(swapped.select(synonyms_replaced(F.col("text"), F.col("pairs"), F.col("seed")).alias("text"), "label",
-                                                 F.transform(users, lambda u: (u + F.col("run")).cast("int")).alias("runs")))
-    added = written(added.withColumn("runs", F.col("runs").cast("array<int>")), "grid-added")
-    sums = lambda df, cols: df.groupBy("model", *(["token"] if "c1" in cols else [])).agg(*[F.sum(c).alias(c) for c in cols])
-    own = stats.withColumn("config", everyone).select(model.alias("model"), "token", "c1", "c0")
-    more = token_stats(added).select(F.col("run").alias("model"), "token", "c1", "c0")
-    own_n = sizes.withColumn("config", everyone).select(model.alias("model"), "n1", "n0")
-    more_n = run_sizes(added).select(F.col("run").alias("model"), "n1", "n0")
-    return sums(own.unionByName(more), ["c1", "c0"]), sums(own_n.unionByName(more_n), ["n1", "n0"])
+        swapped = swapped.withColumn("_swapped", synonyms_replaced(F.col("text"), F.col("pairs"), F.col("seed")))
+        swapped = listed(swapped, "_d", word_changes(F.col("text"), F.col("_swapped"))).withColumn(
+            "models", F.array(*[(F.lit(i * n_runs) + F.col("run")).cast("int") for i in swapping]))
+        added = added.unionByName(swapped.select(F.explode("_d").alias("_c"), "label", "models").select("_c.token", "label", "models", "_c.d"))
+    added = added.groupBy("token", "label", "models").agg(F.sum("d").alias("d")).withColumn("model", F.explode("models"))
+    of = lambda label: F.when(F.col("label") == label, F.col("d")).otherwise(0).cast("long")
+    more = added.select((F.col("model") % n_runs).alias("run"), "token", F.floor(F.col("model") / n_runs).cast("int").alias("config"), of(1).alias("c1"), of(0).alias("c0"))
+    own = stats.select("run", "token", F.lit(-1).alias("config"), "c1", "c0")
+    part = lambda c, i: F.sum(F.when(F.col("config") == i, F.col(c)).otherwise(0)).alias(f"{c}_{i}")
+    sums = own.unionByName(more).groupBy("run", "token").agg(*[part(c, i) for i in range(-1, len(configs)) for c in ("c1", "c0")])
+    counts = sums.select("run", "token", *[(F.col(f"`{c}_-1`") * (2 if i in swapping else 1) + F.col(f"{c}_{i}")).alias(f"{c}_{i}")
+                                           for i in range(len(configs)) for c in ("c1", "c0")])
+    numbers = lambda df: df.select("model", "n1", "n0")
+    own_n = numbers(sizes.withColumn("config", everyone).withColumn("model", model))
+    twice = numbers(sizes.withColumn("config", everyone).where(F.col("config").isin(swapping)).withColumn("model", model))
+    one = lambda label: F.when(target == label, 1).otherwise(0).cast("long")
+    more_n = picked.select(model.alias("model"), one(1).alias("n1"), one(0).alias("n0"))
+    return counts, own_n.unionByName(twice).unionByName(more_n).groupBy("model").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+
+
+def weights_abreast(counts: DataFrame, n_configs: int, n_runs: int) -> DataFrame:
+    """I1 of every model from ``merged_counts``, as ``predictions`` reads them: token, part, w0, w1, ... A token of a run is one
+    row until its runs meet, whatever the number of configs."""
+    c, places = range(n_configs), range(min(ABREAST, n_configs * n_runs))
+    seen = lambda i: F.col(f"c1_{i}") + F.col(f"c0_{i}") > 0
+    totals = counts.groupBy("run").agg(*[F.sum(f"c1_{i}").alias(f"t1_{i}") for i in c], *[F.sum(f"c0_{i}").alias(f"t0_{i}") for i in c],
+                                       *[F.sum(seen(i).cast("long")).alias(f"v_{i}") for i in c])
+    weight = lambda i: F.when(seen(i), F.log(F.col(f"c1_{i}") + 1.0) - F.log(F.col(f"t1_{i}") + F.col(f"v_{i}") * 1.0)
+                              - F.log(F.col(f"c0_{i}") + 1.0) + F.log(F.col(f"t0_{i}") + F.col(f"v_{i}") * 1.0))
+    of_run = counts.join(F.broadcast(totals), "run").select("run", "token", F.array(*[weight(i) for i in c]).alias("ws"))   # one row for each run
+    met = of_run.groupBy("token").agg(F.collect_list(F.struct("run", "ws")).alias("_l"))
+    met = met.withColumn("_l", F.transform(F.sequence(F.lit(0), F.lit(n_runs - 1)), lambda r: F.get(F.filter("_l", lambda x: x["run"] == r), F.lit(0))["ws"]))
+    of_model = lambda m: F.get(F.get("_l", F.lit(m % n_runs)), F.lit(m // n_runs)) if m < n_configs * n_runs else F.lit(None).cast("double")
+    parts = [F.struct(F.lit(part).alias("part"), *[of_model(part * ABREAST + i).alias(f"w{i}") for i in places]) for part in range(-(-n_configs * n_runs // ABREAST))]
+    return met.select("token", F.explode(F.array(*parts)).alias("_p")).select("token", "_p.*")
 
 
 #: Models whose weights stand side by side in one row.
@@ -266,11 +303,14 @@ ABREAST = 60
 
 def predictions(samples: DataFrame, weights: DataFrame, sizes: DataFrame, n_models: int) -> DataFrame:
     """model, split, label, prediction of every sample by every model (numbered below ``n_models``). A sample's tokens are
-    counted before they meet the models' weights, those of up to ABREAST models in one row."""
+    counted before they meet the models' weights, those of up to ABREAST models in one row: (model, token, w), or as
+    ``weights_abreast`` gives them."""
     parts = range(-(-n_models // ABREAST))
     places = range(min(ABREAST, n_models))
     part, place = F.floor(F.col("model") / ABREAST).cast("int"), F.col("model") % ABREAST
-    wide = weights.groupBy("token", part.alias("part")).agg(*[F.max(F.when(place == i, F.col("w"))).alias(f"w{i}") for i in places])
+    wide = weights
+    if "part" not in weights.columns:
+        wide = weights.groupBy("token", part.alias("part")).agg(*[F.max(F.when(place == i, F.col("w"))).alias(f"w{i}") for i in places])
     counted = samples.select("id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
     sums = counted.join(wide, "token").groupBy("id", "part").agg(*[F.sum(F.col("tf") * F.col(f"w{i}")).alias(f"z{i}") for i in places])
     every = samples.select("id", "split", "label", F.explode(F.array(*[F.lit(i) for i in parts])).alias("part")).join(sums, ["id", "part"], "left")
@@ -304,7 +344,7 @@ def run_configs(spark: SparkSession, root: str, configs: list[Config], runs: lis
                                    by=["config", "run", "n_orig"], tiebreak=("id", "candidate_id")), "grid-picked")
     counts, models = merged_counts(rows, stats, sizes, picked, syn, runs, lexicon, configs, p)
     models = written(models, "grid-models")
-    model_weights = written(bayes_weights(written(counts, "grid-counts"), "model"), "grid-model-weights")
+    model_weights = weights_abreast(written(counts, "grid-counts"), len(configs), len(runs))
     pred = predictions(samples.where(F.col("split").isin("validation", "test", "ood_test")), model_weights, models, len(configs) * len(runs))
     metrics = classification_metrics(pred, ["model", "split"])
     wide = metrics.groupBy("model").agg(*[F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{name}_{m}")

@@ -230,3 +230,16 @@ def test_label_logits_of_made_rewrites(spark):
         (1, 1): (111.0, 0, 0.5, 0.25, 1.0), (1, 2): (12.0, 0, 0.5, 0.25, 1.0), (2, 1): (0.0, 1, 0.5, 0.25, 1.0), (None, 1): (0.0, 1, 0.5, 0.25, 1.0)}
     twice = spark.createDataFrame([rows[0], rows[0]], kind)
     assert SC.label_logits(None, twice, weights, ["id"]).count() == 4
+
+
+def test_listed_arrays_are_worked_out_once(spark):
+    """The filter before an explode doesn't name the expression again."""
+    from pyspark.sql import functions as F
+
+    from flipside.functions.text import listed, tokens
+    df = spark.createDataFrame([("a b",), ("",), (None,)], "text string")
+    out = listed(df, "_t", tokens(F.col("text"))).select(F.explode("_t").alias("token"))
+    assert sorted(r.token for r in out.collect()) == ["a", "b"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    plain = df.withColumn("_t", tokens(F.col("text"))).select(F.explode("_t").alias("token"))
+    assert plain._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") > 1   # else ``listed`` has no use

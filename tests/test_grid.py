@@ -70,3 +70,34 @@ def test_predictions_of_models_side_by_side(spark, monkeypatch):
     got = {(r.model, r.split, r.label): r.prediction for r in grid.predictions(samples, weights, sizes, 3).collect()}
     assert got == {(0, "test", 1): 1, (1, "test", 1): 0, (2, "test", 1): 1, (0, "test", 0): 0, (1, "test", 0): 0, (2, "test", 0): 1,
                    (0, "validation", 1): 0, (1, "validation", 1): 0, (2, "validation", 1): 1}
+
+
+def test_word_changes_equal_the_counts_of_both_texts(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from flipside.functions.text import tokens
+    rows = [("a b a", "a c a"), ("Bad it's x-y", "good it's x-z"), ("a", "a b c"), ("a b c", ""), ("", ""), ("a\nb  c", "a\nd  c")]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("d", grid.word_changes(F.col("a"), F.col("b")))
+    for r in df.withColumn("x", tokens(F.col("a"))).withColumn("y", tokens(F.col("b"))).collect():
+        got = Counter()
+        for c in r.d:
+            got[c.token] += c.d
+        want = Counter(r.y)
+        want.subtract(Counter(r.x))
+        assert {t: n for t, n in got.items() if n} == {t: n for t, n in want.items() if n}, r
+    assert df.where("a = 'a b a'").first().d and len(df.where("a = 'a b a'").first().d) == 2   # equal words aren't listed
+
+
+def test_weights_abreast_equal_weights_one_by_one(spark, monkeypatch):
+    """A token of a run stays one row for all configs; weights equal those of single models, missing ones included."""
+    monkeypatch.setattr(grid, "ABREAST", 3)
+    n_runs, counts = 2, {(0, "a"): [(1, 2), (3, 0)], (0, "b"): [(0, 0), (0, 5)], (1, "a"): [(4, 4), (4, 4)], (1, "c"): [(1, 0), (2, 0)]}
+    wide = spark.createDataFrame([(r, t, *c[0], *c[1]) for (r, t), c in counts.items()], "run int, token string, c1_0 long, c0_0 long, c1_1 long, c0_1 long")
+    long = spark.createDataFrame([(i * n_runs + r, t, *c) for (r, t), cs in counts.items() for i, c in enumerate(cs) if sum(c)], "model int, token string, c1 long, c0 long")
+    want = {(r.token, r.model): r.w for r in grid.bayes_weights(long, "model").collect()}
+    rows = grid.weights_abreast(wide, 2, n_runs).collect()
+    assert len(rows) == 3 * 2
+    got = {(r.token, r.part * 3 + i): r[f"w{i}"] for r in rows for i in range(3) if r[f"w{i}"] is not None}
+    assert got == want
