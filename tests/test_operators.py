@@ -148,3 +148,12 @@ def test_partition_count_independence(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+def test_preprocess_cleans_a_text_once(spark):
+    """Blank texts go before the cleaning; a filter on the cleaned text made the optimizer write the cleaning twice."""
+    from flipside.operators.sampling import preprocess
+    rows = [(1, " \t\n\x0b\f\r ", 1), (2, "", 0), (3, None, 0), (4, " a \t b\n", 1), (5, " ", 0), (6, "x", None), (7, "b  b", 1), (7, "a\ta", 0)]
+    out = preprocess(spark.createDataFrame(rows, "id long, text string, label long"))
+    assert {(r.id, r.text, r.label) for r in out.collect()} == {(4, "a b", 1), (5, " ", 0), (7, "a a", 0)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
