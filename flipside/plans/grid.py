@@ -289,12 +289,13 @@ def weights_abreast(counts: DataFrame, n_configs: int, n_runs: int) -> DataFrame
                                        *[F.sum(seen(i).cast("long")).alias(f"v_{i}") for i in c])
     weight = lambda i: F.when(seen(i), F.log(F.col(f"c1_{i}") + 1.0) - F.log(F.col(f"t1_{i}") + F.col(f"v_{i}") * 1.0)
                               - F.log(F.col(f"c0_{i}") + 1.0) + F.log(F.col(f"t0_{i}") + F.col(f"v_{i}") * 1.0))
-    of_run = counts.join(F.broadcast(totals), "run").select("run", "token", F.array(*[weight(i) for i in c]).alias("ws"))   # one row for each run
-    met = of_run.groupBy("token").agg(F.collect_list(F.struct("run", "ws")).alias("_l"))
-    met = met.withColumn("_l", F.transform(F.sequence(F.lit(0), F.lit(n_runs - 1)), lambda r: F.get(F.filter("_l", lambda x: x["run"] == r), F.lit(0))["ws"]))
-    of_model = lambda m: F.get(F.get("_l", F.lit(m % n_runs)), F.lit(m // n_runs)) if m < n_configs * n_runs else F.lit(None).cast("double")
-    parts = [F.struct(F.lit(part).alias("part"), *[of_model(part * ABREAST + i).alias(f"w{i}") for i in places]) for part in range(-(-n_configs * n_runs // ABREAST))]
-    return met.select("token", F.explode(F.array(*parts)).alias("_p")).select("token", "_p.*")
+    of_run = counts.join(F.broadcast(totals), "run").select("run", "token", *[weight(i).alias(f"x{i}") for i in c])   # one row for each run
+    # a token's rows meet before they are widened, so that nothing wide is exchanged; plain maxima need neither lists nor sorting
+    parts = range(-(-n_configs * n_runs // ABREAST))
+    met = of_run.repartition("token").withColumn("part", F.explode(F.array(*[F.lit(part) for part in parts])))
+    of = lambda part, m: F.when((F.col("part") == part) & (F.col("run") == m % n_runs), F.col(f"x{m // n_runs}"))
+    of_place = lambda i: [of(part, m) for part in parts if (m := part * ABREAST + i) < n_configs * n_runs]
+    return met.groupBy("token", "part").agg(*[F.max(F.coalesce(*of_place(i))).alias(f"w{i}") for i in places])
 
 
 #: Models whose weights stand side by side in one row.

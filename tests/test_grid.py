@@ -101,3 +101,10 @@ def test_weights_abreast_equal_weights_one_by_one(spark, monkeypatch):
     assert len(rows) == 3 * 2
     got = {(r.token, r.part * 3 + i): r[f"w{i}"] for r in rows for i in range(3) if r[f"w{i}"] is not None}
     assert got == want
+
+
+def test_weights_abreast_keep_no_lists(spark):
+    """Plain maxima of a token's rows: lists are sorted once a task holds more than a few tokens."""
+    wide = spark.createDataFrame([(0, "a", 1, 2, 3, 0)], "run int, token string, c1_0 long, c0_0 long, c1_1 long, c0_1 long")
+    plan = grid.weights_abreast(wide, 2, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
