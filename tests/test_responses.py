@@ -250,6 +250,22 @@ def test_planner_replies_become_plans(spark):
     assert abs(dict(map(tuple, scores.collect()))[0] - 2 / 3) < 1e-9
 
 
+def test_reply_plans_query_scores_the_lists(spark, tmp_path):
+    """The query as registered: lists joined into strings, scores of the lists."""
+    from flipside.plans.queries import c6_reply_plans
+    texts = [f"Berlin remarkable story number{i} about plain things" for i in range(60)] + [None, ""]
+    spark.createDataFrame([(i, t, "en", "web", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = c6_reply_plans(spark, str(tmp_path)).collect()
+    assert {r.id for r in rows} >= set(range(60)) and {r.plan_source for r in rows} == {"reply", "rule"}
+    seen = {(r.elements_to_preserve, r.consistency_score) for r in rows if r.id < 60}
+    assert {("Berlin", 1.0), ("Berlin|Berlin two|named|plain", 0.75), ("", 0.8)} <= seen and len(seen) == 4
+    (rule, score), = [x for x in seen if x[0] not in ("Berlin", "Berlin|Berlin two|named|plain", "")]
+    items = rule.split("|")
+    assert score == round(sum(x.lower().split()[0] in texts[0].lower() for x in items) / len(items), 4)
+
+
 def test_model_plans_reach_prompts_and_scores(spark):
     from flipside.params import MULTI_STAGE
     from flipside.plans.queries import _model, _train
