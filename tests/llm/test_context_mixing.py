@@ -161,3 +161,67 @@ def test_equal_texts_score_equally(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = cm.score_texts(frame, F.col("doc_id") % 10 != 0, block_bytes=5000).collect()
     assert len({round(r.score, 6) for r in got if r.doc_id < 20}) == 1
+
+
+def naive_refined(mixer, text, moving=True):
+    """Token after token with weights that move, bit after bit within a token."""
+    weights, holds, bits = mixer.weights.astype(float), np.full(len(cm.SETS), 1 / len(cm.SETS)), 0.0
+    for token in text:
+        odds, gate, _ = mixer.inputs([token])
+        each, slope = np.ones(len(cm.SETS)), np.zeros_like(weights)
+        for x, g in zip(odds.astype(float), gate):
+            p = 1 / (1 + np.exp(-np.clip(x @ weights[g], -30, 15)))
+            each *= p
+            slope[g] += x[:, None] * (1 - p)
+        bits -= math.log2(holds @ each)
+        holds = holds * each / (holds @ each)
+        if moving:
+            weights += np.clip(cm.RATE * slope, -cm.MOST, cm.MOST)
+    return bits
+
+
+def refined_bits(mixer, texts, **sizes):
+    distinct = list(dict.fromkeys(itertools.chain.from_iterable(texts)))
+    numbers = {w: i for i, w in enumerate(distinct)}
+    sequence = np.array([numbers[w] for t in texts for w in t], np.int32)
+    return cm.text_bits(cm.Refined(mixer, distinct, 50), sequence, np.array([len(t) for t in texts]), **sizes)
+
+
+def test_weights_are_refined_after_every_token():
+    """Each set's weights of the gates that a token met move with the gradient of its cost, text by text."""
+    texts = [words(odd.words(k, n)) for k, n in ((1, 60), (2, 3), (3, 250), (4, 0), (5, 8), (6, 16))]
+    texts += [words(None), words("new ßtrange\x00 words"), [w[::-1] for w in words(odd.words(30, 300))]]
+    mixer, _, _ = trained(texts[:4])
+    want = [naive_refined(mixer, t) for t in texts]
+    assert np.allclose(refined_bits(mixer, texts), want, rtol=1e-4)
+    assert np.allclose(refined_bits(mixer, texts, side=2), want, rtol=1e-4)
+    fixed = [naive_refined(mixer, t, moving=False) for t in texts]
+    assert np.allclose(fixed, naive_bits(mixer, texts), rtol=1e-4)
+    assert max(abs(a - b) for a, b in zip(want, fixed)) > 1   # it isn't what fixed weights give
+
+
+def test_refined_by_more_orders_and_long_tokens():
+    """More predictors than fit in 32 bits; a token whose probability is below what a float holds."""
+    texts = [words(odd.words(1, 80)) + [b"zq\xff" * 300, b"zq"]] * 2
+    mixer, _, _ = trained([words(odd.words(1, 80))])
+    mixer = cm.Mixer(mixer.code, mixer.table, (1, 2, 4, 5))
+    want = [naive_refined(mixer, t[:-3] + t[-1:]) for t in texts]
+    assert np.allclose(refined_bits(mixer, [t[:-3] + t[-1:] for t in texts]), want, rtol=1e-4)
+    assert np.isfinite(refined_bits(mixer, texts)).all() and (refined_bits(mixer, texts) > want[0] + 2000).all()
+    held = cm.Refined(mixer, texts[0])
+    held.begin(3)
+    whole = held.step(np.array([0, 1, 2]))
+    held.begin(3)
+    assert np.allclose(held.step(np.array([0, 1, 2]), together=1), whole, rtol=1e-5)
+
+
+def test_query_moves_its_weights(spark, monkeypatch):
+    """The operator's scores are those of the plain version, and not those of weights that stay."""
+    rows = [(k, odd.words(60 + k, 40)) for k in range(30)] + [(100, " ".join(w[::-1] for w in odd.words(1, 400).split()))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = []
+    monkeypatch.setattr(cm, "fit", lambda *a, f=cm.fit: kept.append(f(*a)) or kept[0])
+    got = {r.doc_id: r.score for r in cm.score_texts(frame, F.col("doc_id") < 100, cells=1 << 16).collect()}
+    want = {k: naive_refined(kept[0], words(t)) * -math.log10(2) for k, t in rows}
+    assert all(abs(got[k] - want[k]) < 1e-3 * abs(want[k]) for k in got)
+    assert abs(naive_refined(kept[0], words(rows[-1][1]), moving=False) * -math.log10(2) - got[100]) > 1
