@@ -225,3 +225,18 @@ def test_query_moves_its_weights(spark, monkeypatch):
     want = {k: naive_refined(kept[0], words(t)) * -math.log10(2) for k, t in rows}
     assert all(abs(got[k] - want[k]) < 1e-3 * abs(want[k]) for k in got)
     assert abs(naive_refined(kept[0], words(rows[-1][1]), moving=False) * -math.log10(2) - got[100]) > 1
+
+
+def test_texts_of_a_block_are_one_value(spark):
+    """Whatever a block holds, its row beside those of the counts has no lists of numbers for the JVM, and small blocks
+    give what large ones do."""
+    rows = [(k, odd.words(70 + k % 9, 60)) for k in range(60)] + [(None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    train = F.coalesce(F.col("doc_id") < 50, F.lit(False))
+    small, large = (cm.score_texts(frame, train, cells=1 << 16, block_bytes=b) for b in (500, 1 << 20))
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "ids#" not in plan and "sequence#" not in plan
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    a, b = (sorted(x.collect(), key=key) for x in (small, large))
+    assert [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in a] == [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in b]
+    assert np.allclose([r.score for r in a], [r.score for r in b], rtol=1e-6)
