@@ -14,7 +14,8 @@ of these lists, at the same place or, beyond an inserted character, one further.
 place and lengths; their members are merged by a join, and confirmed by an exact comparison inside it.
 
 Frequent means above 1 in ``most`` of all gram places, so that of each length at most ``most`` grams are frequent:
-that bounds what is broadcast. Nothing else is; there is no cap on words, lists or near words.
+that bounds what is broadcast. Nothing else is, whatever size Spark estimates; there is no cap on words, lists or near
+words.
 
 Defined cases: null and empty texts have no words; a null id reads as empty; rows that share an id are documents of
 their own; ties in count go to the first in code-point order; words without near words get 0 and nulls, and are
@@ -172,7 +173,8 @@ def near_pairs(words: DataFrame, least: int = 6, longest: int = 6, most: int = 1
     one = (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2) & (F.levenshtein("a", "b", 1) == 1)
     # of two words of a length either finds the other; once is enough
     once = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-    pairs = asked.join(held, (asked["key"] == held["key"]) & (F.col("a") != F.col("b")) & once & one)
+    # merged, never broadcast: Spark sizes a side by the words it is made from, and a word gives many keys
+    pairs = asked.join(held.hint("merge"), (asked["key"] == held["key"]) & (F.col("a") != F.col("b")) & once & one)
     return pairs.select("a", "b").distinct()
 
 
@@ -181,7 +183,7 @@ def roots(forms: DataFrame) -> DataFrame:
     that's a few rounds."""
     out = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
-        after = out.select(F.col("word").alias("root"), F.col("root").alias("next"))
+        after = out.select(F.col("word").alias("root"), F.col("root").alias("next")).hint("merge")
         out = stored(out.join(after, "root", "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         if out.where("moved").isEmpty():
@@ -195,12 +197,13 @@ def variants(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     words = stored(corpus_words(df, id_col, text_col, least, occurrences, noise), "words")
     pairs = stored(near_pairs(words, least), "near")
     both = pairs.union(pairs.select("b", "a"))
-    both = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("b_n")), "b")
+    # tables of words are sized by their compressed files, a fraction of what they take as a broadcast
+    both = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("b_n")).hint("merge"), "b")
     near = both.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), F.min(F.struct(-F.col("b_n"), F.col("b"))).alias("top"))
     near = near.select("word", "n_near", F.col("top.b").alias("form"), (-F.col("top.col1")).alias("form_n"))
-    found = words.join(near, "word", "left").withColumn("has", F.coalesce(F.col("form_n") >= ratio * F.col("n"), F.lit(False)))
+    found = words.join(near.hint("merge"), "word", "left").withColumn("has", F.coalesce(F.col("form_n") >= ratio * F.col("n"), F.lit(False)))
     found = stored(found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                                 F.when(F.col("has"), F.col("form")).alias("form"), F.when(F.col("has"), F.col("form_n")).alias("form_n")), "forms")
     ends = roots(found.where("form IS NOT NULL"))
-    return found.join(ends, "word", "left").select(
+    return found.join(ends.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -206,3 +206,15 @@ def test_variants_odd_tables(spark):
     rows = [r[:2] for r in odd.rows()]
     words = brute_words(rows)
     assert spelled(spelling.variants(odd.table(spark))) == brute_variants(words)
+
+
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """However small Spark takes a table for: lists of keys are many times the words that they are made from."""
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spelling, "stored", lambda df, label, f=spelling.stored: plans.append(plan(df)) or f(df, label))
+    rows = family(3, 200, lambda k: 5 if k % 7 else 30)
+    got = spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"), noise=0)
+    assert spelled(got) == brute_variants(brute_words(rows, noise=10**12))
+    plans.append(plan(got))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
